@@ -51,9 +51,10 @@ def _follow(state: DataFrame, name: str) -> DataFrame:
 
     ``status`` is null while ``up`` still has to be followed.  Settled rows are
     kept aside, so later rounds carry only the open ones.  ``stop`` becomes the
-    directory at which a broken branch breaks, or one fixed member of its cycle.
+    directory at which a broken branch breaks, or one fixed member of its cycle;
+    ``low`` is the smallest id between a node and its pointer.
     """
-    state = materialize(state.withColumn("stop", F.col("id")), name)
+    state = materialize(state.select("*", F.col("id").alias("stop"), F.col("id").alias("low")), name)
     open_rows = state.where(F.col("status").isNull()).count()
     while open_rows:
         settled = state.where(F.col("status").isNotNull())
@@ -64,6 +65,7 @@ def _follow(state: DataFrame, name: str) -> DataFrame:
             F.col("suffix").alias("_suffix"),
             F.col("status").alias("_status"),
             F.col("stop").alias("_stop"),
+            F.col("low").alias("_low"),
         )
         broken = F.coalesce(~F.col("_status").isin("ok"), F.lit(False))
         moved = lookup_join(waiting.drop("stop"), above, "up", "left", spread=F.col("id")).select(
@@ -72,6 +74,7 @@ def _follow(state: DataFrame, name: str) -> DataFrame:
             F.when(broken, F.col("suffix")).otherwise(F.concat("_suffix", "suffix")).alias("suffix"),
             F.col("_status").alias("status"),
             F.when(broken, F.col("_stop")).otherwise(F.col("id")).alias("stop"),
+            F.least("low", "_low").alias("low"),
         )
         state = materialize(settled.unionByName(moved), name)
         left = state.where(F.col("status").isNull()).count()
@@ -88,7 +91,7 @@ def _name_cycles(state: DataFrame, count: int, name: str) -> DataFrame:
     way round, so the smallest id seen from a pointer's target is its cycle's.
     """
     ring = state.where(F.col("status").isNull())
-    links = ring.select("id", "up", F.col("id").alias("low"))
+    links = ring.select("id", "up", "low")
     for _ in range(count.bit_length() + 1):
         above = links.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"))
         links = materialize(

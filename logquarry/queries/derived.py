@@ -83,6 +83,7 @@ def _packed(docs: DataFrame, pack) -> DataFrame:
             rows = [(doc_id, *pack(doc_id, text)) for doc_id, text in pairs]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), PACKED)], schema=PACKED)
 
+    A.bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, PACKED_SQL)
 
 

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Applications that hold this package already.
+_SHIPPED: set[str] = set()
+
+
 def local_session(cores: int | str = "*", app: str = "logquarry") -> SparkSession:
     """A session for tests and single-machine runs; clusters bring their own."""
     parts = "8" if cores == "*" else str(cores)
@@ -23,6 +29,21 @@ def local_session(cores: int | str = "*", app: str = "logquarry") -> SparkSessio
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python tasks, once per application."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    archive = f"{root.name}.zip"
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / archive
+    with zipfile.ZipFile(target, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 

@@ -27,7 +27,7 @@ from logquarry.functions.classify import (
 )
 from logquarry.functions.paths import file_name
 from logquarry.operators.lines import finish_lines
-from logquarry.session import materialize
+from logquarry.session import materialize, ship_package
 from logquarry.sources.decoders import byte_lines, entries_of, sample_charset, stream_head
 from logquarry.sources.files import plain_path
 
@@ -41,7 +41,8 @@ NESTED_SCHEMA = f"{KEYS}, content binary, error string"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches that carry file contents small."""
+    """Ready a session for tasks that carry file contents in Arrow batches."""
+    ship_package(spark)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name, str(2**31 - 1))) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
@@ -53,16 +54,19 @@ def read_containers(spark: SparkSession, paths) -> DataFrame:
     return files.select(plain_path(F.col("path")).alias("path"), "content")
 
 
-@F.pandas_udf("binary")
-def decoded_head(content: pd.Series, compression: pd.Series) -> pd.Series:
-    """First 512 decompressed bytes of a compressed stream."""
-    return pd.Series(
-        [stream_head(data, how) if how else None for data, how in zip(content, compression)], dtype=object
-    )
+def decoded_head(content: Column, compression: Column) -> Column:
+    """First 512 decompressed bytes of a compressed stream, null for others."""
+
+    @F.pandas_udf("binary")
+    def head(data: pd.Series, how: pd.Series) -> pd.Series:
+        return pd.Series([stream_head(d, h) if h else None for d, h in zip(data, how)], dtype=object)
+
+    return head(content, compression)
 
 
 def with_format(files: DataFrame, name: Column | None = None) -> DataFrame:
     """Add ``format`` by leading bytes; Python sees compressed streams only."""
+    bound_batches(files.sparkSession)
     name = file_name(F.col("path")) if name is None else name
     head = F.substring(F.col("content"), 1, 512)
     how = stream_compression(head)
