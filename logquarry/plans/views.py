@@ -89,15 +89,29 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         """
         SELECT event_id AS seq, user_id AS id, user_id DIV 10 AS parent_id,
                concat('n', user_id, CASE WHEN event_type = 'view' THEN '-v' ELSE '' END) AS name,
-               CASE WHEN user_id % 7 = 3 THEN 16 ELSE 0 END AS attributes,
-               CASE event_type WHEN 'error' THEN 512 WHEN 'click' THEN 4096
-                    WHEN 'signup' THEN 256 ELSE 8192 END AS reason
+               CASE WHEN user_id % 3 = 0 OR user_id < 15 THEN 16 ELSE 0 END AS attributes,
+               CASE WHEN user_id = 0 THEN 256 WHEN event_type = 'error' THEN 512
+                    WHEN event_type = 'click' THEN 4096 WHEN event_type = 'signup' THEN 256
+                    ELSE 8192 END AS reason
         FROM {events}
         """,
         events=table(spark, sf_dir, "events"),
     )
 
 
+def user_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, parent_id, name, attributes, seq``: the tree before any journal record."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    directory = (F.col("user_id") % 3 == 0) | (F.col("user_id") < 15)
+    return users.select(
+        F.col("user_id").alias("id"),
+        F.floor(F.col("user_id") / 10).alias("parent_id"),
+        F.concat(F.lit("n"), F.col("user_id").cast("string")).alias("name"),
+        F.when(directory, 16).otherwise(0).alias("attributes"),
+        F.lit(-1).cast("bigint").alias("seq"),
+    )
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, parent_id, name, attributes, seq``: a tree with all its faults.
 

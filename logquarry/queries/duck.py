@@ -28,10 +28,18 @@ LEVELS = r"""level_lines AS (
 JOURNAL = r"""journal AS (
  SELECT event_id AS seq, user_id AS id, user_id // 10 AS parent_id,
    'n'||user_id||CASE WHEN event_type = 'view' THEN '-v' ELSE '' END AS name,
-   CASE WHEN user_id % 7 = 3 THEN 16 ELSE 0 END AS attributes,
-   CASE event_type WHEN 'error' THEN 512 WHEN 'click' THEN 4096 WHEN 'signup' THEN 256 ELSE 8192 END AS reason
+   CASE WHEN user_id % 3 = 0 OR user_id < 15 THEN 16 ELSE 0 END AS attributes,
+   CASE WHEN user_id = 0 THEN 256 WHEN event_type = 'error' THEN 512 WHEN event_type = 'click' THEN 4096
+        WHEN event_type = 'signup' THEN 256 ELSE 8192 END AS reason
  FROM events)"""
 
+FINAL_NODES = JOURNAL + r""", log AS (
+ SELECT DISTINCT user_id AS id, user_id // 10 AS parent_id, 'n'||user_id AS name,
+   CASE WHEN user_id % 3 = 0 OR user_id < 15 THEN 16 ELSE 0 END AS attributes, 0 AS reason, -1 AS seq FROM events
+ UNION ALL SELECT id, parent_id, name, attributes, reason, seq FROM journal WHERE reason <> 4096),
+final AS (SELECT id, arg_max(parent_id, seq) AS parent_id, arg_max(name, seq) AS name, arg_max(attributes, seq) AS attributes, max(seq) AS seq
+ FROM log GROUP BY id HAVING arg_max(reason, seq) <> 512)"""
+
 NODES = r"""nodes AS (
  SELECT o_orderkey AS id,
    CASE WHEN o_orderkey = 0 THEN 0 WHEN o_orderkey = 31 THEN 32 WHEN o_orderkey = 32 THEN 31

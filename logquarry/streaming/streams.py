@@ -30,6 +30,7 @@ from logquarry.streaming.tables import BatchTable
 
 # Events are gathered this long before they are treated as one batch.
 COALESCE = "200 milliseconds"
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def event_stream(
@@ -52,6 +53,7 @@ def new_files(spark: SparkSession, root: str, max_files: int = 1000) -> DataFram
     """Files appearing under a root; only their metadata is selected."""
     found = (
         spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files)
         .load(root)
