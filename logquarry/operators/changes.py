@@ -15,7 +15,7 @@ from logquarry.functions.classify import has_bits
 from logquarry.functions.paths import comparable, parent_dir
 from logquarry.operators.nodes import affected_files, is_directory, latest_records, resolve_files
 from logquarry.operators.roots import root_matches, without_excluded
-from logquarry.session import materialize
+from logquarry.session import materialize, materialize_counting
 
 
 def last_per_key(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -190,10 +190,10 @@ def apply_path_events(
     upserted, one that is a directory brings its whole subtree, one that is gone
     takes its subtree out of the catalog.
     """
-    touched = without_excluded(events.select("path").distinct(), exclusions)
+    touched = materialize(without_excluded(events.select("path").distinct(), exclusions), "touched_paths")
     as_root = touched.select(F.col("path").alias("root"))
     current = without_excluded(listing, exclusions)
-    fresh_paths = root_matches(current, "path", as_root)
+    fresh_paths = materialize(root_matches(current, "path", as_root), "touched_files")
     fresh = current.join(fresh_paths.select("path").distinct(), "path", "left_semi")
     alive = fresh_paths.select(F.col("root")).distinct()
     missing = as_root.join(alive, "root", "left_anti")
@@ -285,10 +285,13 @@ def journal_delta(
     Both carry ``gone``; a file is gone when it was affected before the batch and
     is not resolved anew after it.  ``nodes`` holds each id once.
     """
-    new = materialize(apply_records(nodes, records), "journal_nodes")
-    changed = materialize(changed_ids(nodes, records), "journal_changed")
-    leaving = affected_files(nodes, changed)
-    entering = affected_files(new, changed)
+    total = {"n": F.count(F.lit(1))}
+    new, seen = materialize_counting(apply_records(nodes, records), "journal_nodes", **total)
+    changed, more = materialize_counting(changed_ids(nodes, records), "journal_changed", **total)
+    # Nodes before the batch are at most those after it and those it deleted.
+    bound = seen["n"] + more["n"]
+    leaving = affected_files(nodes, changed, bound)
+    entering = affected_files(new, changed, bound)
     paths = resolve_files(new, root).entries.select("id", "path")
     fresh = without_excluded(paths.join(entering, "id", "left_semi"), list(exclusions))
     fresh = materialize(fresh.select("id", "path"), "journal_files")

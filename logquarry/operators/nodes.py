@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from logquarry.constants import ATTR_DIRECTORY, ATTR_REPARSE, ROOT_FILE_NUMBER
 from logquarry.functions.classify import has_bits
 from logquarry.plans.skew import lookup_join
-from logquarry.session import materialize
+from logquarry.session import materialize, materialize_counting
 
 
 def latest_records(nodes: DataFrame) -> DataFrame:
@@ -54,8 +54,10 @@ def _follow(state: DataFrame, name: str) -> DataFrame:
     directory at which a broken branch breaks, or one fixed member of its cycle;
     ``low`` is the smallest id between a node and its pointer.
     """
-    state = materialize(state.select("*", F.col("id").alias("stop"), F.col("id").alias("low")), name)
-    open_rows = state.where(F.col("status").isNull()).count()
+    begun = state.select("*", F.col("id").alias("stop"), F.col("id").alias("low"))
+    is_open = F.count_if(F.col("status").isNull())
+    state, seen = materialize_counting(begun, name, open=is_open)
+    open_rows = seen["open"]
     while open_rows:
         settled = state.where(F.col("status").isNotNull())
         waiting = state.where(F.col("status").isNull())
@@ -68,7 +70,7 @@ def _follow(state: DataFrame, name: str) -> DataFrame:
             F.col("low").alias("_low"),
         )
         broken = F.coalesce(~F.col("_status").isin("ok"), F.lit(False))
-        moved = lookup_join(waiting.drop("stop"), above, "up", "left", spread=F.col("id")).select(
+        moved = lookup_join(waiting.drop("stop"), above, "up", "left", F.col("id"), n_rows=open_rows).select(
             "id",
             F.col("_up").alias("up"),
             F.when(broken, F.col("suffix")).otherwise(F.concat("_suffix", "suffix")).alias("suffix"),
@@ -76,8 +78,8 @@ def _follow(state: DataFrame, name: str) -> DataFrame:
             F.when(broken, F.col("_stop")).otherwise(F.col("id")).alias("stop"),
             F.least("low", "_low").alias("low"),
         )
-        state = materialize(settled.unionByName(moved), name)
-        left = state.where(F.col("status").isNull()).count()
+        state, seen = materialize_counting(settled.unionByName(moved), name, open=is_open)
+        left = seen["open"]
         if left == open_rows:
             return _name_cycles(state, left, name)
         open_rows = left
@@ -95,23 +97,29 @@ def _name_cycles(state: DataFrame, count: int, name: str) -> DataFrame:
     for _ in range(count.bit_length() + 1):
         above = links.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"))
         links = materialize(
-            lookup_join(links, above, "up", spread=F.col("id")).select(
+            lookup_join(links, above, "up", "inner", F.col("id"), n_rows=count).select(
                 "id", F.col("_up").alias("up"), F.least("low", "_low").alias("low")
             ),
             name,
         )
     named = lookup_join(
-        links.select("id", "up"), links.select(F.col("id").alias("up"), F.col("low").alias("stop")), "up"
+        links.select("id", "up"), links.select(F.col("id").alias("up"), F.col("low").alias("stop")), "up", n_rows=count
     ).select("id", "stop")
     cyclic = ring.drop("stop", "status").join(named, "id").withColumn("status", F.lit("cyclic"))
     return state.where(F.col("status").isNotNull()).unionByName(cyclic.select(*state.columns))
 
 
-def _directory_state(records: DataFrame) -> DataFrame:
+def _records(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """The last record of each id, written once, and their number."""
+    records, seen = materialize_counting(latest_records(nodes), "node_records", n=F.count(F.lit(1)))
+    return records, seen["n"]
+
+
+def _directory_state(records: DataFrame, n_rows: int) -> DataFrame:
     """First state of every directory of the files-only rule set."""
     dirs = records.where(is_directory(F.col("attributes")))
     known = dirs.select(F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
-    linked = lookup_join(dirs, known, "parent_id", "left", spread=F.col("id"))
+    linked = lookup_join(dirs, known, "parent_id", "left", F.col("id"), n_rows=n_rows)
     itself = (F.col("id") == F.col("parent_id")) | (F.col("name") == ".") | is_root_reference(F.col("id"))
     under_root = is_root_reference(F.col("parent_id"))
     status = (
@@ -132,11 +140,11 @@ def resolve_files(nodes: DataFrame, root: str = "C:") -> ResolvedTree:
     a cycle.  ``directories`` holds ``id, suffix, status, stop`` per directory.
     """
     root = root.rstrip("\\/")
-    records = materialize(latest_records(nodes), "node_records")
-    directories = _follow(_directory_state(records), "node_dirs").select("id", "suffix", "status", "stop")
+    records, n_rows = _records(nodes)
+    directories = _follow(_directory_state(records, n_rows), "node_dirs").select("id", "suffix", "status", "stop")
     files = records.where(~is_directory(F.col("attributes")))
     table = directories.where(F.col("status") == "ok").select(F.col("id").alias("parent_id"), "suffix")
-    joined = lookup_join(files, table, "parent_id", "left", spread=F.col("id"))
+    joined = lookup_join(files, table, "parent_id", "left", F.col("id"), n_rows=n_rows)
     branch = F.when(is_root_reference(F.col("parent_id")), F.lit("")).otherwise(F.col("suffix"))
     entries = joined.withColumn("_branch", branch).where(F.col("_branch").isNotNull()).select(
         "id",
@@ -155,10 +163,10 @@ def resolve_all(nodes: DataFrame, root: str = "C:") -> DataFrame:
     self-parent or the name ``.`` marks the root, which is not listed itself.
     """
     root = root.rstrip("\\/")
-    records = materialize(latest_records(nodes), "node_records")
+    records, n_rows = _records(nodes)
     is_root = (F.col("id") == F.col("parent_id")) | (F.col("name") == ".")
     known = records.select(F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
-    linked = lookup_join(records, known, "parent_id", "left", spread=F.col("id"))
+    linked = lookup_join(records, known, "parent_id", "left", F.col("id"), n_rows=n_rows)
     status = F.when(is_root, F.lit("ok")).when(F.col("_known").isNull(), F.lit("orphan"))
     suffix = F.when(is_root, F.lit("")).otherwise(F.concat(F.lit("\\"), F.col("name")))
     state = linked.select("id", F.col("parent_id").alias("up"), suffix.alias("suffix"), status.alias("status"))
@@ -171,11 +179,12 @@ def resolve_all(nodes: DataFrame, root: str = "C:") -> DataFrame:
     )
 
 
-def affected_files(nodes: DataFrame, changed: DataFrame) -> DataFrame:
+def affected_files(nodes: DataFrame, changed: DataFrame, n_files: int | None = None) -> DataFrame:
     """Ids of files that changed or have a changed directory above them.
 
-    ``nodes`` holds each id once; ``changed`` holds ``id, is_dir`` once per id.
-    Only nodes that are somebody's parent are followed.
+    ``nodes`` holds each id once; ``changed`` holds ``id, is_dir`` once per id;
+    ``n_files`` is a known bound on the rows of ``nodes``.  Only nodes that are
+    somebody's parent are followed.
     """
     dirs = changed.where("is_dir").select(F.col("id").alias("up"), F.lit(True).alias("_hit"))
     parents = nodes.select(F.col("parent_id").alias("id")).distinct()
@@ -185,24 +194,20 @@ def affected_files(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     own = edges.unionByName(roots).join(
         dirs.withColumnRenamed("up", "id"), "id", "left"
     ).select("id", "up", F.coalesce("_hit", F.lit(False)).alias("hit"))
-    state = materialize(own, "affected_dirs")
+    still = F.col("up").isNotNull() & ~F.col("hit")
+    counts = {"open": F.count_if(still), "hits": F.count_if("hit"), "n": F.count(F.lit(1))}
+    state, seen = materialize_counting(own, "affected_dirs", **counts)
     before = None
-    while True:
-        seen = state.agg(
-            F.count_if(F.col("up").isNotNull() & ~F.col("hit")).alias("open"),
-            F.count_if("hit").alias("hits"),
-        ).first()
-        if seen["open"] == 0 or seen == before:
-            break
+    while seen["open"] and seen != before:
         before = seen
-        still = F.col("up").isNotNull() & ~F.col("hit")
         above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("hit").alias("_hit"))
-        moved = lookup_join(state.where(still), above, "up", "left", spread=F.col("id")).select(
+        moved = lookup_join(state.where(still), above, "up", "left", F.col("id"), n_rows=seen["open"]).select(
             "id", F.col("_up").alias("up"), F.coalesce("_hit", F.lit(False)).alias("hit")
         )
-        state = materialize(state.where(~still).unionByName(moved), "affected_dirs")
+        state, seen = materialize_counting(state.where(~still).unionByName(moved), "affected_dirs", **counts)
     files = nodes.where(~is_directory(F.col("attributes"))).select("id", "parent_id")
-    under = lookup_join(files, state.where("hit").select(F.col("id").alias("parent_id")), "parent_id", spread=F.col("id"))
+    hits = state.where("hit").select(F.col("id").alias("parent_id"))
+    under = lookup_join(files, hits, "parent_id", spread=F.col("id"), n_rows=n_files)
     direct = files.join(changed.select("id"), "id", "left_semi")
     return under.select("id").unionByName(direct.select("id")).distinct()
 

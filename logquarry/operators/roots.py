@@ -34,8 +34,7 @@ def distinct_paths(df: DataFrame, path: str, order: str) -> DataFrame:
 def root_matches(df: DataFrame, path: str, roots: DataFrame) -> DataFrame:
     """``(path, root, depth)`` for every root containing a path, by equi join."""
     keyed = roots.select(F.col("root"), comparable(F.col("root")).alias("_key")).dropDuplicates(["_key"])
-    paths = df.select(path).distinct()
-    exploded = paths.select(path, F.explode(ancestor_keys(comparable(F.col(path)))).alias("_key"))
+    exploded = df.select(path, F.explode(ancestor_keys(comparable(F.col(path)))).alias("_key"))
     return lookup_join(exploded, keyed, "_key", spread=F.col(path)).select(
         path, "root", depth(F.col("root")).alias("_depth")
     )
@@ -52,13 +51,27 @@ def _inline(path: Column, roots: Sequence[str]) -> Column:
     return F.coalesce(*options) if options else F.lit(None).cast("string")
 
 
+def _as_list(roots: Roots) -> list[str] | None:
+    """The roots when they are few, else None; a table is read only that far."""
+    if isinstance(roots, DataFrame):
+        few = roots.select("root").limit(INLINE_ROOTS + 1).collect()
+        return [row[0] for row in few] if len(few) <= INLINE_ROOTS else None
+    return list(roots) if len(roots) <= INLINE_ROOTS else None
+
+
+def _as_table(df: DataFrame, roots: Roots) -> DataFrame:
+    """The roots as a table ``root``."""
+    if isinstance(roots, DataFrame):
+        return roots
+    return df.sparkSession.createDataFrame([(r,) for r in roots], "root string")
+
+
 def with_root(df: DataFrame, roots: Roots, path: str = "path") -> DataFrame:
     """Add ``root``: the most specific root holding the path, null for none."""
-    if not isinstance(roots, DataFrame):
-        if len(roots) <= INLINE_ROOTS:
-            return df.withColumn("root", _inline(F.col(path), roots))
-        roots = df.sparkSession.createDataFrame([(r,) for r in roots], "root string")
-    best = root_matches(df, path, roots).groupBy(path).agg(F.max_by("root", "_depth").alias("root"))
+    few = _as_list(roots)
+    if few is not None:
+        return df.withColumn("root", _inline(F.col(path), few))
+    best = root_matches(df, path, _as_table(df, roots)).groupBy(path).agg(F.max_by("root", "_depth").alias("root"))
     return df.join(best, path, "left")
 
 
@@ -69,11 +82,10 @@ def source_label(root: Column) -> Column:
 
 def without_excluded(df: DataFrame, exclusions: Roots, path: str = "path") -> DataFrame:
     """Drop rows equal to or below any exclusion."""
-    if not isinstance(exclusions, DataFrame):
-        if len(exclusions) <= INLINE_ROOTS:
-            return df.where(_inline(F.col(path), exclusions).isNull())
-        exclusions = df.sparkSession.createDataFrame([(r,) for r in exclusions], "root string")
-    return df.join(root_matches(df, path, exclusions).select(path).distinct(), path, "left_anti")
+    few = _as_list(exclusions)
+    if few is not None:
+        return df.where(_inline(F.col(path), few).isNull())
+    return df.join(root_matches(df, path, _as_table(df, exclusions)).select(path).distinct(), path, "left_anti")
 
 
 def without_platform_directories(df: DataFrame, path: str = "path") -> DataFrame:

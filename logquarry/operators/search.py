@@ -13,6 +13,7 @@ from logquarry.constants import MAX_KEPT_RESULTS, MAX_PAGE
 from logquarry.functions.classify import content_type, kind
 from logquarry.functions.paths import path_key
 from logquarry.functions.text import name_tokens, query_terms, query_tokens, trigrams
+from logquarry.session import materialize
 
 # Pages ending below this many rows come from a top-k; deeper ones from ranks.
 TOP_K_ROWS = 20_000
@@ -39,16 +40,33 @@ def has_substrings(terms: list[str]) -> Column:
 
 
 def has_tokens(tokens: list[str], column: Column | None = None) -> Column:
-    """Is every query token among the name's tokens?"""
+    """Is every query token among the name's tokens?  ``tokens`` are distinct."""
     held = name_tokens(F.col("name")) if column is None else column
-    return reduce(and_, [F.array_contains(held, token) for token in tokens], F.lit(True))
+    wanted = F.array(*[F.lit(token) for token in tokens]).cast("array<string>")
+    return F.size(F.array_intersect(held, wanted)) == len(tokens)
+
+
+def query_trigrams(terms: list[str]) -> list[str]:
+    """Distinct three-character windows of all terms."""
+    return sorted({t[i : i + 3] for t in terms for i in range(len(t) - 2)})
 
 
 def has_trigrams(terms: list[str]) -> Column:
     """Coarse test by three-character windows; exact only with the substring test."""
-    grams = sorted({t[i : i + 3] for t in terms for i in range(len(t) - 2)})
-    text = trigrams(F.lower(F.concat_ws(" ", "name", "path")))
-    return reduce(and_, [F.array_contains(text, gram) for gram in grams], F.lit(True))
+    return has_substrings(query_trigrams(terms)) if query_trigrams(terms) else F.lit(True)
+
+
+def trigram_table(catalog: DataFrame) -> DataFrame:
+    """``gram, path``: the optional accelerator, written once per catalog version."""
+    text = F.lower(F.concat_ws(" ", "name", "path"))
+    return catalog.select("path", F.explode(trigrams(text)).alias("gram"))
+
+
+def trigram_candidates(table: DataFrame, terms: list[str]) -> DataFrame:
+    """Paths holding every three-character window of the terms."""
+    grams = query_trigrams(terms)
+    hits = table.where(F.col("gram").isin(grams)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return hits.where(F.col("n") == len(grams)).select("path")
 
 
 def uses_path_search(terms: list[str]) -> bool:
@@ -98,8 +116,6 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 200)
 
 def ranked(df: DataFrame, order: list[Column]) -> DataFrame:
     """Add ``position`` in the global order without sorting in one task."""
-    from logquarry.session import materialize
-
     names = [f"_o{i}" for i in range(len(order))]
     keyed = df.select("*", *[expr.alias(name) for expr, name in zip(order, names)])
     ranged = keyed.repartitionByRange(*names).withColumn("_range", F.spark_partition_id())

@@ -41,13 +41,18 @@ def lookup_join(
     how: str = "inner",
     spread: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Join many ``rows`` to a ``table`` holding each ``key`` once.
 
     A table proven small is broadcast.  Otherwise rows of hot keys are spread
     over salts, and only those table rows are repeated, once per salt.
     ``spread`` is what tells rows of one key apart (default: every column).
+    When ``n_rows``, the known size of ``rows``, is too small for a hot key,
+    the planner decides by the table's own size and nothing is counted.
     """
+    if n_rows is not None and n_rows <= hot_rows:
+        return rows.join(table, key, how)
     small = checked_broadcast(table)
     if small is not None:
         return rows.join(small, key, how)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.plans import views
+from logquarry.session import spread
 from logquarry.sources import archives as A
 
 IMAGE = bytes([0, 1, 2, 3])
@@ -84,7 +85,7 @@ def _packed(docs: DataFrame, pack) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), PACKED)], schema=PACKED)
 
     A.bound_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED_SQL)
+    return spread(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, PACKED_SQL)
 
 
 def _magic(doc_id: int, text: str) -> tuple[str, bytes]:

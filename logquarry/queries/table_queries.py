@@ -23,17 +23,19 @@ C = F.col
 
 
 def _doc_roots(spark, sf):
-    """A root for each (source, language) of even documents and each odd source."""
+    """A root for each (source, language) of even documents, each odd source, each ZIP."""
     docs = views.table(spark, sf, "documents")
     number = F.substring("source", 4, 9).cast("int")
     narrow = docs.where(C("doc_id") % 2 == 0).select(F.concat(F.lit("/data/"), "source", F.lit("/"), "lang").alias("root"))
     wide = docs.where(number % 2 == 1).select(F.concat(F.lit("/data/"), "source").alias("root"))
-    return narrow.unionByName(wide).distinct()
+    zips = views.files(spark, sf).where(C("doc_id") % 10 == 0).select(C("path").alias("root"))
+    return narrow.unionByName(wide).unionByName(zips).distinct()
 
 
 DOC_ROOTS = r"""doc_roots AS (
  SELECT '/data/'||source||'/'||lang AS root FROM documents WHERE doc_id % 2 = 0
- UNION SELECT '/data/'||source FROM documents WHERE CAST(substr(source, 4) AS INTEGER) % 2 = 1)"""
+ UNION SELECT '/data/'||source FROM documents WHERE CAST(substr(source, 4) AS INTEGER) % 2 = 1
+ UNION SELECT '/data/'||source||'/'||lang||'/doc-'||doc_id||'.zip' FROM documents WHERE doc_id % 10 = 0)"""
 
 
 # --- joins ------------------------------------------------------------------
@@ -41,7 +43,7 @@ DOC_ROOTS = r"""doc_roots AS (
 
 @query("jn_01_most_specific_root", rf"""WITH {D.CATALOG}, {DOC_ROOTS}
 SELECT doc_id, coalesce(max_by(root, length(root)), 'none') AS root
-FROM catalog LEFT JOIN doc_roots ON starts_with(path, root||'/') GROUP BY doc_id""")
+FROM catalog LEFT JOIN doc_roots ON path = root OR starts_with(path, root||'/') GROUP BY doc_id""")
 def most_specific_root(spark, sf):
     rooted = R.with_root(views.files(spark, sf), _doc_roots(spark, sf))
     return rooted.select("doc_id", F.coalesce("root", F.lit("none")).alias("root"))
@@ -57,12 +59,12 @@ def most_specific_root_inline(spark, sf):
 
 @query("jn_02_drop_excluded", rf"""WITH {D.CATALOG}, {DOC_ROOTS}
 SELECT doc_id, path FROM catalog WHERE NOT EXISTS (
- SELECT 1 FROM doc_roots WHERE len(string_split(root, '/')) = 3 AND starts_with(path, root||'/'))""")
+ SELECT 1 FROM doc_roots WHERE len(string_split(root, '/')) <> 4 AND (path = root OR starts_with(path, root||'/')))""")
 def drop_excluded(spark, sf):
     from logquarry.functions.paths import depth
 
-    wide = _doc_roots(spark, sf).where(depth(C("root")) == 2)
-    return R.without_excluded(views.files(spark, sf), wide).select("doc_id", "path")
+    excluded = _doc_roots(spark, sf).where(depth(C("root")) != 3)
+    return R.without_excluded(views.files(spark, sf), excluded).select("doc_id", "path")
 
 
 TREE = r"""tree(id, path) AS (
@@ -125,8 +127,8 @@ def changed_rows(spark, sf):
 @query("jn_07_candidates_semi_join", rf"""WITH {D.CATALOG} SELECT doc_id, path FROM catalog WHERE contains(path, 'src11/en')""")
 def candidates(spark, sf):
     rows = views.catalog(spark, sf)
-    # Trigrams of the path alone give candidates; the exact test follows the join.
-    found = rows.where(S.has_trigrams(["src11/en"])).select("path")
+    # Trigrams give candidates; the exact test follows the join.
+    found = S.trigram_candidates(S.trigram_table(rows), ["src11/en"])
     return rows.join(found, "path", "left_semi").where(S.has_substrings(["src11/en"])).select("doc_id", "path")
 
 
@@ -173,7 +175,7 @@ def directories_with_unread(spark, sf):
 
 
 @query("jn_12_is_covered", rf"""WITH {D.CATALOG}, {DOC_ROOTS}
-SELECT doc_id, bool_or(coalesce(starts_with(path, root||'/'), false)) AS covered FROM catalog LEFT JOIN doc_roots ON starts_with(path, root||'/') GROUP BY doc_id""")
+SELECT doc_id, bool_or(root IS NOT NULL) AS covered FROM catalog LEFT JOIN doc_roots ON path = root OR starts_with(path, root||'/') GROUP BY doc_id""")
 def is_covered(spark, sf):
     return R.is_covered(views.files(spark, sf), _doc_roots(spark, sf)).select("doc_id", "covered")
 

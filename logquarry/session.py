@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 # Applications that hold this package already.
@@ -75,3 +75,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counting(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``materialize`` and, from the same job, some aggregates over its rows."""
+    seen = Observation()
+    written = materialize(df.observe(seen, *[expr.alias(key) for key, expr in counts.items()]), name)
+    return written, seen.get
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give costly work on a plain scan at least one partition per core.
+
+    A large input has more partitions than cores already and is not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

@@ -27,7 +27,7 @@ from logquarry.functions.classify import (
 )
 from logquarry.functions.paths import file_name
 from logquarry.operators.lines import finish_lines
-from logquarry.session import materialize, ship_package
+from logquarry.session import materialize, ship_package, spread
 from logquarry.sources.decoders import byte_lines, entries_of, sample_charset, stream_head
 from logquarry.sources.files import plain_path
 
@@ -51,7 +51,7 @@ def bound_batches(spark: SparkSession) -> None:
 def read_containers(spark: SparkSession, paths) -> DataFrame:
     """``path, content`` of files to expand, each at most 2 GiB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return files.select(plain_path(F.col("path")).alias("path"), "content")
+    return spread(files.select(plain_path(F.col("path")).alias("path"), "content"), "path")
 
 
 def decoded_head(content: Column, compression: Column) -> Column:
