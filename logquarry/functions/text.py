@@ -69,7 +69,7 @@ def detect_charset(content: Column) -> Column:
 
 def decode_bytes(content: Column, charset: Column) -> Column:
     """Decode by a charset column; use inside :func:`lenient_charsets`."""
-    result = F.decode(content, "UTF-8")
+    result = F.make_valid_utf8(content.cast("string"))
     for name in ("GBK", "GB18030", "UTF-16LE", "UTF-16BE"):
         result = F.when(charset == name, F.decode(content, name)).otherwise(result)
     return result
@@ -77,7 +77,7 @@ def decode_bytes(content: Column, charset: Column) -> Column:
 
 def strip_line_end(line: Column) -> Column:
     """Drop every trailing carriage return and line feed."""
-    return F.regexp_replace(line, "[\r\n]+$", "")
+    return F.rtrim(line, F.lit("\r\n"))
 
 
 def strip_bom(line: Column) -> Column:
@@ -87,7 +87,7 @@ def strip_bom(line: Column) -> Column:
 
 def cut_bytes(raw: Column, limit: int = MAX_LINE_BYTES) -> Column:
     """Keep the first ``limit`` bytes of an undecoded line."""
-    return F.substring(raw, 1, limit)
+    return F.when(F.octet_length(raw) > limit, F.substring(raw, 1, limit)).otherwise(raw)
 
 
 def is_cut(raw_length: Column, limit: int = MAX_LINE_BYTES) -> Column:

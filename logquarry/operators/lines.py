@@ -16,26 +16,27 @@ from logquarry.functions.text import (
     strip_line_end,
 )
 from logquarry.plans.blocked import with_running
-from logquarry.plans.skew import checked_broadcast
-from logquarry.session import materialize
+from logquarry.plans.skew import BROADCAST_ROWS
+from logquarry.session import materialize_counting
+
+
+def line_pieces(text: Column) -> Column:
+    """Lines of a text: a line feed ends one, an empty rest is none."""
+    pieces = F.split(text, "\n")
+    last = F.element_at(pieces, -1)
+    return F.when(last == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
 
 
 def split_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Explode a text column into ``line_no, content`` rows.
 
-    A line feed ends a line; what follows the last one is a line only when it is
-    not empty.  Everything happens inside the row, so nothing is shuffled.
+    Everything happens inside the row, so nothing is shuffled.
     """
     keep = [c for c in df.columns if c != text]
-    pieces = F.split(F.col(text), "\n")
-    last = F.element_at(pieces, -1)
-    lines = F.when(last == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
-    exploded = df.select(*keep, F.posexplode(lines).alias("_pos", "_line"))
-    first_bom = F.when(F.col("_pos") == 0, strip_bom(F.col("_line"))).otherwise(F.col("_line"))
+    exploded = df.select(*keep, F.posexplode(line_pieces(F.col(text))).alias("_pos", "_line"))
+    shown = F.when(F.col("_pos") == 0, strip_bom(F.col("_line"))).otherwise(F.col("_line"))
     return exploded.select(
-        *keep,
-        (F.col("_pos") + 1).cast("bigint").alias("line_no"),
-        strip_line_end(first_bom).alias("content"),
+        *keep, (F.col("_pos") + 1).cast("bigint").alias("line_no"), strip_line_end(shown).alias("content")
     )
 
 
@@ -57,11 +58,10 @@ def number_blocks(raw: DataFrame) -> DataFrame:
     before = (
         Window.partitionBy("path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     )
-    bases = materialize(counts, "line_blocks").withColumn(
-        "_base", F.coalesce(F.sum("_n").over(before), F.lit(0))
-    )
-    blocks = checked_broadcast(bases)
-    joined = raw.join(blocks if blocks is not None else bases, ["path", "block_start"])
+    blocks, seen = materialize_counting(counts, "line_blocks", n=F.count(F.lit(1)))
+    bases = blocks.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    small = seen["n"] <= BROADCAST_ROWS
+    joined = raw.join(F.broadcast(bases) if small else bases, ["path", "block_start"])
     place = F.col("row_id") - F.col("_first")
     inside = (place >= 0) & (place < F.col("_n"))
     number = F.when(inside, F.col("_base") + place + 1).otherwise(

@@ -89,23 +89,25 @@ def _follow(state: DataFrame, name: str) -> DataFrame:
 def _name_cycles(state: DataFrame, count: int, name: str) -> DataFrame:
     """Mark what is left as cyclic and name each cycle by its smallest id.
 
-    After ``log2`` of the row count further rounds every pointer has gone all the
-    way round, so the smallest id seen from a pointer's target is its cycle's.
+    A node's name is the smallest id seen from its pointer's target.  Once a
+    round changes neither smallest ids nor names, every pointer's path has gone
+    all the way round its cycle.
     """
     ring = state.where(F.col("status").isNull())
-    links = ring.select("id", "up", "low")
-    for _ in range(count.bit_length() + 1):
+    links = ring.select("id", "up", "low", F.lit(None).cast("bigint").alias("stop"))
+    changed = 1
+    while changed:
         above = links.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"))
-        links = materialize(
-            lookup_join(links, above, "up", "inner", F.col("id"), n_rows=count).select(
-                "id", F.col("_up").alias("up"), F.least("low", "_low").alias("low")
-            ),
-            name,
+        moved = lookup_join(links, above, "up", "inner", F.col("id"), n_rows=count).select(
+            "id",
+            F.col("_up").alias("up"),
+            F.least("low", "_low").alias("low"),
+            F.col("_low").alias("stop"),
+            ((F.col("_low") < F.col("low")) | F.col("stop").isNull() | (F.col("stop") != F.col("_low"))).alias("_new"),
         )
-    named = lookup_join(
-        links.select("id", "up"), links.select(F.col("id").alias("up"), F.col("low").alias("stop")), "up", n_rows=count
-    ).select("id", "stop")
-    cyclic = ring.drop("stop", "status").join(named, "id").withColumn("status", F.lit("cyclic"))
+        written, seen = materialize_counting(moved, name, changed=F.count_if("_new"))
+        links, changed = written.drop("_new"), seen["changed"]
+    cyclic = ring.drop("stop", "status").join(links.select("id", "stop"), "id").withColumn("status", F.lit("cyclic"))
     return state.where(F.col("status").isNotNull()).unionByName(cyclic.select(*state.columns))
 
 

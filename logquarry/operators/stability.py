@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logquarry.constants import STABLE_REPEATS, STABLE_SAMPLES
 from logquarry.plans.blocked import id_block, with_running
+from logquarry.session import materialize
 
 
 def _complete(samples: Column) -> Column:
@@ -79,11 +80,11 @@ def arrivals(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     samples = F.transform(
         F.filter("_events", lambda e: e["op"] == "sample"), lambda e: F.struct(e["seq"].alias("seq"), e["size"].alias("size"))
     )
-    folded = gathered.withColumn("_f", _complete(samples))
+    newest = numbered.groupBy("path").agg(F.max("generation").alias("_newest"))
+    folded = materialize(gathered.withColumn("_f", _complete(samples)).join(newest, "path"), "arrival_waits")
     done = folded.where(F.col("_f.done").isNotNull()).select(
         "path", F.col("_f.done").alias("seq"), F.col("_f.final").alias("size")
     )
-    newest = numbered.groupBy("path").agg(F.max("generation").alias("generation"))
-    waiting = folded.where(F.col("_f.done").isNull()).join(newest, keys, "left_semi")
+    waiting = folded.where(F.col("_f.done").isNull() & (F.col("generation") == F.col("_newest")))
     still = waiting.select("path", F.inline("_events")).select("seq", "path", "op", "size")
     return done, still

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.constants import MAX_LINE_BYTES, SAMPLE_BYTES, ArchiveLimits
+from logquarry.constants import ARCHIVE_SUFFIXES, LOG_EXTENSIONS, MAX_LINE_BYTES, SAMPLE_BYTES, ArchiveLimits
 from logquarry.functions.classify import (
     detect_format,
     is_archive_name,
@@ -26,9 +26,10 @@ from logquarry.functions.classify import (
     stream_compression,
 )
 from logquarry.functions.paths import file_name
-from logquarry.operators.lines import finish_lines
+from logquarry.functions.text import decode_bytes, lenient_charsets, strip_bom, strip_line_end
+from logquarry.operators.lines import line_pieces
 from logquarry.session import materialize, ship_package, spread
-from logquarry.sources.decoders import byte_lines, entries_of, sample_charset, stream_head
+from logquarry.sources.decoders import entries_of, line_chunks, sample_charset, stream_head
 from logquarry.sources.files import plain_path
 
 BATCH_BYTES = 64 * 1024 * 1024
@@ -36,7 +37,7 @@ OUT_ROWS, OUT_BYTES = 10_000, 8 * 1024 * 1024
 
 KEYS = "source_path string, chain array<string>, decoded bigint"
 ENTRY_SCHEMA = f"{KEYS}, entry_path string, size bigint, regular boolean, encrypted boolean, text boolean, error string"
-LINE_SCHEMA = f"{KEYS}, entry_path string, charset string, line_no bigint, raw binary, raw_len bigint, error string"
+LINE_SCHEMA = f"{KEYS}, entry_path string, charset string, line_no bigint, raw binary, truncated boolean, error string"
 NESTED_SCHEMA = f"{KEYS}, content binary, error string"
 
 
@@ -91,8 +92,7 @@ def _expand(level: DataFrame, schema: str, visit: Callable, names: list[str]) ->
     """Run ``visit(row) -> rows`` over containers, emitting bounded batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, weight, types = [], 0, None
-        types = _arrow_types(names)
+        pending, weight, types = [], 0, _arrow_types(names)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
@@ -113,7 +113,7 @@ def _arrow_types(names: list[str]) -> pa.Schema:
         "source_path": pa.string(), "chain": pa.list_(pa.string()), "decoded": pa.int64(),
         "entry_path": pa.string(), "size": pa.int64(), "regular": pa.bool_(), "encrypted": pa.bool_(),
         "text": pa.bool_(), "error": pa.string(), "charset": pa.string(), "line_no": pa.int64(),
-        "raw": pa.binary(), "raw_len": pa.int64(), "content": pa.binary(),
+        "raw": pa.binary(), "truncated": pa.bool_(), "content": pa.binary(),
     }
     return pa.schema([(name, kinds[name]) for name in names])
 
@@ -141,20 +141,14 @@ def entries(level: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFr
         listed = []
         try:
             for entry in entries_of(row["content"], row["format"], row["name"], limits):
-                listed.append((*key, entry.name, entry.size, entry.regular, entry.encrypted, False, None))
+                listed.append((*key, entry.name, entry.size, entry.regular, entry.encrypted, row["text"], None))
             yield from listed
         except Exception as error:
             yield (*key, None, None, None, None, None, str(error))
 
-    packed = level.where(F.col("format") != "plain")
-    raw = _expand(packed, ENTRY_SCHEMA, visit, _names(ENTRY_SCHEMA))
-    plain = level.where(F.col("format") == "plain").select(
-        "source_path", "chain", "decoded", F.col("name").alias("entry_path"),
-        F.octet_length("content").cast("bigint").alias("size"),
-        F.lit(True).alias("regular"), F.lit(False).alias("encrypted"),
-        is_text_sample(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"),
-    )
-    rows = raw.unionByName(plain)
+    # Only a plain file is sampled; what a container holds is known by name.
+    sampled = level.withColumn("text", (F.col("format") == "plain") & is_text_sample(F.col("content")))
+    rows = _expand(sampled, ENTRY_SCHEMA, visit, _names(ENTRY_SCHEMA))
     safe = is_safe_entry(F.col("entry_path"), limits.max_path_bytes) & F.col("regular")
     return rows.where(F.col("error").isNotNull() | safe).select(
         "source_path",
@@ -172,10 +166,11 @@ def entries(level: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFr
 def entry_lines(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit: int = MAX_LINE_BYTES) -> DataFrame:
     """Numbered lines of every log entry, decoded by the entry's own charset.
 
-    Lines leave the task while the entry is still being decompressed, so neither
-    an entry nor a container is ever held as decoded text.
+    Python only decompresses and cuts the bytes at line ends; chunks of lines
+    leave the task while the entry is still being read, and decoding, splitting
+    and trimming are Columns.
     """
-    logs = {"." + ext for ext in _log_suffixes()}
+    logs = {"." + ext for ext in LOG_EXTENSIONS}
 
     def visit(row: dict) -> Iterator[tuple]:
         key, current, budget = (row["source_path"], row["chain"], row["decoded"]), None, limits.max_decoded_bytes
@@ -190,23 +185,25 @@ def entry_lines(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit
                 source = entry.open()
                 head = source.read(SAMPLE_BYTES)
                 charset, left = sample_charset(head), budget - row["decoded"]
-                for number, (raw, raw_len) in enumerate(byte_lines(source, charset, limit, head), 1):
-                    left -= raw_len
+                for number, size, raw, cut in line_chunks(source, charset, limit, head):
+                    left -= size
                     if left < 0:
                         raise ValueError("decoded size limit exceeded")
-                    yield (*key, current, charset, number, raw, raw_len, None)
+                    yield (*key, current, charset, number, raw, cut, None)
         except Exception as error:
             yield (*key, current, None, None, None, None, str(error))
 
     raw = _expand(level, LINE_SCHEMA, visit, _names(LINE_SCHEMA))
     safe = raw.where(F.col("error").isNotNull() | is_safe_entry(F.col("entry_path"), limits.max_path_bytes))
-    return finish_lines(safe, F.col("charset"), limit)
-
-
-def _log_suffixes() -> list[str]:
-    from logquarry.constants import LOG_EXTENSIONS
-
-    return LOG_EXTENSIONS
+    with lenient_charsets(level.sparkSession):
+        text = safe.withColumn("text", decode_bytes(F.col("raw"), F.col("charset"))).drop("raw")
+    # A failed row has no text and stays one row without a line.
+    lines = F.when(F.col("error").isNull(), line_pieces(F.col("text")))
+    fields = ["source_path", "chain", "decoded", "entry_path", "charset", "truncated", "error"]
+    exploded = text.select(*fields, F.col("line_no").alias("_first"), F.posexplode_outer(lines).alias("_pos", "_line"))
+    number = F.col("_first") + F.col("_pos")
+    shown = F.when(number == 1, strip_bom(F.col("_line"))).otherwise(F.col("_line"))
+    return exploded.select(*fields, number.alias("line_no"), strip_line_end(shown).alias("content"))
 
 
 def next_level(level: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
@@ -215,8 +212,6 @@ def next_level(level: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> Dat
     An entry that is no archive by its bytes, though named like one, gives a row
     with ``error``; so does one that breaks the running size of its chain.
     """
-    from logquarry.constants import ARCHIVE_SUFFIXES
-
     suffixes = tuple(suffix for suffix, _ in ARCHIVE_SUFFIXES)
 
     def visit(row: dict) -> Iterator[tuple]:

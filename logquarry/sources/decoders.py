@@ -15,10 +15,14 @@ import time
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import zstandard
 
 from logquarry.constants import SAMPLE_BYTES, ArchiveLimits
 
+# Bytes read at once; chunks of lines are about this large.
+CHUNK_BYTES = 1024 * 1024
+
 OPENERS = {
     "gz": lambda data: gzip.GzipFile(fileobj=io.BytesIO(data)),
     "bz2": lambda data: bz2.BZ2File(io.BytesIO(data)),
@@ -137,31 +141,46 @@ def sample_charset(head: bytes) -> str:
     return "GB18030"
 
 
-def byte_lines(source, charset: str, max_line: int, head: bytes = b"") -> Iterator[tuple[bytes, int]]:
-    """``(kept bytes, raw length)`` of each line, reading in small chunks.
+def line_chunks(source, charset: str, max_line: int, head: bytes = b"") -> Iterator[tuple[int, int, bytes, bool]]:
+    """``(first line number, bytes read, chunk, cut)`` pieces of a byte stream.
 
-    The raw length includes the line end; at most ``max_line`` bytes are kept.
-    UTF-16 lines end at a two-byte line feed on an even position.
+    A chunk holds whole lines, so it can be decoded and split on its own.  A line
+    longer than ``max_line`` bytes, its end included, is a chunk by itself, cut
+    to that length.  Line ends of UTF-16 are two bytes wide and aligned.
     """
-    feed = {"UTF-16LE": b"\n\0", "UTF-16BE": b"\0\n"}.get(charset, b"\n")
-    unit, rest, kept, length = len(feed), b"", b"", 0
-    chunk = head or source.read(64 * 1024)
-    while chunk:
-        data, rest = rest + chunk, b""
-        if unit == 2 and len(data) % 2:
-            data, rest = data[:-1], data[-1:]
-        start = 0
-        while True:
-            at = data.find(feed, start)
-            while unit == 2 and at >= 0 and at % 2:
-                at = data.find(feed, at + 1)
-            stop = len(data) if at < 0 else at + unit
-            kept += data[start : min(stop, start + max_line - len(kept))]
-            length += stop - start
-            if at < 0:
-                break
-            yield kept, length
-            kept, length, start = b"", 0, stop
-        chunk = source.read(64 * 1024)
-    if length or rest:
-        yield (kept + rest)[:max_line], length + len(rest)
+    unit = {"UTF-16LE": "<u2", "UTF-16BE": ">u2"}.get(charset, "u1")
+    width, number, rest, skipped = np.dtype(unit).itemsize, 1, b"", 0
+    data = head or source.read(CHUNK_BYTES)
+    while data:
+        data = rest + data
+        whole = len(data) - len(data) % width
+        ends = (np.flatnonzero(np.frombuffer(data[:whole], unit) == 10) + 1) * width
+        starts = np.concatenate(([0], ends))
+        lengths = np.diff(starts)
+        if len(lengths) and skipped:
+            lengths[0] += skipped
+        begin = 0
+        for i in np.flatnonzero(lengths > max_line):
+            if starts[i] > starts[begin]:
+                piece = data[starts[begin] : starts[i]]
+                yield number, len(piece), piece, False
+                number += int(i) - begin
+            yield number, int(lengths[i]), data[starts[i] : starts[i] + max_line], True
+            number, begin = number + 1, int(i) + 1
+        if starts[-1] > starts[begin]:
+            piece = data[starts[begin] : starts[-1]]
+            yield number, len(piece), piece, False
+            number += len(lengths) - begin
+        if len(lengths):
+            skipped = 0
+        # What follows the last line end; of an overlong line only the kept part.
+        rest = data[starts[-1] :]
+        keep = max_line + max_line % width
+        if len(rest) > keep + CHUNK_BYTES:
+            surplus = len(rest) - keep - (len(rest) - keep) % width
+            odd = rest[keep + surplus :]
+            rest, skipped = rest[:keep] + odd, skipped + surplus
+        data = source.read(CHUNK_BYTES)
+    length = len(rest) + skipped
+    if length:
+        yield number, length, rest[:max_line], length > max_line

@@ -15,7 +15,11 @@ from logquarry.operators.roots import Roots, with_root, without_excluded, withou
 
 def plain_path(path):
     """Drop the scheme a file listing puts before a path."""
-    return F.regexp_replace(path, "^file:/+", "/")
+    return (
+        F.when(F.startswith(path, F.lit("file:///")), F.substring(path, 8, 2**31 - 1))
+        .when(F.startswith(path, F.lit("file:/")), F.substring(path, 6, 2**31 - 1))
+        .otherwise(path)
+    )
 
 
 def listing(spark: SparkSession, roots: Sequence[str]) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,13 +23,12 @@ class Snapshots:
     def __init__(self, spark: SparkSession, path: str, schema: StructType, partition_by: Sequence[str] = ()):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.partition_by = list(partition_by)
+        # An empty first entry makes the log readable; it is written only once.
+        spark.createDataFrame([], LOG_SCHEMA).write.mode("ignore").parquet(f"{self.path}/commits/n=-1")
 
     def log(self) -> DataFrame:
         """All completed versions."""
-        try:
-            return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/commits")
-        except AnalysisException:
-            return self.spark.createDataFrame([], LOG_SCHEMA)
+        return self.spark.read.schema(f"{LOG_SCHEMA}, n bigint").parquet(f"{self.path}/commits").drop("n")
 
     def version(self) -> int | None:
         """The live version, None before the first."""
@@ -56,11 +54,9 @@ class Snapshots:
 
     def switch(self, version: int, note: str = "") -> None:
         """Make a built version the live one; a second call changes nothing."""
-        if not self.log().where(F.col("version") == version).isEmpty():
-            return
         count = self.read(version).count()
         entry = self.spark.createDataFrame([(version, count, note)], LOG_SCHEMA)
-        entry.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        entry.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/n={version}")
 
     def replace(self, rows: DataFrame, note: str = "", version: int | None = None) -> int:
         """Build and switch; readers see the old rows until the very end."""

@@ -18,8 +18,9 @@ class BatchTable:
             schema = spark.createDataFrame([], schema).schema
         self.schema = schema
         self._full = StructType([*schema.fields, StructField("batch_id", LongType())])
-        # A first folder makes the table readable before any batch.
-        self.write(spark.createDataFrame([], schema) if first is None else first, -1)
+        # A first folder makes the table readable; a table reopened keeps its own.
+        begun = spark.createDataFrame([], schema) if first is None else first
+        begun.select(*schema.names).write.mode("ignore").parquet(f"{self.path}/batch_id=-1")
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Write one batch."""
