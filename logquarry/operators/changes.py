@@ -15,6 +15,7 @@ from logquarry.functions.classify import has_bits
 from logquarry.functions.paths import comparable, parent_dir
 from logquarry.operators.nodes import affected_files, is_directory, latest_records, resolve_files
 from logquarry.operators.roots import root_matches, without_excluded
+from logquarry.plans.skew import lookup_join
 from logquarry.session import materialize, materialize_counting
 
 
@@ -102,7 +103,7 @@ def normalize_directory_events(events: DataFrame) -> DataFrame:
     rescans = marked.where("_ambiguous").select("watch_dir").distinct()
     each = marked.where(F.col("_steps").isNotNull()).select("seq", "watch_dir", "old_path", F.inline("_steps"))
     last = last_per_key(each, ["watch_dir", "key"]).where(F.col("op") != "drop")
-    kept = last.join(rescans, "watch_dir", "left_anti").select(
+    kept = lookup_join(last, rescans, "watch_dir", "left_anti").select(
         "watch_dir", "op", "path", F.when(F.col("op") == "rename", F.col("old_path")).alias("old_path")
     )
     none = F.lit(None).cast("string")
@@ -117,7 +118,7 @@ def apply_directory_changes(rows: DataFrame, changes: DataFrame, listing: DataFr
     Changed directories are edited, rescanned ones replaced by ``listing``
     (``watch_dir, path``), others left alone.  Known children are kept.
     """
-    rescans = changes.where(F.col("op") == "rescan").select("watch_dir")
+    rescans = changes.where(F.col("op") == "rescan").select("watch_dir").distinct()
     edits = changes.where(F.col("op") != "rescan")
     gone = (
         edits.where(F.col("op") == "remove").select("watch_dir", "path")
@@ -126,8 +127,8 @@ def apply_directory_changes(rows: DataFrame, changes: DataFrame, listing: DataFr
     )
     incoming = edits.where(F.col("op").isin("upsert", "rename")).select("watch_dir", "path")
     keys = ["watch_dir", "path"]
-    stay = rows.join(rescans, "watch_dir", "left_anti").select(*keys).join(gone, keys, "left_anti")
-    listed = listing.join(rescans, "watch_dir", "left_semi").select(*keys)
+    stay = lookup_join(rows, rescans, "watch_dir", "left_anti").select(*keys).join(gone, keys, "left_anti")
+    listed = lookup_join(listing, rescans, "watch_dir", "left_semi").select(*keys)
     after = stay.unionByName(incoming).unionByName(listed).distinct()
     return keep_children(after, rows, keys)
 
@@ -240,12 +241,12 @@ def catch_up_records(
     no record is lost to the limit.
     """
     ready = plan.where("resumable").select("root", "from_seq", "to_seq")
-    todo = journal.join(ready, "root").where(
+    todo = lookup_join(journal, ready, "root").where(
         (F.col("seq") >= F.col("from_seq")) & (F.col("seq") < F.col("to_seq"))
     )
     over = todo.groupBy("root").count().where(F.col("count") > limit).select("root")
     rebuild = plan.where(~F.col("resumable")).select("root").unionByName(over)
-    return todo.join(over, "root", "left_anti").select(*journal.columns), rebuild
+    return lookup_join(todo, over, "root", "left_anti").select(*journal.columns), rebuild
 
 
 def node_log(nodes: DataFrame, records: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from logquarry.functions.text import (
     strip_bom,
     strip_line_end,
 )
-from logquarry.plans.blocked import with_running
+from logquarry.plans.blocked import id_block, with_running
 from logquarry.plans.skew import BROADCAST_ROWS
 from logquarry.session import materialize_counting
 
@@ -101,14 +101,10 @@ def line_offsets(df: DataFrame, keys: list[str], order: str, block: Column, cont
 def raw_lengths(index: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
     """Length of a line from the offsets: next start minus own start.
 
-    ``index`` may hold no lengths.  The next start is found by shifting line
-    numbers by one and joining by key, which spreads over all tasks even when
-    one file holds most lines.
+    ``index`` may hold no lengths; the last line of a file has none.
     """
-    following = index.select(*keys, (F.col(order) - 1).alias(order), F.col("byte_start").alias("_next"))
-    return index.join(following, [*keys, order], "left").withColumn(
-        "raw_len", F.col("_next") - F.col("byte_start")
-    ).drop("_next")
+    following = with_running(index, keys, order, id_block(order), following={"_next": "byte_start"})
+    return following.withColumn("raw_len", F.col("_next") - F.col("byte_start")).drop("_next")
 
 
 def read_range(lines: DataFrame, start: int, count: int) -> DataFrame:

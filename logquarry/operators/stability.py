@@ -76,15 +76,16 @@ def arrivals(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = numbered.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= STABLE_SAMPLES + 2)
     gathered = first.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("seq", "op", "size"))).alias("_events")
-    ).where(F.element_at("_events", 1)["op"] == "schedule")
+    )
     samples = F.transform(
         F.filter("_events", lambda e: e["op"] == "sample"), lambda e: F.struct(e["seq"].alias("seq"), e["size"].alias("size"))
     )
-    newest = numbered.groupBy("path").agg(F.max("generation").alias("_newest"))
-    folded = materialize(gathered.withColumn("_f", _complete(samples)).join(newest, "path"), "arrival_waits")
+    waits = materialize(gathered.withColumn("_f", _complete(samples)), "arrival_waits")
+    folded = waits.where(F.element_at("_events", 1)["op"] == "schedule")
     done = folded.where(F.col("_f.done").isNotNull()).select(
         "path", F.col("_f.done").alias("seq"), F.col("_f.final").alias("size")
     )
-    waiting = folded.where(F.col("_f.done").isNull() & (F.col("generation") == F.col("_newest")))
+    newest = waits.groupBy("path").agg(F.max("generation").alias("generation"))
+    waiting = folded.where(F.col("_f.done").isNull()).join(newest, keys, "left_semi")
     still = waiting.select("path", F.inline("_events")).select("seq", "path", "op", "size")
     return done, still

@@ -29,21 +29,24 @@ def with_running(
     position: str | None = None,
     sums: Mapping[str, Column] | None = None,
     previous: Mapping[str, str] | None = None,
+    following: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add running columns per ``keys`` in ``order``.
 
     ``position`` names a 1-based row number; ``sums`` maps a new column to the
-    expression whose values *before* the row are summed; ``previous`` maps a new
-    column to the column whose value in the row before is wanted.
+    expression whose values *before* the row are summed; ``previous`` and
+    ``following`` map a new column to the column whose value in the row before or
+    after is wanted.
     ``block`` must not decrease with ``order`` inside a key.
     """
-    sums, previous = dict(sums or {}), dict(previous or {})
+    sums, previous, following = dict(sums or {}), dict(previous or {}), dict(following or {})
     rows = df.withColumn("_block", block)
     groups = [*keys, "_block"]
 
     totals = [F.count(F.lit(1)).alias("_n")]
     totals += [F.sum(expr).alias(f"_t_{name}") for name, expr in sums.items()]
     totals += [F.max_by(F.struct(col), F.col(order)).alias(f"_l_{name}") for name, col in previous.items()]
+    totals += [F.min_by(F.struct(col), F.col(order)).alias(f"_f_{name}") for name, col in following.items()]
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     last = Window.partitionBy(*keys).orderBy("_block")
     bases = rows.groupBy(*groups).agg(*totals).select(
@@ -51,6 +54,7 @@ def with_running(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b_n"),
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
         *[F.lag(f"_l_{n}").over(last).alias(f"_p_{n}") for n in previous],
+        *[F.lead(f"_f_{n}").over(last).alias(f"_q_{n}") for n in following],
     )
 
     inside = Window.partitionBy(*groups).orderBy(order)
@@ -59,6 +63,7 @@ def with_running(
     local = [F.row_number().over(inside).cast("bigint").alias("_i")] if position else []
     local += [F.coalesce(F.sum(expr).over(earlier), F.lit(0)).alias(f"_s_{n}") for n, expr in sums.items()]
     local += [F.lag(F.struct(col)).over(inside).alias(f"_v_{n}") for n, col in previous.items()]
+    local += [F.lead(F.struct(col)).over(inside).alias(f"_w_{n}") for n, col in following.items()]
     placed = rows.select(*columns, "_block", *local).join(bases, groups)
 
     out = [(F.col("_i") + F.col("_b_n")).alias(position)] if position else []
@@ -66,4 +71,7 @@ def with_running(
     out += [
         F.coalesce(F.col(f"_v_{n}"), F.col(f"_p_{n}")).getField(col).alias(n) for n, col in previous.items()
     ]
+    out += [
+        F.coalesce(F.col(f"_w_{n}"), F.col(f"_q_{n}")).getField(col).alias(n) for n, col in following.items()
+    ]
     return placed.select(*columns, *out)

@@ -97,15 +97,20 @@ def test_running_values_do_not_depend_on_blocks(spark):
     df = spark.createDataFrame(items, "seq bigint, key string, v bigint").repartition(7)
 
     def answer(block_rows):
-        out = with_running(df, ["key"], "seq", id_block("seq", block_rows), "n", {"before": F.col("v")}, {"prev": "v"})
-        return sorted(map(tuple, out.select("seq", "key", "v", "n", "before", F.coalesce("prev", F.lit(-1))).collect()))
+        out = with_running(df, ["key"], "seq", id_block("seq", block_rows), "n", {"before": F.col("v")}, {"prev": "v"}, {"nxt": "v"})
+        return sorted(
+            map(tuple, out.select("seq", "key", "v", "n", "before", F.coalesce("prev", F.lit(-1)), F.coalesce("nxt", F.lit(-1))).collect())
+        )
 
-    state, expected = {}, []
+    state, latest, expected = {}, {}, []
     for seq, key, v in items:
         n, total, prev = state.get(key, (0, 0, -1))
-        expected.append((seq, key, v, n + 1, total, prev))
+        expected.append([seq, key, v, n + 1, total, prev, -1])
+        if n:
+            latest[key][-1] = v
+        latest[key] = expected[-1]
         state[key] = (n + 1, total + v, v)
-    assert answer(10) == answer(257) == answer(10**6) == sorted(expected)
+    assert answer(10) == answer(257) == answer(10**6) == sorted(map(tuple, expected))
 
 
 def test_export(spark, tmp_path):
