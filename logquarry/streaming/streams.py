@@ -64,8 +64,20 @@ def new_files(spark: SparkSession, root: str, max_files: int = 1000) -> DataFram
 def run(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Start a job that hands each coalesced batch to ``handle``."""
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    """Start a job that hands each coalesced batch to ``handle``.
+
+    A handler looks at its batch several times, so the batch is kept meanwhile;
+    an executor that is lost takes nothing along that its files cannot give back.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            handle(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=COALESCE)
     return writer.start()
 
