@@ -45,8 +45,8 @@ def path_key(path: Column) -> Column:
 def comparable(path: Column) -> Column:
     """Slash-only form used for containment tests."""
     slashed = F.regexp_replace(path, r"[/\\]+", "/")
-    is_root = slashed.rlike(r"^([A-Za-z]:)?/$")
-    trimmed = F.when(is_root, slashed).otherwise(F.regexp_replace(slashed, "/$", ""))
+    # A trailing slash goes unless it is all there is, or all that follows a drive.
+    trimmed = F.regexp_replace(slashed, "(?<!^[A-Za-z]:)(?<!^)/$", "")
     return F.when(is_windows(path), F.lower(trimmed)).otherwise(trimmed)
 
 

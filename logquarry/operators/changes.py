@@ -74,34 +74,34 @@ def normalize_directory_events(events: DataFrame) -> DataFrame:
     top = comparable(parent_dir(F.col("path"))) == comparable(F.col("watch_dir"))
     old_top = comparable(parent_dir(F.col("old_path"))) == comparable(F.col("watch_dir"))
     op, here = F.col("op"), F.col("present")
+    lost = ~here & ((op == "modify") | ((op == "rename") & old_top))
+    vague = (op == "rename_unpaired") | (op == "any")
     ambiguous = F.coalesce(
-        F.when(op == "rename", top & old_top & ~here)
-        .when(op == "modify", top & ~here)
-        .when(op == "rename_unpaired", top | F.coalesce(old_top, F.lit(False)))
-        .when(op == "any", F.col("path").isNull() | top)
-        .when(op == "overflow", F.lit(True)),
+        (op == "overflow")
+        | ((op == "any") & F.col("path").isNull())
+        | ((lost | vague) & top)
+        | ((op == "rename_unpaired") & old_top),
         F.lit(False),
     )
 
     def pending(key: Column, what: str, path: Column) -> Column:
         return F.struct(key.alias("key"), F.lit(what).alias("op"), path.alias("path"))
 
-    steps = (
-        F.when((op == "create") & here & top, F.array(pending(F.col("path"), "upsert", F.col("path"))))
-        .when((op == "modify") & here & top, F.array(pending(F.col("path"), "upsert", F.col("path"))))
-        .when((op == "remove") & top, F.array(pending(F.col("path"), "remove", F.col("path"))))
+    steps = F.when(
+        top,
+        F.when(op.isin("create", "modify") & here, F.array(pending(F.col("path"), "upsert", F.col("path"))))
+        .when(op == "remove", F.array(pending(F.col("path"), "remove", F.col("path"))))
         .when(
-            (op == "rename") & top & old_top & here,
+            (op == "rename") & here & old_top,
             F.array(
                 pending(F.col("old_path"), "drop", F.col("path")),
                 pending(F.col("path"), "drop", F.col("path")),
                 pending(F.concat(F.lit("rename:"), F.col("old_path")), "rename", F.col("path")),
             ),
-        )
+        ),
     )
-    marked = events.select("seq", "watch_dir", "old_path", ambiguous.alias("_ambiguous"), steps.alias("_steps"))
-    rescans = marked.where("_ambiguous").select("watch_dir").distinct()
-    each = marked.where(F.col("_steps").isNotNull()).select("seq", "watch_dir", "old_path", F.inline("_steps"))
+    rescans = events.where(ambiguous).select("watch_dir").distinct()
+    each = events.select("seq", "watch_dir", "old_path", F.inline(steps))
     last = last_per_key(each, ["watch_dir", "key"]).where(F.col("op") != "drop")
     kept = lookup_join(last, rescans, "watch_dir", "left_anti").select(
         "watch_dir", "op", "path", F.when(F.col("op") == "rename", F.col("old_path")).alias("old_path")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.constants import PLATFORM_SKIPPED
-from logquarry.functions.paths import ancestor_keys, comparable, depth, file_name, is_windows, within
+from logquarry.functions.paths import ancestor_keys, comparable, depth, file_name, within
 from logquarry.plans.skew import lookup_join
 
 # Lists up to this length are compiled into an expression.
@@ -41,14 +41,19 @@ def root_matches(df: DataFrame, path: str, roots: DataFrame) -> DataFrame:
 
 
 def _inline(path: Column, roots: Sequence[str]) -> Column:
-    """The most specific of a few roots, tested deepest first."""
-    key = comparable(path)
+    """The most specific of a few roots, tested deepest first.
+
+    The key is bound once by a one-element array, so it is computed once per row
+    however many roots there are.
+    """
+    if not roots:
+        return F.lit(None).cast("string")
     deepest = sorted(dict.fromkeys(roots), key=lambda r: -len([p for p in r.replace("\\", "/").split("/") if p]))
-    options = [
-        F.when((is_windows(path) == is_windows(F.lit(r))) & within(key, comparable(F.lit(r))), F.lit(r))
-        for r in deepest
-    ]
-    return F.coalesce(*options) if options else F.lit(None).cast("string")
+
+    def first_match(key: Column) -> Column:
+        return F.coalesce(*[F.when(within(key, comparable(F.lit(r))), F.lit(r)) for r in deepest])
+
+    return F.element_at(F.transform(F.array(comparable(path)), first_match), 1)
 
 
 def _as_list(roots: Roots) -> list[str] | None:
