@@ -88,29 +88,34 @@ def _packed(docs: DataFrame, pack) -> DataFrame:
     return spread(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, PACKED_SQL)
 
 
-def _magic(doc_id: int, text: str) -> tuple[str, bytes]:
-    kind = doc_id % 12
+ZIPS = ["zip"]
+TARS = ["tar", "tar.gz", "tar.bz2", "tar.xz", "tar.zst"]
+STREAMS = ["log.gz", "log.bz2", "log.xz", "log.zst"]
+PLAIN = ["log"]
+FOREIGN = ["7z", "rar"]
+
+
+def _pack_one(fmt: str, doc_id: int, text: str) -> tuple[str, bytes]:
     members, body = members_of(doc_id, text), text.encode()
-    formats = ["zip", "tar", "tar.gz", "tar.bz2", "tar.xz", "tar.zst", "log.gz", "log.bz2", "log.zst", "log", "7z", "rar"]
-    if kind == 0:
+    if fmt == "zip":
         data = make_zip(members)
-    elif kind <= 5:
+    elif fmt.startswith("tar"):
         data = make_tar(members)
-        data = data if kind == 1 else SQUEEZE[formats[kind][4:]](data)
-    elif kind <= 8:
-        data = SQUEEZE[formats[kind][4:]](body)
-    elif kind == 9:
-        data = body
+        data = SQUEEZE[fmt[4:]](data) if fmt != "tar" else data
+    elif fmt in FOREIGN:
+        data = bytes.fromhex("377ABCAF271C" if fmt == "7z" else "526172211A0700") + body
     else:
-        data = bytes.fromhex("377ABCAF271C" if kind == 10 else "526172211A0700") + body
+        data = SQUEEZE[fmt[4:]](body) if fmt != "log" else body
     # Some containers carry a name that says nothing about them.
-    name = f"download-{doc_id}.part" if doc_id % 5 == 4 and kind < 6 else f"doc-{doc_id}.{formats[kind]}"
-    return f"/drop/{name}", data
+    nameless = doc_id % 7 == 4 and not fmt.startswith("log")
+    return f"/drop/download-{doc_id}.part" if nameless else f"/drop/doc-{doc_id}.{fmt}", data
 
 
-def magic_files(spark, sf: str) -> DataFrame:
-    """``doc_id, path, content``: one container per document in twelve formats."""
-    return _packed(views.table(spark, sf, "documents"), _magic)
+def packed_files(spark, sf: str, formats: list[str]) -> DataFrame:
+    """``doc_id, path, content``: every document packed, the formats in turn."""
+    return _packed(
+        views.table(spark, sf, "documents"), lambda doc_id, text: _pack_one(formats[doc_id % len(formats)], doc_id, text)
+    )
 
 
 def _tar_header(doc_id: int, text: str) -> tuple[str, bytes]:
@@ -130,10 +135,9 @@ def tar_headers(spark, sf: str) -> DataFrame:
     return _packed(views.table(spark, sf, "documents"), _tar_header)
 
 
-def encrypted_listing(spark, sf: str) -> DataFrame:
-    """Entries of the ZIPs among the containers."""
-    zips = _packed(views.table(spark, sf, "documents").where(F.col("doc_id") % 12 == 0), _magic)
-    listed = A.entries(A.start_level(zips))
+def zip_listing(spark, sf: str) -> DataFrame:
+    """Entries of every document packed as a ZIP."""
+    listed = A.entries(A.start_level(packed_files(spark, sf, ZIPS)))
     return listed.withColumn("doc_id", F.regexp_extract("source_path", r"(\d+)", 1).cast("bigint"))
 
 

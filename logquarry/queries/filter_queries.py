@@ -9,7 +9,8 @@ from logquarry.operators import search as S
 from logquarry.operators.roots import without_excluded, without_platform_directories
 from logquarry.plans import views
 from logquarry.queries import duck as D
-from logquarry.queries.derived import encrypted_listing, magic_files, tar_headers
+from logquarry.queries import derived as P
+from logquarry.queries.derived import tar_headers, zip_listing
 from logquarry.queries.path_queries import EXCLUSIONS
 from logquarry.queries.registry import query
 from logquarry.sources import archives as A
@@ -45,12 +46,13 @@ def archive_format(spark, sf):
     return _names(spark, sf).select("doc_id", fmt.alias("format"))
 
 
-@query("flt_03_magic_format", """SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'zip' WHEN 1 THEN 'tar' WHEN 2 THEN 'tar.gz'
- WHEN 3 THEN 'tar.bz2' WHEN 4 THEN 'tar.xz' WHEN 5 THEN 'tar.zst' WHEN 6 THEN 'gz' WHEN 7 THEN 'bz2' WHEN 8 THEN 'zst'
- WHEN 9 THEN 'plain' WHEN 10 THEN '7z' ELSE 'rar' END AS format FROM documents""")
+MAGIC_FORMATS = [*P.ZIPS, *P.TARS, *P.STREAMS, *P.PLAIN, *P.FOREIGN]
+SHOWN = ["plain" if f == "log" else f.removeprefix("log.") for f in MAGIC_FORMATS]
+
+
+@query("flt_03_magic_format", f"""SELECT doc_id, ['{"', '".join(SHOWN)}'][doc_id % {len(SHOWN)} + 1] AS format FROM documents""")
 def magic_format(spark, sf):
-    files = magic_files(spark, sf)
-    return A.with_format(files).select("doc_id", "format")
+    return A.with_format(P.packed_files(spark, sf, MAGIC_FORMATS)).select("doc_id", "format")
 
 
 @query("flt_04_tar_header", "SELECT doc_id, doc_id % 4 < 2 AS is_tar FROM documents")
@@ -176,17 +178,17 @@ def trigram_candidates(spark, sf):
 
 
 @query("flt_18_regular_entries", """SELECT doc_id, entry_path FROM (
- SELECT doc_id, unnest(['logs/doc-'||doc_id||'.log', 'assets/image.bin', '日志/服务.txt']) AS entry_path FROM documents WHERE doc_id % 12 <= 5)
- UNION ALL SELECT doc_id, 'secret.log' FROM documents WHERE doc_id % 12 = 0""")
+ SELECT doc_id, unnest(['logs/doc-'||doc_id||'.log', 'assets/image.bin', '日志/服务.txt']) AS entry_path FROM documents)
+ UNION ALL SELECT doc_id, 'secret.log' FROM documents WHERE doc_id % 6 = 0""")
 def regular_entries(spark, sf):
-    files = magic_files(spark, sf).where(C("doc_id") % 12 <= 5)
+    files = P.packed_files(spark, sf, [*P.ZIPS, *P.TARS])
     number = F.regexp_extract("source_path", r"(\d+)", 1).cast("bigint")
     return A.entries(A.start_level(files)).select(number.alias("doc_id"), "entry_path")
 
 
-@query("flt_19_encrypted_entries", "SELECT doc_id, 'secret.log' AS entry_path, false AS is_log, false AS is_archive FROM documents WHERE doc_id % 12 = 0")
+@query("flt_19_encrypted_entries", "SELECT doc_id, 'secret.log' AS entry_path, false AS is_log, false AS is_archive FROM documents")
 def encrypted_entries(spark, sf):
-    return encrypted_listing(spark, sf).where("encrypted").select("doc_id", "entry_path", "is_log", "is_archive")
+    return zip_listing(spark, sf).where("encrypted").select("doc_id", "entry_path", "is_log", "is_archive")
 
 
 @query("flt_20_tree_visibility", rf"""WITH {D.CATALOG}
@@ -199,10 +201,9 @@ def tree_visibility(spark, sf):
     return rows.select("doc_id", (shown | (C("path") == active)).alias("visible"))
 
 
-@query("flt_21_browsable_entries", """SELECT doc_id, entry_path FROM (
- SELECT doc_id, unnest(['logs/doc-'||doc_id||'.log', '日志/服务.txt']) AS entry_path FROM documents WHERE doc_id % 12 = 0)""")
+@query("flt_21_browsable_entries", """SELECT doc_id, unnest(['logs/doc-'||doc_id||'.log', '日志/服务.txt']) AS entry_path FROM documents""")
 def browsable_entries(spark, sf):
-    return A.browsable(encrypted_listing(spark, sf)).select("doc_id", "entry_path")
+    return A.browsable(zip_listing(spark, sf)).select("doc_id", "entry_path")
 
 
 @query("flt_22_size_limit", f"""SELECT doc_id, n_chars * doc_id * 1000 AS size, n_chars * doc_id * 1000 > {MAX_FILE_BYTES} AS refused FROM documents""")

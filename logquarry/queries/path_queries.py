@@ -227,11 +227,14 @@ def cut_bytes(spark, sf):
     )
 
 
-@query("fn_05_two_byte_line_breaks", rf"""WITH {D.LINES} SELECT doc_id, line_no, content FROM file_lines WHERE doc_id % 5 IN (2, 3)""")
+@query("fn_05_two_byte_line_breaks", rf"""WITH {D.LINES} SELECT doc_id, line_no, content FROM file_lines""")
 def two_byte_lines(spark, sf):
     from logquarry.sources.textlines import lines_of_content
 
-    wide = _bytes(spark, sf).where((C("doc_id") % 5).isin(2, 3)).select("doc_id", "content")
+    docs = views.table(spark, sf, "documents")
+    little = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
+    big = F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"))
+    wide = docs.select("doc_id", F.when(C("doc_id") % 2 == 0, little).otherwise(big).alias("content"))
     return lines_of_content(wide).select("doc_id", "line_no", "content")
 
 
@@ -249,12 +252,10 @@ def name_tokens(spark, sf):
     return _spelled(spark, sf, token=F.explode(X.name_tokens(C("path"))))
 
 
-@query("fn_07_query_tokens", rf"""WITH q AS (SELECT doc_id, left(replace(text, chr(10), ' '), 200) AS head FROM documents)
-SELECT DISTINCT doc_id, unnest({_token_sql("translate(head, '-+,.:/\\_', '        ')")}) AS token FROM q""")
+@query("fn_07_query_tokens", rf"""SELECT DISTINCT doc_id, unnest({_token_sql("translate(text, '-+,.:/\\_', '        ')")}) AS token FROM documents""")
 def query_token_rows(spark, sf):
     docs = views.table(spark, sf, "documents")
-    head = F.left(F.replace(C("text"), F.lit("\n"), F.lit(" ")), F.lit(200))
-    return docs.select("doc_id", F.explode(X.query_token_column(head)).alias("token"))
+    return docs.select("doc_id", F.explode(X.query_token_column(C("text"))).alias("token"))
 
 
 @query("fn_08_query_terms", r"""SELECT doc_id, pos, term FROM (
@@ -317,9 +318,9 @@ def octal(spark, sf):
     )
 
 
-@query("fn_15_same_path", rf"""WITH {D.SPELLINGS} SELECT doc_id, doc_id % 5 IN (0, 3) AS same FROM spellings WHERE doc_id % 5 IN (0, 3, 4)""")
+@query("fn_15_same_path", rf"""WITH {D.SPELLINGS} SELECT doc_id, doc_id % 5 IN (0, 3) AS same FROM spellings""")
 def same_path(spark, sf):
-    rows = views.spellings(spark, sf).where((C("doc_id") % 5).isin(0, 3, 4))
+    rows = views.spellings(spark, sf)
     other = F.when(C("doc_id") % 5 == 0, F.upper(F.replace(C("path"), F.lit("\\"), F.lit("/")))).when(
         C("doc_id") % 5 == 3, F.replace(F.regexp_replace(C("path"), "/$", ""), F.lit("//"), F.lit("/"))
     ).otherwise(F.lower("path"))

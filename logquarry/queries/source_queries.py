@@ -10,7 +10,8 @@ from logquarry.operators.roots import with_root
 from logquarry.operators.search import with_search_columns
 from logquarry.plans import views
 from logquarry.queries import duck as D
-from logquarry.queries.derived import magic_files, nested_files
+from logquarry.queries import derived as P
+from logquarry.queries.derived import nested_files
 from logquarry.queries.path_queries import EXCLUSIONS
 from logquarry.queries.registry import query
 from logquarry.session import materialize, work_path
@@ -99,45 +100,46 @@ def text_lines(spark, sf):
 
 # --- containers -------------------------------------------------------------
 
-ENTRY_COLUMNS = """SELECT doc_id, 'logs/doc-'||doc_id||'.log' AS entry_path, octet_length(encode(text)) AS size, true AS is_log, false AS encrypted FROM documents WHERE KINDS
-UNION ALL SELECT doc_id, 'assets/image.bin', 4, false, false FROM documents WHERE KINDS
-UNION ALL SELECT doc_id, '日志/服务.txt', 8, true, false FROM documents WHERE KINDS"""
+ENTRY_COLUMNS = """SELECT doc_id, 'logs/doc-'||doc_id||'.log' AS entry_path, octet_length(encode(text)) AS size, true AS is_log, false AS encrypted FROM documents
+UNION ALL SELECT doc_id, 'assets/image.bin', 4, false, false FROM documents
+UNION ALL SELECT doc_id, '日志/服务.txt', 8, true, false FROM documents"""
 
 
-def _listed(spark, sf, *kinds):
-    files = magic_files(spark, sf).where((C("doc_id") % 12).isin(*kinds))
-    return A.entries(A.start_level(files)).withColumn("doc_id", doc_number())
+def _listed(spark, sf, formats):
+    listed = A.entries(A.start_level(P.packed_files(spark, sf, formats)))
+    return listed.withColumn("doc_id", doc_number())
 
 
-@query("src_05_zip_entries", ENTRY_COLUMNS.replace("KINDS", "doc_id % 12 = 0")
-       + " UNION ALL SELECT doc_id, 'secret.log', 6, false, true FROM documents WHERE doc_id % 12 = 0")
+@query("src_05_zip_entries", ENTRY_COLUMNS + " UNION ALL SELECT doc_id, 'secret.log', 6, false, true FROM documents")
 def zip_entries(spark, sf):
-    return _listed(spark, sf, 0).select("doc_id", "entry_path", "size", "is_log", "encrypted")
+    return _listed(spark, sf, P.ZIPS).select("doc_id", "entry_path", "size", "is_log", "encrypted")
 
 
-@query("src_06_tar_entries", ENTRY_COLUMNS.replace("KINDS", "doc_id % 12 BETWEEN 1 AND 5"))
+@query("src_06_tar_entries", ENTRY_COLUMNS)
 def tar_entries(spark, sf):
-    return _listed(spark, sf, 1, 2, 3, 4, 5).select("doc_id", "entry_path", "size", "is_log", "encrypted")
+    return _listed(spark, sf, P.TARS).select("doc_id", "entry_path", "size", "is_log", "encrypted")
 
 
-@query("src_07_stream_entries", """SELECT doc_id, 'doc-'||doc_id||'.log' AS entry_path, true AS is_log, true AS sized FROM documents WHERE doc_id % 12 BETWEEN 6 AND 8""")
+@query("src_07_stream_entries", """SELECT doc_id, 'doc-'||doc_id||'.log' AS entry_path, true AS is_log, true AS sized FROM documents""")
 def stream_entries(spark, sf):
-    listed = _listed(spark, sf, 6, 7, 8)
+    listed = _listed(spark, sf, P.STREAMS)
     return listed.select("doc_id", "entry_path", "is_log", (C("size") > 0).alias("sized"))
 
 
-@query("src_08_plain_entries", """SELECT doc_id, 'doc-'||doc_id||'.log' AS entry_path, octet_length(encode(text)) AS size, true AS is_log FROM documents WHERE doc_id % 12 = 9""")
+@query("src_08_plain_entries", """SELECT doc_id, 'doc-'||doc_id||'.log' AS entry_path, octet_length(encode(text)) AS size, true AS is_log FROM documents""")
 def plain_entries(spark, sf):
-    return _listed(spark, sf, 9).select("doc_id", "entry_path", "size", "is_log")
+    return _listed(spark, sf, P.PLAIN).select("doc_id", "entry_path", "size", "is_log")
+
+
+LINE_FORMATS = [*P.ZIPS, *P.TARS, *P.STREAMS, *P.PLAIN]
 
 
 @query("src_09_entry_lines", rf"""WITH {D.LINES}
-SELECT doc_id, CASE WHEN doc_id % 12 <= 5 THEN 'logs/doc-'||doc_id||'.log' ELSE 'doc-'||doc_id||'.log' END AS entry_path, line_no, content, false AS truncated
-FROM file_lines WHERE doc_id % 12 <= 9
-UNION ALL SELECT doc_id, '日志/服务.txt', 1, 'one', false FROM documents WHERE doc_id % 12 <= 5
-UNION ALL SELECT doc_id, '日志/服务.txt', 2, 'two', false FROM documents WHERE doc_id % 12 <= 5""")
+SELECT doc_id, CASE WHEN doc_id % 11 <= 5 THEN 'logs/doc-'||doc_id||'.log' ELSE 'doc-'||doc_id||'.log' END AS entry_path, line_no, content, false AS truncated
+FROM file_lines
+UNION ALL SELECT doc_id, '日志/服务.txt', unnest([1, 2]), unnest(['one', 'two']), false FROM documents WHERE doc_id % 11 <= 5""")
 def entry_lines(spark, sf):
-    lines = A.entry_lines(A.start_level(magic_files(spark, sf))).where(C("error").isNull())
+    lines = A.entry_lines(A.start_level(P.packed_files(spark, sf, LINE_FORMATS)))
     return lines.select(doc_number().alias("doc_id"), "entry_path", "line_no", "content", "truncated")
 
 
@@ -159,24 +161,24 @@ def nested_entries(spark, sf):
     )
 
 
-@query("ag_04_entries_per_archive", "SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 4 ELSE 3 END AS n_entries, doc_id % 12 <> 0 AS within_limit FROM documents WHERE doc_id % 12 <= 5")
+@query("ag_04_entries_per_archive", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 4 ELSE 3 END AS n_entries, doc_id % 6 <> 0 AS within_limit FROM documents")
 def entries_per_archive(spark, sf):
-    counts = A.entry_counts(_listed(spark, sf, 0, 1, 2, 3, 4, 5), 3)
+    counts = A.entry_counts(_listed(spark, sf, [*P.ZIPS, *P.TARS]), 3)
     return counts.select(doc_number().alias("doc_id"), "n_entries", "within_limit")
 
 
-@query("ag_05_decoded_bytes_limit", """SELECT doc_id, CASE WHEN octet_length(encode(text)) > 5000 THEN 'decoded size limit exceeded' ELSE 'none' END AS error FROM documents WHERE doc_id % 12 BETWEEN 6 AND 9""")
+@query("ag_05_decoded_bytes_limit", """SELECT doc_id, CASE WHEN octet_length(encode(text)) > 5000 THEN 'decoded size limit exceeded' ELSE 'none' END AS error FROM documents""")
 def decoded_limit(spark, sf):
-    files = magic_files(spark, sf).where((C("doc_id") % 12).between(6, 9))
+    files = P.packed_files(spark, sf, [*P.STREAMS, *P.PLAIN])
     lines = A.entry_lines(A.start_level(files), ArchiveLimits(max_decoded_bytes=5000))
     worst = lines.groupBy("source_path").agg(F.max("error").alias("error"))
     return worst.select(doc_number().alias("doc_id"), F.coalesce("error", F.lit("none")).alias("error"))
 
 
 @query("jn_14_entry_lookup", """SELECT doc_id, want AS entry_path, CASE WHEN want = 'absent.log' THEN 'missing' WHEN want = 'secret.log' THEN 'encrypted' WHEN want = 'assets/image.bin' THEN 'not a log' ELSE 'none' END AS error
-FROM (SELECT doc_id, unnest(['absent.log', 'secret.log', 'assets/image.bin', '日志/服务.txt']) AS want FROM documents WHERE doc_id % 12 = 0)""")
+FROM (SELECT doc_id, unnest(['absent.log', 'secret.log', 'assets/image.bin', '日志/服务.txt']) AS want FROM documents)""")
 def entry_lookup(spark, sf):
-    files = magic_files(spark, sf).where(C("doc_id") % 12 == 0)
+    files = P.packed_files(spark, sf, P.ZIPS)
     listed = A.entries(A.start_level(files))
     wants = F.array(*[F.lit(w) for w in ("absent.log", "secret.log", "assets/image.bin", "日志/服务.txt")])
     requests = files.select(C("path").alias("source_path"), F.explode(wants).alias("entry_path"))
@@ -304,11 +306,11 @@ def journal_state(spark, sf):
     return store.read()
 
 
-@query("snk_07_export_lines", rf"""WITH {FILE_ROWS}, t AS (SELECT bucket, content, line_no FROM file_rows WHERE bucket = 0)
+@query("snk_07_export_lines", rf"""WITH {FILE_ROWS}, t AS (SELECT content, line_no FROM file_rows)
 SELECT count(*) FILTER (line_no <= 500) AS n_lines, CAST(sum(octet_length(encode(content)) + 1) FILTER (line_no <= 500) AS BIGINT) AS bytes,
  max(line_no) <= 500 AS complete, count(*) FILTER (line_no <= 500) AS n_written FROM t""")
 def export_lines(spark, sf):
-    lines = _bucketed(T.read_lines(spark, written_lines(spark, sf))).where(C("bucket") == 0)
+    lines = T.read_lines(spark, written_lines(spark, sf))
     path = work_path(spark, "export")
     facts = L.export_lines(lines, 500, path)
     written = spark.read.option("lineSep", "\n").text(path).agg(F.count(F.lit(1)).alias("n_written"))

@@ -368,10 +368,10 @@ def _tree_listing(spark, sf):
 
 
 @query("sr_03_inventory_order", rf"""WITH {D.CATALOG}, {INVENTORY}
-SELECT path, kind FROM inventory ORDER BY kind <> 'dir', lower(name), path LIMIT 10""")
+SELECT path, kind, row_number() OVER (ORDER BY kind <> 'dir', lower(name), path) AS position FROM inventory""")
 def inventory_order(spark, sf):
     listed = FS.inventory(_tree_listing(spark, sf), "/data/src1/en")
-    return listed.orderBy(*FS.inventory_order()).limit(10).select("path", "kind")
+    return S.ranked(listed, FS.inventory_order()).select("path", "kind", "position")
 
 
 @query("sr_04_deep_page", rf"""WITH {D.CATALOG}
@@ -408,17 +408,17 @@ def capped_results(spark, sf):
     return merged.select("event_id", "path")
 
 
-@query("sr_08_newest_first", r"""SELECT '/in/u'||user_id||'.log' AS path, min(event_id) AS seq FROM events GROUP BY user_id ORDER BY seq DESC, path LIMIT 25""")
+@query("sr_08_newest_first", r"""SELECT '/in/u'||user_id||'.log' AS path, min(event_id) AS seq, row_number() OVER (ORDER BY min(event_id) DESC) AS position FROM events GROUP BY user_id""")
 def newest_first(spark, sf):
     from logquarry.streaming.streams import newest_first as order
 
     first = views.size_samples(spark, sf).groupBy("path").agg(F.min("seq").alias("seq"))
-    return first.orderBy(*order()).limit(25)
+    return S.ranked(first, order())
 
 
-@query("sr_09_sorted_paths", rf"""WITH RECURSIVE {D.NODES}, {ALL_TREE} SELECT 'C:'||path AS path FROM tree WHERE path <> '' ORDER BY path LIMIT 200""")
+@query("sr_09_sorted_paths", rf"""WITH RECURSIVE {D.NODES}, {ALL_TREE} SELECT 'C:'||path AS path, row_number() OVER (ORDER BY path) AS position FROM tree WHERE path <> ''""")
 def sorted_paths(spark, sf):
-    return N.resolve_all(views.nodes(spark, sf), "C:").select("path").orderBy("path").limit(200)
+    return S.ranked(N.resolve_all(views.nodes(spark, sf), "C:").select("path"), [C("path")])
 
 
 @query("sr_10_trigram_order", rf"""WITH {D.CATALOG}

@@ -230,7 +230,7 @@ def unread_stream(events: DataFrame, out: BatchTable, checkpoint: str, available
 
 def newest_first() -> list[Column]:
     """Order of the unread list."""
-    return [F.col("seq").desc(), F.col("path")]
+    return [-F.col("seq"), F.col("path")]
 
 
 def notifications(
