@@ -3,16 +3,13 @@
 from pyspark.sql import functions as F
 
 from logquarry.constants import ArchiveLimits
-from logquarry.functions.text import name_tokens
 from logquarry.operators import changes as H
 from logquarry.operators import lines as L
-from logquarry.operators.roots import with_root
 from logquarry.operators.search import with_search_columns
 from logquarry.plans import views
 from logquarry.queries import duck as D
 from logquarry.queries import derived as P
 from logquarry.queries.derived import nested_files
-from logquarry.queries.path_queries import EXCLUSIONS
 from logquarry.queries.registry import query
 from logquarry.session import materialize, work_path
 from logquarry.sources import archives as A

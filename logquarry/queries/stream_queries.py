@@ -12,7 +12,6 @@ from logquarry.operators import changes as H
 from logquarry.operators import stability
 from logquarry.plans import views
 from logquarry.queries import duck as D
-from logquarry.queries.path_queries import EXCLUSIONS
 from logquarry.queries.registry import query
 from logquarry.queries.source_queries import (
     FILE_ROWS,

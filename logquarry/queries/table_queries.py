@@ -11,7 +11,7 @@ from logquarry.operators.stability import stable_sizes
 from logquarry.plans import views
 from logquarry.plans.blocked import id_block
 from logquarry.queries import duck as D
-from logquarry.queries.path_queries import EXCLUSIONS, ROOTS
+from logquarry.queries.path_queries import ROOTS
 from logquarry.queries.registry import query
 from logquarry.sources import files as FS
 from logquarry.sources.snapshots import usable
