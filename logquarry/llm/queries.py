@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logquarry.llm.simhash import simhash_components
+from logquarry.llm.toxicity import toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op6_toxicity_ftrl")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_simhash_bktree")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
