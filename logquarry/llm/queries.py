@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logquarry.llm.linedup import dedup_lines
 from logquarry.llm.simhash import simhash_components
 from logquarry.llm.toxicity import toxicity
 
@@ -28,6 +29,39 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+ SELECT doc_id, line_no, list_filter(regexp_split_to_array(raw, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)),
+worded AS (SELECT *, array_to_string(words, ' ') AS line FROM lines WHERE len(words) > 0),
+firsts AS (SELECT line, min((doc_id, line_no)) AS first, any_value(words) AS words FROM worded GROUP BY line),
+lacking AS (
+ SELECT first, i, array_to_string(words[1:i-1] || words[i+1:], ' ') AS key
+ FROM (SELECT first, words, unnest(range(1, len(words) + 1)) AS i FROM firsts WHERE len(words) >= 5)),
+whole AS (SELECT first, line AS key FROM firsts WHERE len(words) >= 5),
+near AS (
+ SELECT b.first FROM lacking a JOIN lacking b ON a.key = b.key AND a.i = b.i WHERE a.first < b.first
+ UNION SELECT greatest(l.first, w.first) FROM lacking l JOIN whole w ON l.key = w.key AND l.first <> w.first),
+gone AS (
+ SELECT doc_id, line_no FROM worded JOIN firsts USING (line)
+ WHERE (doc_id, line_no) <> first OR first IN (SELECT first FROM near)),
+split AS (
+ SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
+SELECT d.doc_id, coalesce(g.n, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS text
+  FROM split ANTI JOIN gone USING (doc_id, line_no) GROUP BY doc_id) k USING (doc_id)
+"""
+
+
+@query("op1_line_dedup", LINE_DEDUP_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), removed_col="n_removed").select("doc_id", "n_removed", "text")
+
+
 @query("op6_toxicity_ftrl")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
