@@ -1,10 +1,30 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, one operator a stage.
+
+Every stage works on all rows that the stage before it kept, and its decisions take effect.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logquarry.llm.decontaminate import drop_contaminated
+from logquarry.llm.linedup import dedup_lines
+from logquarry.llm.packing import pack
+from logquarry.llm.queries import table, tokenizer_path
 from logquarry.llm.simhash import drop_near_copies
+from logquarry.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that stand in an earlier place."""
+    kept = dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +32,30 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_copies(docs)
 
 
-STAGES = [("simhash_near_dedup", near_copies)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, placed in sequences."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_copies),
+    ("benchmark_decontamination", decontaminate),
+    ("best_fit_packing", packing),
+]
 #: A trained classifier and a tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logquarry.llm.decontaminate import benchmark_overlaps
 from logquarry.llm.linedup import dedup_lines
+from logquarry.llm.packing import pack
 from logquarry.llm.simhash import simhash_components
 from logquarry.llm.toxicity import toxicity
 
@@ -17,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The tokenizer of the packing query; the library is installed on every executor."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(name: str, sql: str | None = None):
     """Register a query, with the SQL that must give the same rows."""
 
@@ -62,11 +71,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), removed_col="n_removed").select("doc_id", "n_removed", "text")
 
 
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    names = ["doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"]
+    return packed.select(*names)
+
+
 @query("op6_toxicity_ftrl")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op9_spaced_seeds")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_simhash_bktree")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
