@@ -29,7 +29,7 @@ GROUP_ITEMS = 8_192
 # Tokens of a batch of pieces.
 BATCH_TOKENS = 1_000_000
 #: White space as Unicode defines it.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The pattern that splits text before the merges of byte-level BPE, but for its rule on runs of white space.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 # That rule: the last character of a run stays with the word behind it.

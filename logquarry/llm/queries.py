@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from logquarry.llm.decontaminate import benchmark_overlaps
 from logquarry.llm.linedup import dedup_lines
 from logquarry.llm.packing import pack
+from logquarry.llm.sharding import extendible_shards
 from logquarry.llm.simhash import simhash_components
+from logquarry.llm.substrings import repeated_passages
 from logquarry.llm.toxicity import toxicity
 
 QUERIES = {}
@@ -83,6 +85,32 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op7_gear_chunks")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+SHARD_SQL = """
+WITH paths AS (
+ SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes,
+   lpad(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT), 60, '0') AS path FROM documents),
+buckets AS (
+ SELECT depth, path[1:depth] AS shard, sum(bytes) AS shard_bytes, count(*) AS shard_rows,
+   sum(bytes) > 1048576 AND count(*) > 1 AS split
+ FROM paths, range(0, 61) r(depth) GROUP BY ALL),
+shards AS (
+ SELECT b.* FROM buckets b LEFT JOIN buckets p ON p.depth = b.depth - 1 AND p.shard = b.shard[1:b.depth - 1]
+ WHERE NOT b.split AND (b.depth = 0 OR p.split))
+SELECT doc_id, bytes, shard, shard_bytes::BIGINT AS shard_bytes, shard_rows
+FROM paths JOIN shards ON shard = path[1:depth]
+"""
+
+
+@query("op8_extendible_hashing", SHARD_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible_shards(table(spark, sf_dir, "documents"))
+
+
 @query("op9_spaced_seeds")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
