@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logquarry.llm.ctph import edit_report
 from logquarry.llm.decontaminate import benchmark_overlaps
 from logquarry.llm.linedup import dedup_lines
 from logquarry.llm.packing import pack
@@ -73,6 +74,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), removed_col="n_removed").select("doc_id", "n_removed", "text")
 
 
+@query("op3_piecewise_hashing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), tokenizer_path())
