@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logquarry.llm.archives import converted_pages
+from logquarry.llm.chat import CONTROL, formatted_conversations
 from logquarry.llm.ctph import edit_report
 from logquarry.llm.decontaminate import benchmark_overlaps
 from logquarry.llm.linedup import dedup_lines
@@ -74,6 +76,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), removed_col="n_removed").select("doc_id", "n_removed", "text")
 
 
+WARC_SQL = """
+WITH digests AS (
+ SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT hex, min(page_id) AS first FROM digests GROUP BY hex)
+SELECT page_id, payload_bytes,
+ array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+   1 + ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))) & 31)::INT, 1) for i in range(32)], '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digests JOIN firsts USING (hex)
+"""
+
+
+@query("op2_arc_to_warc", WARC_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return converted_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 @query("op3_piecewise_hashing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(table(spark, sf_dir, "documents"))
@@ -86,6 +106,41 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(*names)
 
 
+def _escaped_sql() -> str:
+    """The escaped text of a turn."""
+    out = "replace(text, chr(92), chr(92) || chr(92))"
+    for mark in CONTROL:
+        out = f"replace({out}, '{mark}', '{mark[0]}' || chr(92) || '{mark[1:]}')"
+    return out
+
+
+PROBE = "</s>[INST] ok [/INST]"
+CHAT_SQL = f"""
+WITH turns AS (
+ SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+sized AS (
+ SELECT *, length({_escaped_sql()}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+   ELSE 14 + length(role) END AS chars FROM turns),
+placed AS (
+ SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn) AS upto,
+   role = 'assistant' OR turn = max(turn) OVER (PARTITION BY conv_id) AS ends_example FROM sized)
+SELECT conv_id, count(*) AS n_turns,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ (sum(upto) FILTER (ends_example))::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+
+@query("op5_prefix_target", CHAT_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = [spark.range(1).select(F.lit(-7), F.lit(i), F.lit(role), F.lit(PROBE)) for i, role in enumerate(("user", "assistant"))]
+    return formatted_conversations(turns.union(probe[0]).union(probe[1]))
+
+
 @query("op6_toxicity_ftrl")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
