@@ -13,11 +13,12 @@ def words(text):
 def plain(docs, items, share=0.8):
     """Best and then earliest place of each item that agrees in ``share`` of its words."""
     out = []
+    cut = [(i, words(item)) for i, item in items]
     for d, text in docs:
         w = words(text)
-        for i, item in items:
-            v = words(item)
-            if len(v) < 5:
+        known = set(w)
+        for i, v in cut:
+            if len(v) < 5 or sum(x in known for x in v) < share * len(v):
                 continue
             best = None
             for at in range(-len(v) // 2, len(w)):
