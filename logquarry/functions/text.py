@@ -170,5 +170,5 @@ def highlight(text: Column, query: str, before: str = "<mark>", after: str = "</
     terms = sorted((term for term in query.strip().split() if term), key=len, reverse=True)
     if not terms:
         return text
-    escaped = "|".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", term) for term in terms)
+    escaped = "|".join("\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E" for term in terms)
     return F.regexp_replace(text, f"(?iu)({escaped})", f"{before}$1{after}")

@@ -9,7 +9,6 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logquarry.constants import MAX_KEPT_RESULTS, MAX_PAGE
 from logquarry.functions.classify import content_type, kind
 from logquarry.functions.paths import path_key
 from logquarry.functions.text import name_tokens, query_terms, query_tokens, trigrams
@@ -40,7 +39,9 @@ def has_substrings(terms: list[str]) -> Column:
 
 
 def has_tokens(tokens: list[str], column: Column | None = None) -> Column:
-    """Is every query token among the name's tokens?  ``tokens`` are distinct."""
+    """Is every query token among the name's tokens?  ``tokens`` are distinct; without any, nothing matches."""
+    if not tokens:
+        return F.lit(False)
     held = name_tokens(F.col("name")) if column is None else column
     wanted = F.array(*[F.lit(token) for token in tokens]).cast("array<string>")
     return F.size(F.array_intersect(held, wanted)) == len(tokens)
@@ -86,8 +87,8 @@ def rank(keyword: str) -> Column:
 
 
 def token_order(terms: list[str]) -> list[Column]:
-    """Rank by the whole keyword, then lower name, then lower path."""
-    return [rank(" ".join(terms)), F.lower("name"), F.lower("path")]
+    """Rank by the whole keyword, then lower name, lower path, and the path itself, so the order is total."""
+    return [rank(" ".join(terms)), F.lower("name"), F.lower("path"), F.col("path")]
 
 
 def path_order() -> list[Column]:
@@ -102,13 +103,17 @@ def trigram_order(terms: list[str]) -> list[Column]:
     return [first, *path_order()]
 
 
-def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 200) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of the global order.
+def page(
+    df: DataFrame, order: list[Column], offset: int = 0, limit: int = 200, most: int | None = None
+) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of the global order, at most ``most`` of them where it is given.
+
+    The order must be total: then a near and a deep page agree about every row.
 
     Near pages are a top-k.  A deep page would pull ``offset`` rows into one
     task, so it sorts by range, counts each range and keeps only its own rows.
     """
-    limit, offset = min(max(limit, 1), MAX_PAGE), max(offset, 0)
+    limit, offset = min(max(limit, 1), most or limit), max(offset, 0)
     if offset + limit <= TOP_K_ROWS:
         return df.orderBy(*order).offset(offset).limit(limit)
     return ranked(df, order).where(F.col("position").between(offset + 1, offset + limit)).drop("position")
@@ -162,10 +167,11 @@ def search(
     offset: int = 0,
     limit: int = 200,
     partial: bool = False,
+    most: int | None = None,
 ) -> SearchResult:
-    """One ranked page with the exact total."""
+    """One ranked page, of at most ``most`` rows where it is given, with the exact total."""
     found = matching(catalog, query, filter_name)
-    items = page(found, order_of(query), offset, limit) if query_terms(query) else found
+    items = page(found, order_of(query), offset, limit, most) if query_terms(query) else found
     items = items.withColumn("kind", kind(F.col("is_log"), F.col("is_archive")))
     stats = found.agg(F.count(F.lit(1)).alias("total")).withColumn("partial", F.lit(partial))
     return SearchResult(items, stats)
@@ -174,12 +180,12 @@ def search(
 def page_details(items: DataFrame, listing: DataFrame) -> DataFrame:
     """Fill size, mtime and readability for the rows of one page only.
 
-    A page holds at most 500 rows, so it is the broadcast side and the listing
-    is scanned without a shuffle.
+    The page's paths pick rows of the listing by an ordinary join: Spark sends
+    them to the listing where they are few.
     """
-    plain = items.drop("size", "modified_ms").limit(MAX_PAGE)
+    plain = items.drop("size", "modified_ms")
     facts = listing.select("path", F.col("size").alias("_size"), F.col("modified_ms").alias("_ms"))
-    seen = facts.join(F.broadcast(plain.select("path")), "path", "left_semi")
+    seen = facts.join(plain.select("path"), "path", "left_semi")
     return plain.join(seen, "path", "left").select(
         *plain.columns,
         F.coalesce("_size", F.lit(0)).alias("size"),
@@ -189,13 +195,14 @@ def page_details(items: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
-def merge_pages(current: DataFrame, incoming: DataFrame, order: str, cap: int = MAX_KEPT_RESULTS) -> DataFrame:
-    """Append a page, keep the first of each path key, keep the first ``cap``.
+def merge_pages(current: DataFrame, incoming: DataFrame, order: str, cap: int | None = None) -> DataFrame:
+    """Append a page, keep the first of each path key, keep the first ``cap`` rows where it is given.
 
     ``order`` is a column both sides hold; rows of ``current`` come first.
     """
     both = current.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
-    return first_by_key(both, F.struct("_side", order)).orderBy("_side", order).limit(cap).drop("_side")
+    kept = first_by_key(both, F.struct("_side", order)).orderBy("_side", order)
+    return (kept if cap is None else kept.limit(cap)).drop("_side")
 
 
 def first_by_key(df: DataFrame, order: Column, path: str = "path") -> DataFrame:

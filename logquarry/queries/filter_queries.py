@@ -162,6 +162,16 @@ def token_match(spark, sf):
     return views.catalog(spark, sf).where(S.has_tokens(["doc", "tar", "gz"])).select("doc_id", "name")
 
 
+@query("flt_15_no_tokens", rf"""WITH {D.CATALOG} SELECT doc_id, 'doc' AS query FROM catalog""")
+def no_tokens(spark, sf):
+    """Queries of punctuation alone, or of one overlong word, find nothing; a word that all names hold finds all."""
+    rows = views.catalog(spark, sf)
+    out = S.matching(rows, "doc").select("doc_id", F.lit("doc").alias("query"))
+    for text in (".", "-", "()", '"', "!!", "x" * 45):
+        out = out.unionByName(S.matching(rows, text).select("doc_id", F.lit(text).alias("query")))
+    return out
+
+
 @query("flt_16_search_choice", rf"""WITH {D.CATALOG}
 SELECT doc_id FROM catalog WHERE contains(path, '/data/src7/') AND doc_id % 10 IN (7, 8, 9)
 UNION ALL SELECT doc_id FROM catalog WHERE doc_id % 10 = 0""")

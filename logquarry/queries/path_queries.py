@@ -182,7 +182,7 @@ def user_facing(spark, sf):
 
 def _bytes(spark, sf):
     """Document texts as bytes in five encodings."""
-    docs = views.table(spark, sf, "documents").where(F.length("text") > 0)
+    docs = views.table(spark, sf, "documents")
     kind_ = C("doc_id") % 5
     with X.lenient_charsets(spark):
         return docs.select(
@@ -198,12 +198,12 @@ def _bytes(spark, sf):
 
 
 @query("fn_01_detect_charset", r"""SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN 'UTF-16LE' WHEN 3 THEN 'UTF-16BE' WHEN 4 THEN 'GB18030' ELSE 'UTF-8' END AS charset
-FROM documents WHERE length(text) > 0""")
+FROM documents""")
 def detect_charset(spark, sf):
     return _bytes(spark, sf).select("doc_id", X.detect_charset(C("content")).alias("charset"))
 
 
-@query("fn_02_decode", r"""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN '中文'||text ELSE text END AS text FROM documents WHERE length(text) > 0""")
+@query("fn_02_decode", r"""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN '中文'||text ELSE text END AS text FROM documents""")
 def decode(spark, sf):
     rows = _bytes(spark, sf).withColumn("charset", X.detect_charset(C("content")))
     with X.lenient_charsets(spark):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from logquarry.constants import MAX_KEPT_RESULTS, MAX_PAGE
 from logquarry.operators import changes as H
 from logquarry.operators import lines as L
 from logquarry.operators import nodes as N
@@ -12,6 +13,7 @@ from logquarry.plans import views
 from logquarry.plans.blocked import id_block
 from logquarry.queries import duck as D
 from logquarry.queries.path_queries import ROOTS
+from logquarry.queries.path_queries import _token_sql
 from logquarry.queries.registry import query
 from logquarry.sources import files as FS
 from logquarry.sources.snapshots import usable
@@ -343,11 +345,26 @@ def first_line(spark, sf):
 
 @query("sr_01_token_rank", rf"""WITH {D.CATALOG}
 SELECT doc_id, path FROM catalog WHERE name LIKE '%.log'
- ORDER BY CASE WHEN lower(name) = 'log doc' THEN 0 WHEN starts_with(lower(name), 'log doc') THEN 1 WHEN contains(lower(name), 'log doc') THEN 2 ELSE 3 END, lower(name), lower(path) LIMIT 50""")
+ ORDER BY CASE WHEN lower(name) = 'log doc' THEN 0 WHEN starts_with(lower(name), 'log doc') THEN 1 WHEN contains(lower(name), 'log doc') THEN 2 ELSE 3 END, lower(name), lower(path), path LIMIT 50""")
 def token_rank(spark, sf):
     return S.search(views.catalog(spark, sf), "log DOC", None, 0, 50).items.select("doc_id", "path")
 
 
+CASES = r"""cased AS (SELECT doc_id, copy, '/'||CASE copy WHEN 0 THEN 'D' ELSE 'd' END||'/'||source||'/Report.log' AS path FROM documents, (SELECT 0 AS copy UNION ALL SELECT 1) c),
+ ordered AS (SELECT path, count(*) AS n FROM cased GROUP BY path ORDER BY lower(path), path)"""
+
+
+@query("sr_01_case_ties", rf"""WITH {CASES} SELECT path, n, row_number() OVER (ORDER BY lower(path), path) <= 7 AS near FROM ordered""")
+def case_ties(spark, sf):
+    """Paths that differ by case only: two pages together hold each of them once."""
+    docs = views.table(spark, sf, "documents").select("source", F.explode(F.array(F.lit("D"), F.lit("d"))).alias("disk"))
+    rows = docs.select(F.concat(F.lit("/"), "disk", F.lit("/"), "source", F.lit("/Report.log")).alias("path"))
+    rows = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit("Report.log"))
+    rows = rows.withColumn("is_log", F.lit(True)).withColumn("is_archive", F.lit(False))
+    pages = [S.search(rows, "report", None, at, size).items.select("path", "n", F.lit(at == 0).alias("near")) for at, size in ((0, 7), (7, 10_000))]
+    return pages[0].unionByName(pages[1])
+
+
 @query("sr_02_path_order", rf"""WITH {D.CATALOG}
 SELECT doc_id, path FROM catalog WHERE contains(lower(name||' '||path), 'src1/') ORDER BY length(name), lower(name), lower(path) LIMIT 30""")
 def path_order(spark, sf):
@@ -389,7 +406,7 @@ def positions(spark, sf):
 @query("sr_05_exact_candidates", rf"""WITH {D.CATALOG}
 SELECT doc_id FROM catalog WHERE doc_id % 10 IN (2) ORDER BY lower(name), lower(path) LIMIT 500""")
 def exact_candidates(spark, sf):
-    return S.search(views.catalog(spark, sf), "txt", None, 0, 9_999).items.select("doc_id")
+    return S.search(views.catalog(spark, sf), "txt", None, 0, 9_999, most=MAX_PAGE).items.select("doc_id")
 
 
 @query("sr_06_line_range", rf"""WITH {D.LINES} SELECT doc_id, line_no, content FROM file_lines WHERE line_no BETWEEN 4 AND 9""")
@@ -439,7 +456,7 @@ first AS (SELECT DISTINCT ON (key) path, side, event_id FROM k ORDER BY key, sid
 SELECT event_id, path FROM first ORDER BY side, event_id LIMIT 1000""")
 def append_page(spark, sf):
     rows = _respelled(spark, sf)
-    merged = S.merge_pages(rows.where(C("event_id") % 5 == 0), rows.where(C("event_id") % 5 != 0), "event_id")
+    merged = S.merge_pages(rows.where(C("event_id") % 5 == 0), rows.where(C("event_id") % 5 != 0), "event_id", MAX_KEPT_RESULTS)
     return merged.select("event_id", "path")
 
 
@@ -492,7 +509,7 @@ def remove_subtree(spark, sf):
 
 @query("st_08_union_of_tokens", rf"""WITH {D.SPELLINGS}
 SELECT doc_id, string_agg(token, ' ' ORDER BY token) AS tokens FROM (
- SELECT DISTINCT doc_id, unnest(TOKENS) AS token FROM spellings) GROUP BY doc_id""".replace("TOKENS", __import__("logquarry.queries.path_queries", fromlist=["_token_sql"])._token_sql("path")))
+ SELECT DISTINCT doc_id, unnest(TOKENS) AS token FROM spellings) GROUP BY doc_id""".replace("TOKENS", _token_sql("path")))
 def union_of_tokens(spark, sf):
     from logquarry.functions.text import name_tokens
 
