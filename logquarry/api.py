@@ -17,7 +17,7 @@ from logquarry.functions.paths import file_name
 from logquarry.operators import lines as line_ops
 from logquarry.operators import search as search_ops
 from logquarry.operators.changes import revision, upsert
-from logquarry.operators.roots import Roots, is_covered, without_excluded
+from logquarry.operators.roots import Roots, is_covered, refreshed_rows, without_excluded
 from logquarry.operators.search import SearchResult, with_search_columns
 from logquarry.sources import archives, files, textlines
 from logquarry.sources.snapshots import Snapshots
@@ -39,9 +39,13 @@ def build_catalog(store: Snapshots, roots: Sequence[str], exclusions: Roots = ()
     return store.replace(with_search_columns(rows), "build")
 
 
-def refresh_root(store: Snapshots, root: str, exclusions: Roots = ()) -> None:
-    """Scan one root again and replace only its rows."""
-    store.replace_partition(with_search_columns(files.scan(store.spark, [root], exclusions)))
+def refresh_root(store: Snapshots, root: str, exclusions: Roots = ()) -> int:
+    """Scan one root again; a new version holds its rows of now and the other roots' rows as they were.
+
+    Files below another root inside this one stay with that root.
+    """
+    fresh = refreshed_rows(store.read().select("root"), files.scan(store.spark, [root], exclusions), root)
+    return store.replace_where(F.col("root") == root, with_search_columns(fresh), "refresh")
 
 
 def merge_catalog(store: Snapshots, rows: DataFrame) -> int:
@@ -90,11 +94,11 @@ def entry_lines(spark: SparkSession, paths, limits: ArchiveLimits = ArchiveLimit
 def lines(spark: SparkSession, paths, charset: str | None = None, splittable: bool = True) -> DataFrame:
     """Numbered lines of text files.
 
-    Splittable reading needs a charset other than UTF-16 and assumes UTF-8 when
-    none is given; whole-file reading detects the charset of each file.
+    Either way each file gets a charset of its own when none is given; UTF-16
+    needs whole-file reading.
     """
     if splittable:
-        return textlines.read_lines(spark, paths, charset or "UTF-8")
+        return textlines.read_lines(spark, paths, charset)
     return textlines.read_whole_files(spark, paths, charset)[0]
 
 
@@ -109,7 +113,7 @@ def line_counts(table: DataFrame, key: str = "path") -> DataFrame:
 
 
 def export_lines(table: DataFrame, published: int, path: str) -> DataFrame:
-    """Write the first lines of a file; tells how many bytes and whether all."""
+    """Copy the first lines of each file byte for byte; tells how many bytes and whether all."""
     return line_ops.export_lines(table, published, path)
 
 

@@ -33,7 +33,8 @@ def distinct_paths(df: DataFrame, path: str, order: str) -> DataFrame:
 
 def root_matches(df: DataFrame, path: str, roots: DataFrame) -> DataFrame:
     """``(path, root, depth)`` for every root containing a path, by equi join."""
-    keyed = roots.select(F.col("root"), comparable(F.col("root")).alias("_key")).dropDuplicates(["_key"])
+    named = roots.where(F.trim("root") != "").select("root", comparable(F.col("root")).alias("_key"))
+    keyed = named.groupBy("_key").agg(F.min("root").alias("root"))
     exploded = df.select(path, F.explode(ancestor_keys(comparable(F.col(path)))).alias("_key"))
     return lookup_join(exploded, keyed, "_key", spread=F.col(path)).select(
         path, "root", depth(F.col("root")).alias("_depth")
@@ -41,14 +42,15 @@ def root_matches(df: DataFrame, path: str, roots: DataFrame) -> DataFrame:
 
 
 def _inline(path: Column, roots: Sequence[str]) -> Column:
-    """The most specific of a few roots, tested deepest first.
+    """The most specific of a few roots, tested deepest first; of two spellings of one, the smaller.
 
     The key is bound once by a one-element array, so it is computed once per row
     however many roots there are.
     """
-    if not roots:
+    named = {root for root in roots if root.strip()}
+    if not named:
         return F.lit(None).cast("string")
-    deepest = sorted(dict.fromkeys(roots), key=lambda r: -len([p for p in r.replace("\\", "/").split("/") if p]))
+    deepest = sorted(named, key=lambda r: (-len([p for p in r.replace("\\", "/").split("/") if p]), r))
 
     def first_match(key: Column) -> Column:
         return F.coalesce(*[F.when(within(key, comparable(F.lit(r))), F.lit(r)) for r in deepest])
@@ -56,8 +58,14 @@ def _inline(path: Column, roots: Sequence[str]) -> Column:
     return F.element_at(F.transform(F.array(comparable(path)), first_match), 1)
 
 
-def _as_list(roots: Roots) -> list[str] | None:
-    """The roots when they are few, else None; a table is read only that far."""
+def _as_list(df: DataFrame, roots: Roots) -> list[str] | None:
+    """The roots when they are few, else None; a table is read only that far.
+
+    A stream takes a list of any length as an expression, since it cannot be
+    aggregated and joined with itself; both forms choose the same root.
+    """
+    if df.isStreaming and not isinstance(roots, DataFrame):
+        return list(roots)
     if isinstance(roots, DataFrame):
         few = roots.select("root").limit(INLINE_ROOTS + 1).collect()
         return [row[0] for row in few] if len(few) <= INLINE_ROOTS else None
@@ -73,13 +81,20 @@ def _as_table(df: DataFrame, roots: Roots) -> DataFrame:
 
 def with_root(df: DataFrame, roots: Roots, path: str = "path") -> DataFrame:
     """Add ``root``: the most specific root holding the path, null for none."""
-    few = _as_list(roots)
+    few = _as_list(df, roots)
     if few is not None:
         return df.withColumn("root", _inline(F.col(path), few))
     best = root_matches(df, path, _as_table(df, roots)).groupBy(path).agg(F.max_by("root", "_depth").alias("root"))
     return df.join(best, path, "left")
 
 
+def refreshed_rows(known: DataFrame, rows: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """Those of a root's freshly scanned rows that no more specific root of the table ``known`` owns."""
+    added = known.sparkSession.createDataFrame([(root,)], "root string")
+    every = known.select("root").unionByName(added).distinct()
+    return with_root(rows.drop("root"), every, path).where(F.col("root") == root).select(*rows.columns)
+
+
 def source_label(root: Column) -> Column:
     """Label of a root: its last component."""
     return file_name(root)
@@ -87,7 +102,7 @@ def source_label(root: Column) -> Column:
 
 def without_excluded(df: DataFrame, exclusions: Roots, path: str = "path") -> DataFrame:
     """Drop rows equal to or below any exclusion."""
-    few = _as_list(exclusions)
+    few = _as_list(df, exclusions)
     if few is not None:
         return df.where(_inline(F.col(path), few).isNull())
     return df.join(root_matches(df, path, _as_table(df, exclusions)).select(path).distinct(), path, "left_anti")

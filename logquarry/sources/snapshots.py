@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -64,14 +64,10 @@ class Snapshots:
         self.switch(built, note)
         return built
 
-    def replace_partition(self, rows: DataFrame) -> None:
-        """Replace, in the live version, only the partitions ``rows`` belong to."""
-        live = self.version()
-        if live is None or not self.partition_by:
-            raise ValueError("a live, partitioned version is needed")
-        rows.select(*self.schema.names).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy(*self.partition_by).parquet(self._folder(live))
+    def replace_where(self, gone: Column, rows: DataFrame, note: str = "") -> int:
+        """A new version with ``rows`` in the place of those that ``gone`` holds for; there may be none."""
+        kept = self.read().where(~F.coalesce(gone, F.lit(False)))
+        return self.replace(kept.unionByName(rows.select(*self.schema.names)), note)
 
     def clear(self) -> int:
         """Switch to an empty version."""

@@ -42,6 +42,21 @@ def test_catalog_life(spark, tree, tmp_path):
     assert store.read().count() == 0
 
 
+def test_refresh_is_a_new_version(spark, tree, tmp_path):
+    store = api.open_catalog(spark, str(tmp_path / "catalog"))
+    api.build_catalog(store, [str(tree), str(tree / "app")])
+    before, old = store.version(), store.read()
+    names = {(r.name, r.root) for r in old.collect()}
+    # A root inside another keeps its own files, and none is listed twice.
+    api.refresh_root(store, str(tree))
+    assert {(r.name, r.root) for r in store.read().collect()} == names and store.read().count() == len(names)
+    for name in ("debug.log", "old.log.gz"):
+        (tree / "app" / name).unlink()
+    api.refresh_root(store, str(tree / "app"))
+    assert {r.name for r in store.read().collect()} == {"server.log", "image.bin", "download.part", "file.log"}
+    assert old.count() == len(names) and store.version() == before + 2
+
+
 def test_lines_and_containers(spark, tree):
     table = api.lines(spark, str(tree / "server.log"))
     assert [r.content for r in api.read_lines(table, 1, 5).collect()] == ["two"]

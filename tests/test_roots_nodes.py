@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from logquarry.operators import nodes as N
 from logquarry.operators import roots as R
 from logquarry.plans import skew
+from logquarry.streaming.streams import event_stream
 
 NODES = "id bigint, parent_id bigint, name string, attributes int, seq bigint"
 DIR = 0x10
@@ -29,6 +30,28 @@ def test_most_specific_root_both_ways(spark, monkeypatch):
     assert paths(R.without_subtree(files, ["/a/b"])) == ["/a", "/a/y", "/ab/z", "C:\\Logs\\q.log"]
 
 
+def test_spellings_and_blank_roots_both_ways(spark, monkeypatch):
+    files = spark.createDataFrame([("C:/logs/a.log",), ("/x/y",)], "path string")
+    roots = ["C:\\Logs", "c:/logs", "", " "]
+    expected = {"C:/logs/a.log": "C:\\Logs", "/x/y": None}
+    for order in (roots, roots[::-1]):
+        assert {r.path: r.root for r in R.with_root(files, order).collect()} == expected
+        with monkeypatch.context() as patch:
+            patch.setattr(R, "INLINE_ROOTS", 0)
+            assert {r.path: r.root for r in R.with_root(files, order).collect()} == expected
+
+
+def test_a_stream_takes_any_number_of_roots(spark, tmp_path):
+    events = spark.createDataFrame([(f"/r{i}/f.log",) for i in range(0, 200, 2)], "path string")
+    events.write.parquet(str(tmp_path / "events"))
+    roots = [f"/r{i}" for i in range(70)]
+    found = event_stream(spark, str(tmp_path / "events"), events.schema, roots, ["/r4"])
+    query = found.writeStream.format("memory").queryName("many_roots").trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "checkpoint")).start().awaitTermination()
+    got = {r.path for r in spark.table("many_roots").collect()}
+    assert got == {f"/r{i}/f.log" for i in range(0, 70, 2)} - {"/r4/f.log"}
+
+
 def test_root_algebra(spark):
     roots = spark.createDataFrame([("/a/b",), ("/a",), ("/ab",), ("/a/b/c",)], "root string")
     assert sorted(r.root for r in R.minimal_roots(roots).collect()) == ["/a", "/ab"]
