@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.constants import MAX_LINE_BYTES
+from logquarry.functions.paths import file_name
 from logquarry.functions.text import (
     cut_bytes,
     decode_bytes,
@@ -17,7 +23,9 @@ from logquarry.functions.text import (
 )
 from logquarry.plans.blocked import id_block, with_running
 from logquarry.plans.skew import BROADCAST_ROWS
-from logquarry.session import materialize_counting
+from logquarry.session import materialize, materialize_counting, ship_package
+
+COPY_BYTES = 1 << 20
 
 
 def line_pieces(text: Column) -> Column:
@@ -40,9 +48,12 @@ def split_text(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def number_blocks(raw: DataFrame) -> DataFrame:
+def number_blocks(raw: DataFrame, charset: bool = False) -> DataFrame:
     """Add 1-based ``line_no`` to rows of ``path, block_start, row_id, ...``.
 
+    With ``charset``, add that too: UTF-8 for a file whose ``raw`` bytes all are,
+    else GB18030.  It comes out of the first pass and looks at every byte.
+
     First pass: one partial aggregate per file block gives its number of lines.
     A running sum over the blocks of a file turns these into first numbers, and
     the second pass adds the row's place in its block.  No line is shuffled when
@@ -52,14 +63,18 @@ def number_blocks(raw: DataFrame) -> DataFrame:
     Both passes read the same splits.  Should a file change in between, a row
     would fall outside its block, and the job stops rather than misnumber lines.
     """
-    counts = raw.groupBy("path", "block_start").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("row_id").alias("_first")
-    )
+    facts = [F.count(F.lit(1)).alias("_n"), F.min("row_id").alias("_first")]
+    if charset:
+        facts.append(F.every(F.is_valid_utf8(F.col("raw").cast("string"))).alias("_utf8"))
+    counts = raw.groupBy("path", "block_start").agg(*facts)
     before = (
         Window.partitionBy("path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     )
     blocks, seen = materialize_counting(counts, "line_blocks", n=F.count(F.lit(1)))
     bases = blocks.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if charset:
+        whole = F.every("_utf8").over(Window.partitionBy("path"))
+        bases = bases.withColumn("charset", F.when(whole, "UTF-8").otherwise("GB18030")).drop("_utf8")
     small = seen["n"] <= BROADCAST_ROWS
     joined = raw.join(F.broadcast(bases) if small else bases, ["path", "block_start"])
     place = F.col("row_id") - F.col("_first")
@@ -127,19 +142,44 @@ def with_level(lines: DataFrame, content: str = "content") -> DataFrame:
     return lines.withColumn("level", log_level(F.col(content)))
 
 
-def export_lines(lines: DataFrame, published: int, path: str) -> DataFrame:
-    """Write the first ``published`` lines and report ``n_lines, bytes, complete``.
+def export_lines(lines: DataFrame, published: int, folder: str) -> DataFrame:
+    """Copy the first ``published`` lines of every file, byte for byte, into a folder.
 
-    Line order inside the export follows the line number: numbers are cut into
-    ranges, one file per range, sorted inside.
+    ``lines`` holds ``path, line_no, raw_len`` of files that tasks can open.  One row
+    for each file: ``path, target, n_lines, bytes, complete``, ``bytes`` being those
+    written.  A copy is finished under another name and then moved into place, so a
+    task that runs twice leaves one whole file.
     """
-    stable = lines.where(F.col("line_no") <= published)
-    ordered = stable.repartitionByRange(F.col("line_no")).sortWithinPartitions("line_no")
-    ordered.select("content").write.mode("overwrite").option("lineSep", "\n").text(path)
-    return lines.agg(
-        F.count_if(F.col("line_no") <= published).alias("n_lines"),
-        F.coalesce(
-            F.sum(F.when(F.col("line_no") <= published, F.octet_length("content") + 1)), F.lit(0)
-        ).cast("bigint").alias("bytes"),
+    wanted = F.col("line_no") <= published
+    spans = lines.groupBy("path").agg(
+        F.count_if(wanted).alias("n_lines"),
+        F.coalesce(F.sum(F.when(wanted, F.col("raw_len"))), F.lit(0)).cast("bigint").alias("upto"),
         (F.max("line_no") <= published).alias("complete"),
     )
+    target = F.concat(F.lit(f"{folder.rstrip('/')}/"), F.sha1(F.col("path").cast("binary")), F.lit("-"), file_name(F.col("path")))
+    ship_package(lines.sparkSession)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = batch.to_pydict()
+            sizes = [copy_prefix(*row) for row in zip(table["path"], table["target"], table["upto"])]
+            names = ["path", "target", "n_lines", "complete"]
+            columns = [*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "bytes"])
+
+    schema = "path string, target string, n_lines bigint, complete boolean, bytes bigint"
+    return materialize(spans.withColumn("target", target).repartition("path").mapInArrow(copy, schema), "exports")
+
+
+def copy_prefix(path: str, target: str, size: int) -> int:
+    """Copy at most ``size`` bytes of a file and return how many there were."""
+    source, inside = fs.FileSystem.from_uri(path)
+    store, place = fs.FileSystem.from_uri(target)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    unfinished, left = f"{place}.{uuid.uuid4().hex}", size
+    with source.open_input_stream(inside) as data, store.open_output_stream(unfinished) as out:
+        while left and (piece := data.read(min(left, COPY_BYTES))):
+            out.write(piece)
+            left -= len(piece)
+    store.move(unfinished, place)
+    return size - left

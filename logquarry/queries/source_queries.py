@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from logquarry.constants import ArchiveLimits
 from logquarry.operators import changes as H
 from logquarry.operators import lines as L
+from logquarry.operators.roots import refreshed_rows, with_root
 from logquarry.operators.search import with_search_columns
 from logquarry.plans import views
 from logquarry.queries import duck as D
@@ -23,7 +24,7 @@ TABLES = [
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 # Documents written into one text file; the number of files grows with the table.
-DOCS_PER_FILE = 2_000
+DOCS_PER_FILE = 250
 
 
 def doc_number(path: str = "source_path"):
@@ -256,7 +257,34 @@ def replace_root(spark, sf):
     store = Snapshots(spark, work_path(spark, "by_root"), table.schema, ["root_key"])
     store.replace(table)
     fresh = rows.where((C("root_key") == "src4") & (C("doc_id") % 2 == 0)).withColumn("size", C("size") + 7)
-    store.replace_partition(fresh)
+    store.replace_where(C("root_key") == "src4", fresh)
+    return store.read()
+
+
+@query("snk_03_emptied_root", rf"""WITH {D.CATALOG} SELECT 'after' AS stage, path, source AS root FROM catalog WHERE source <> 'src4'
+UNION ALL SELECT 'before', path, source FROM catalog""")
+def emptied_root(spark, sf):
+    """A refresh that finds no file leaves no row of the root; readers of the old version see it whole."""
+    rows = views.files(spark, sf).select("path", F.element_at(F.split("path", "/"), 3).alias("root"))
+    store = Snapshots(spark, work_path(spark, "emptied"), rows.schema, ["root"])
+    store.replace(rows)
+    before = store.read()
+    store.replace_where(C("root") == "src4", rows.limit(0))
+    stages = [part.select(F.lit(stage).alias("stage"), "path", "root") for stage, part in (("before", before), ("after", store.read()))]
+    return stages[0].unionByName(stages[1])
+
+
+@query("snk_03_nested_roots", rf"""WITH {D.CATALOG}
+SELECT path, CASE WHEN source = 'src1' AND lang = 'en' THEN '/data/src1/en' ELSE '/data/src1' END AS root, size + CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS size
+FROM catalog WHERE source = 'src1'""")
+def nested_roots(spark, sf):
+    """Refreshing a root leaves the files of a root inside it with that one, each listed once."""
+    rows = with_root(views.files(spark, sf).select("path", "size"), ["/data/src1", "/data/src1/en"]).where("root IS NOT NULL")
+    store = Snapshots(spark, work_path(spark, "nested_roots"), rows.schema, ["root"])
+    store.replace(rows)
+    found = views.files(spark, sf).where(F.startswith("path", F.lit("/data/src1/"))).select("path", (C("size") + 1).alias("size"))
+    fresh = refreshed_rows(store.read(), found.withColumn("root", F.lit("/data/src1")), "/data/src1")
+    store.replace_where(C("root") == "/data/src1", fresh)
     return store.read()
 
 
@@ -303,15 +331,18 @@ def journal_state(spark, sf):
     return store.read()
 
 
-@query("snk_07_export_lines", rf"""WITH {FILE_ROWS}, t AS (SELECT content, line_no FROM file_rows)
-SELECT count(*) FILTER (line_no <= 500) AS n_lines, CAST(sum(octet_length(encode(content)) + 1) FILTER (line_no <= 500) AS BIGINT) AS bytes,
- max(line_no) <= 500 AS complete, count(*) FILTER (line_no <= 500) AS n_written FROM t""")
+@query("snk_07_export_lines", rf"""WITH {FILE_ROWS}, t AS (SELECT bucket, string_agg(piece, chr(10) ORDER BY doc_id, pos) || chr(10) AS whole FROM pieces GROUP BY bucket),
+c AS (SELECT bucket, count(*) AS n, count(*) FILTER (line_no <= 300) AS n_lines FROM file_rows GROUP BY bucket),
+p AS (SELECT bucket, string_agg(piece || chr(10), '' ORDER BY doc_id, pos) AS part FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id, pos) AS k FROM pieces) WHERE k <= 300 GROUP BY bucket)
+SELECT bucket, n_lines, CAST(octet_length(encode(part)) AS BIGINT) AS bytes, n <= 300 AS complete, sha256(part) AS digest FROM c JOIN p USING (bucket)""")
 def export_lines(spark, sf):
+    """The first 300 lines of each file, and the digest of what stands in the copy."""
     lines = T.read_lines(spark, written_lines(spark, sf))
-    path = work_path(spark, "export")
-    facts = L.export_lines(lines, 500, path)
-    written = spark.read.option("lineSep", "\n").text(path).agg(F.count(F.lit(1)).alias("n_written"))
-    return facts.withColumn("_one", F.lit(1)).join(written.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    facts = L.export_lines(lines, 300, work_path(spark, "export"))
+    copies = spark.read.format("binaryFile").load([f"{facts.first().target.rpartition('/')[0]}"])
+    written = copies.select(T.plain_path(C("path")).alias("target"), F.sha2("content", 256).alias("digest"))
+    facts = facts.withColumn("target", T.plain_path(C("target")))
+    return _bucketed(facts).join(written, "target").select("bucket", "n_lines", "bytes", "complete", "digest")
 
 
 @query("snk_08_rebuild_search_columns", rf"""SELECT count(*) AS n_catalog, count(*) AS n_derived, true AS usable FROM documents""")

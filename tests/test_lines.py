@@ -113,11 +113,32 @@ def test_running_values_do_not_depend_on_blocks(spark):
     assert answer(10) == answer(257) == answer(10**6) == sorted(map(tuple, expected))
 
 
-def test_export(spark, tmp_path):
-    df = spark.createDataFrame([("f", "first\nsecond\nlast")], "path string, text string")
-    facts = L.export_lines(L.split_text(df), 3, str(tmp_path / "out")).first()
-    assert (facts.n_lines, facts.bytes, facts.complete) == (3, 18, True)
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
-    assert data == b"first\nsecond\nlast\n"
-    part = L.export_lines(L.split_text(df), 2, str(tmp_path / "part")).first()
-    assert (part.n_lines, part.complete) == (2, False)
+def test_export_is_byte_exact(spark, tmp_path):
+    contents = {
+        "crlf.log": b"first\r\nsecond\r\nlast",
+        "long.log": b"x" * 70_000 + b"\n" + b"y" * 20 + b"\nz",
+        "gb.log": "中文\n第二行\nend\n".encode("gb18030"),
+        "more.log": b"1\n2\n3\n4\n",
+    }
+    (tmp_path / "in").mkdir()
+    for name, data in contents.items():
+        write(tmp_path / "in", name, data)
+    lines = T.read_lines(spark, str(tmp_path / "in"))
+    for published in (2, 3, 99):
+        facts = L.export_lines(lines, published, str(tmp_path / f"out{published}")).collect()
+        assert len(facts) == 4
+        for r in facts:
+            data = contents[r.path.rpartition("/")[2]]
+            whole = data.splitlines(keepends=True)
+            expected = b"".join(whole[:published])
+            with open(r.target, "rb") as file:
+                assert file.read() == expected
+            assert (r.n_lines, r.bytes, r.complete) == (min(published, len(whole)), len(expected), len(whole) <= published)
+
+
+def test_each_file_has_its_own_charset(spark, tmp_path):
+    late = "plain ascii\n" * 1000 + "第二行\n"
+    write(tmp_path, "a.log", "héllo\n".encode())
+    write(tmp_path, "b.log", late.encode("gb18030"))
+    rows = T.read_lines(spark, str(tmp_path)).where("line_no in (1, 1001)").collect()
+    assert {r.content for r in rows} == {"héllo", "plain ascii", "第二行"}
