@@ -29,7 +29,7 @@ from logquarry.functions.paths import file_name
 from logquarry.functions.text import decode_bytes, lenient_charsets, strip_bom, strip_line_end
 from logquarry.operators.lines import line_pieces
 from logquarry.session import materialize, ship_package, spread
-from logquarry.sources.decoders import entries_of, line_chunks, sample_charset, stream_head
+from logquarry.sources.decoders import entries_of, line_chunks, read_up_to, sample_charset, stream_head
 from logquarry.sources.files import plain_path
 
 BATCH_BYTES = 64 * 1024 * 1024
@@ -221,7 +221,7 @@ def next_level(level: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> Dat
                 if not entry.regular or entry.encrypted or not entry.name.lower().endswith(suffixes):
                     continue
                 left = limits.max_decoded_bytes - decoded
-                data = entry.open().read(left + 1)
+                data = read_up_to(entry.open(), left + 1)
                 inner = [*chain, entry.name]
                 if len(data) > left:
                     yield (row["source_path"], inner, decoded, None, "decoded size limit exceeded")

@@ -58,6 +58,15 @@ def stream_head(data: bytes, compression: str, size: int = 512) -> bytes | None:
         return None
 
 
+def read_up_to(source, size: int) -> bytes:
+    """At most ``size`` bytes, however large that is."""
+    pieces, left = [], size
+    while left > 0 and (piece := source.read(min(left, CHUNK_BYTES))):
+        pieces.append(piece)
+        left -= len(piece)
+    return b"".join(pieces)
+
+
 def gzip_name(data: bytes) -> str | None:
     """Original file name stored in a gzip header, without directories."""
     if len(data) < 10 or not data[3] & 8:
