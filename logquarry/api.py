@@ -86,9 +86,15 @@ def entries(spark: SparkSession, paths, nested: bool = True, limits: ArchiveLimi
     return archives.all_entries(found, limits) if nested else archives.entries(archives.start_level(found), limits)
 
 
-def entry_lines(spark: SparkSession, paths, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
-    """Lines of the log entries of containers and compressed files."""
-    return archives.entry_lines(archives.start_level(archives.read_containers(spark, paths)), limits)
+def entry_lines(
+    spark: SparkSession, paths, limits: ArchiveLimits = ArchiveLimits(), entry: str | None = None
+) -> DataFrame:
+    """Lines of the log entries of containers, of containers within them, and of compressed files.
+
+    ``entry`` asks for one alone, its containers before it: ``inner.zip::logs/a.log``.
+    """
+    found = archives.read_containers(spark, paths)
+    return archives.lines_of_entry(found, entry.split("::"), limits) if entry else archives.nested_lines(found, limits)
 
 
 def lines(spark: SparkSession, paths, charset: str | None = None, splittable: bool = True) -> DataFrame:
@@ -121,7 +127,7 @@ def classify(spark: SparkSession, paths) -> DataFrame:
     """``path, kind, format``: archive by leading bytes, else text, else null."""
     content = archives.with_format(archives.read_containers(spark, paths))
     name = file_name(F.col("path"))
-    return content.select("path", arrival_kind(F.col("content"), name, F.col("format")).alias("kind"), "format")
+    return content.select("path", arrival_kind(F.col("head"), name, F.col("format")).alias("kind"), "format")
 
 
 def covered(paths: DataFrame, roots: Roots) -> DataFrame:

@@ -112,10 +112,9 @@ def _pack_one(fmt: str, doc_id: int, text: str) -> tuple[str, bytes]:
 
 
 def packed_files(spark, sf: str, formats: list[str]) -> DataFrame:
-    """``doc_id, path, content``: every document packed, the formats in turn."""
-    return _packed(
-        views.table(spark, sf, "documents"), lambda doc_id, text: _pack_one(formats[doc_id % len(formats)], doc_id, text)
-    )
+    """``doc_id, path, place``: every document packed and stored, the formats in turn."""
+    docs = views.table(spark, sf, "documents")
+    return A.stored(_packed(docs, lambda doc_id, text: _pack_one(formats[doc_id % len(formats)], doc_id, text)))
 
 
 def _tar_header(doc_id: int, text: str) -> tuple[str, bytes]:
@@ -151,5 +150,5 @@ def _nested(doc_id: int, text: str) -> tuple[str, bytes]:
 
 
 def nested_files(spark, sf: str) -> DataFrame:
-    """``doc_id, path, content``: one nest of containers per document."""
-    return _packed(views.table(spark, sf, "documents"), _nested)
+    """``doc_id, path, place``: one nest of containers per document."""
+    return A.stored(_packed(views.table(spark, sf, "documents"), _nested))

@@ -159,6 +159,22 @@ def nested_entries(spark, sf):
     )
 
 
+@query("src_10_nested_lines", rf"""WITH {D.LINES}
+SELECT doc_id, 'nested/diag.tar' AS chain, 'logs/server.log' AS entry_path, line_no, content FROM file_lines
+UNION ALL SELECT doc_id, 'deeper.tar.gz::inner.zip', 'inside.log', 1, 'inside' FROM documents
+UNION ALL SELECT doc_id, '', 'top.log', 1, 'top' FROM documents""")
+def nested_lines(spark, sf):
+    lines = A.nested_lines(nested_files(spark, sf)).where("error IS NULL")
+    return lines.select(doc_number().alias("doc_id"), F.array_join("chain", "::").alias("chain"), "entry_path", "line_no", "content")
+
+
+@query("jn_14_open_nested_entry", rf"""WITH {D.LINES} SELECT doc_id, line_no, content FROM file_lines""")
+def open_nested_entry(spark, sf):
+    """One entry of a container within a container, alone."""
+    lines = A.lines_of_entry(nested_files(spark, sf), ["nested/diag.tar", "logs/server.log"])
+    return lines.select(doc_number().alias("doc_id"), "line_no", "content")
+
+
 @query("ag_04_entries_per_archive", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 4 ELSE 3 END AS n_entries, doc_id % 6 <> 0 AS within_limit FROM documents")
 def entries_per_archive(spark, sf):
     counts = A.entry_counts(_listed(spark, sf, [*P.ZIPS, *P.TARS]), 3)

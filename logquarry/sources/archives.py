@@ -1,14 +1,18 @@
 """Archives as entry tables and line tables.
 
-One row per container goes in; Arrow batches of entries or lines come out as
-they are decoded.  Nested containers are expanded level by level, and each level
-is spread over the tasks again, so one container full of containers does not
-stay in one task.
+One row per container goes in, naming the place where it is stored; the task
+opens it there as a stream, so a container of any size passes through no table.
+Arrow batches of entries or lines come out as they are decoded.  Nested
+containers are copied to the shared folder and expanded level by level; each
+level is one map, and is spread over the tasks again, so one container full of
+containers does not stay in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import io
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -28,8 +32,8 @@ from logquarry.functions.classify import (
 from logquarry.functions.paths import file_name
 from logquarry.functions.text import decode_bytes, lenient_charsets, strip_bom, strip_line_end
 from logquarry.operators.lines import line_pieces
-from logquarry.session import materialize, ship_package, spread
-from logquarry.sources.decoders import entries_of, line_chunks, read_up_to, sample_charset, stream_head
+from logquarry.session import materialize, ship_package, spread, work_path
+from logquarry.sources.decoders import entries_of, first_bytes, line_chunks, open_place, sample_charset, save_place, stream_head
 from logquarry.sources.files import plain_path
 
 BATCH_BYTES = 64 * 1024 * 1024
@@ -38,7 +42,7 @@ OUT_ROWS, OUT_BYTES = 10_000, 8 * 1024 * 1024
 KEYS = "source_path string, chain array<string>, decoded bigint"
 ENTRY_SCHEMA = f"{KEYS}, entry_path string, size bigint, regular boolean, encrypted boolean, text boolean, error string"
 LINE_SCHEMA = f"{KEYS}, entry_path string, charset string, line_no bigint, raw binary, truncated boolean, error string"
-NESTED_SCHEMA = f"{KEYS}, content binary, error string"
+SURVEY_SCHEMA = f"{ENTRY_SCHEMA}, place string, total bigint"
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -50,41 +54,77 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def read_containers(spark: SparkSession, paths) -> DataFrame:
-    """``path, content`` of files to expand, each at most 2 GiB."""
+    """``path, place`` of files to expand; only their metadata is read here."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return spread(files.select(plain_path(F.col("path")).alias("path"), "content"), "path")
+    named = files.select(plain_path(F.col("path")).alias("path"))
+    return spread(named.withColumn("place", F.col("path")), "path")
 
 
-def decoded_head(content: Column, compression: Column) -> Column:
+def stored(files: DataFrame, content: str = "content") -> DataFrame:
+    """Rows with a column of bytes, these written to the shared folder and replaced by their ``place``."""
+    bound_batches(files.sparkSession)
+    folder = work_path(files.sparkSession, "containers")
+    kept = [c for c in files.columns if c != content]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [f"{folder}/{uuid.uuid4().hex}" for _ in range(batch.num_rows)]
+            column = batch.column(batch.schema.get_field_index(content))
+            for place, data in zip(places, column):
+                save_place(place, io.BytesIO(data.as_py() or b""), 2**62)
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(places, pa.string())], [*kept, "place"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in files.dtypes if c != content) + ", place string"
+    return materialize(files.mapInArrow(run, schema), "stored")
+
+
+def file_head(place: Column) -> Column:
+    """The first bytes of a stored file."""
+
+    @F.pandas_udf("binary")
+    def head(places: pd.Series) -> pd.Series:
+        return pd.Series([first_bytes(p, SAMPLE_BYTES) for p in places], dtype=object)
+
+    return head(place)
+
+
+def decoded_head(place: Column, compression: Column) -> Column:
     """First 512 decompressed bytes of a compressed stream, null for others."""
 
+    def one(place: str, how: str | None) -> bytes | None:
+        if how is None:
+            return None
+        with open_place(place) as file:
+            return stream_head(file, how)
+
     @F.pandas_udf("binary")
-    def head(data: pd.Series, how: pd.Series) -> pd.Series:
-        return pd.Series([stream_head(d, h) if h else None for d, h in zip(data, how)], dtype=object)
+    def head(places: pd.Series, how: pd.Series) -> pd.Series:
+        return pd.Series([one(p, h) for p, h in zip(places, how)], dtype=object)
 
-    return head(content, compression)
+    return head(place, compression)
 
 
 def with_format(files: DataFrame, name: Column | None = None) -> DataFrame:
-    """Add ``format`` by leading bytes; Python sees compressed streams only."""
+    """Add ``head``, the first bytes of the file at ``place``, and ``format`` by what they are."""
     bound_batches(files.sparkSession)
     name = file_name(F.col("path")) if name is None else name
-    head = F.substring(F.col("content"), 1, 512)
-    how = stream_compression(head)
-    opened = files.withColumn("_how", how).withColumn("_head", decoded_head(F.when(how.isNotNull(), F.col("content")), F.col("_how")))
-    return opened.withColumn("format", detect_format(head, name, F.col("_head"))).drop("_how", "_head")
+    headed = files.withColumn("head", file_head(F.col("place")))
+    lead = F.substring(F.col("head"), 1, 512)
+    opened = headed.withColumn("_how", stream_compression(lead)).withColumn("_head", decoded_head(F.col("place"), F.col("_how")))
+    return opened.withColumn("format", detect_format(lead, name, F.col("_head"))).drop("_how", "_head")
 
 
 def start_level(files: DataFrame) -> DataFrame:
     """Outermost containers as the first level of the expansion."""
-    bound_batches(files.sparkSession)
     return with_format(files).select(
         F.col("path").alias("source_path"),
         F.array().cast("array<string>").alias("chain"),
         F.lit(0).cast("bigint").alias("decoded"),
         file_name(F.col("path")).alias("name"),
         "format",
-        "content",
+        "head",
+        "place",
     )
 
 
@@ -113,7 +153,7 @@ def _arrow_types(names: list[str]) -> pa.Schema:
         "source_path": pa.string(), "chain": pa.list_(pa.string()), "decoded": pa.int64(),
         "entry_path": pa.string(), "size": pa.int64(), "regular": pa.bool_(), "encrypted": pa.bool_(),
         "text": pa.bool_(), "error": pa.string(), "charset": pa.string(), "line_no": pa.int64(),
-        "raw": pa.binary(), "truncated": pa.bool_(), "content": pa.binary(),
+        "raw": pa.binary(), "truncated": pa.bool_(), "place": pa.string(), "total": pa.int64(),
     }
     return pa.schema([(name, kinds[name]) for name in names])
 
@@ -140,15 +180,22 @@ def entries(level: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFr
         key = (row["source_path"], row["chain"], row["decoded"])
         listed = []
         try:
-            for entry in entries_of(row["content"], row["format"], row["name"], limits):
+            for entry in entries_of(row["place"], row["format"], row["name"], limits):
                 listed.append((*key, entry.name, entry.size, entry.regular, entry.encrypted, row["text"], None))
             yield from listed
         except Exception as error:
             yield (*key, None, None, None, None, None, str(error))
 
-    # Only a plain file is sampled; what a container holds is known by name.
-    sampled = level.withColumn("text", (F.col("format") == "plain") & is_text_sample(F.col("content")))
-    rows = _expand(sampled, ENTRY_SCHEMA, visit, _names(ENTRY_SCHEMA))
+    return _entry_rows(_expand(_sampled(level), ENTRY_SCHEMA, visit, _names(ENTRY_SCHEMA)), limits)
+
+
+def _sampled(level: DataFrame) -> DataFrame:
+    """Only a plain file is sampled; what a container holds is known by name."""
+    return level.withColumn("text", (F.col("format") == "plain") & is_text_sample(F.col("head"))).drop("head")
+
+
+def _entry_rows(rows: DataFrame, limits: ArchiveLimits) -> DataFrame:
+    """The public columns of listed entries; unsafe and special ones are left out."""
     safe = is_safe_entry(F.col("entry_path"), limits.max_path_bytes) & F.col("regular")
     return rows.where(F.col("error").isNotNull() | safe).select(
         "source_path",
@@ -163,8 +210,10 @@ def entries(level: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFr
     )
 
 
-def entry_lines(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit: int = MAX_LINE_BYTES) -> DataFrame:
-    """Numbered lines of every log entry, decoded by the entry's own charset.
+def entry_lines(
+    level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit: int = MAX_LINE_BYTES, name: str | None = None
+) -> DataFrame:
+    """Numbered lines of every log entry, or of those called ``name``, decoded by the entry's own charset.
 
     Python only decompresses and cuts the bytes at line ends; chunks of lines
     leave the task while the entry is still being read, and decoding, splitting
@@ -175,10 +224,10 @@ def entry_lines(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit
     def visit(row: dict) -> Iterator[tuple]:
         key, current, budget = (row["source_path"], row["chain"], row["decoded"]), None, limits.max_decoded_bytes
         try:
-            for entry in entries_of(row["content"], row["format"], row["name"], limits):
+            for entry in entries_of(row["place"], row["format"], row["name"], limits):
                 current = entry.name
                 is_log = "." + current.rsplit(".", 1)[-1].lower() in logs or row["format"] == "plain"
-                if not entry.regular or entry.encrypted or not is_log:
+                if not entry.regular or entry.encrypted or not is_log or name not in (None, current):
                     continue
                 if row["format"] not in ("gz", "bz2", "xz", "zst") and entry.size > budget - row["decoded"]:
                     raise ValueError("decoded size limit exceeded")
@@ -193,7 +242,7 @@ def entry_lines(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit
         except Exception as error:
             yield (*key, current, None, None, None, None, str(error))
 
-    raw = _expand(level, LINE_SCHEMA, visit, _names(LINE_SCHEMA))
+    raw = _expand(level.drop("head"), LINE_SCHEMA, visit, _names(LINE_SCHEMA))
     safe = raw.where(F.col("error").isNotNull() | is_safe_entry(F.col("entry_path"), limits.max_path_bytes))
     with lenient_charsets(level.sparkSession):
         text = safe.withColumn("text", decode_bytes(F.col("raw"), F.col("charset"))).drop("raw")
@@ -206,74 +255,107 @@ def entry_lines(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit
     return exploded.select(*fields, number.alias("line_no"), strip_line_end(shown).alias("content"))
 
 
-def next_level(level: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
-    """Containers inside containers, with their bytes: the next level.
+def survey(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), only: str | None = None) -> DataFrame:
+    """Entries of a level, and ``place, total`` of those that are containers by name, copied to the shared folder.
 
-    An entry that is no archive by its bytes, though named like one, gives a row
-    with ``error``; so does one that breaks the running size of its chain.
+    ``total`` is the running size of the chain.  ``only`` names the one container to copy.  A container
+    that cannot be read gives one row with ``error``; so does an inner one that breaks the running size.
     """
     suffixes = tuple(suffix for suffix, _ in ARCHIVE_SUFFIXES)
+    folder = work_path(level.sparkSession, "inner")
 
     def visit(row: dict) -> Iterator[tuple]:
         chain, decoded = row["chain"], row["decoded"]
+        key, listed = (row["source_path"], chain, decoded), []
         try:
-            for entry in entries_of(row["content"], row["format"], row["name"], limits):
-                if not entry.regular or entry.encrypted or not entry.name.lower().endswith(suffixes):
-                    continue
-                left = limits.max_decoded_bytes - decoded
-                data = read_up_to(entry.open(), left + 1)
-                inner = [*chain, entry.name]
-                if len(data) > left:
-                    yield (row["source_path"], inner, decoded, None, "decoded size limit exceeded")
-                else:
-                    yield (row["source_path"], inner, decoded + len(data), data, None)
+            for entry in entries_of(row["place"], row["format"], row["name"], limits):
+                place = size = None
+                holds = row["format"] != "plain" and entry.name.lower().endswith(suffixes)
+                if holds and entry.regular and not entry.encrypted and only in (None, entry.name):
+                    place = f"{folder}/{uuid.uuid4().hex}"
+                    size = save_place(place, entry.open(), limits.max_decoded_bytes - decoded)
+                    if size is None:
+                        place, failed = None, (row["source_path"], [*chain, entry.name], decoded)
+                        listed.append((*failed, *[None] * 5, "decoded size limit exceeded", None, None))
+                total = None if size is None else decoded + size
+                listed.append((*key, entry.name, entry.size, entry.regular, entry.encrypted, row["text"], None, place, total))
+            yield from listed
         except Exception as error:
-            yield (row["source_path"], chain, decoded, None, str(error))
-
-    packed = level.where(F.col("format").isNotNull() & (F.col("format") != "plain"))
-    raw = _expand(packed, NESTED_SCHEMA, visit, _names(NESTED_SCHEMA))
-    inner = F.element_at("chain", -1)
-    safe = raw.where(F.col("error").isNotNull() | is_safe_entry(inner, limits.max_path_bytes))
-    named = safe.withColumn("name", file_name(F.try_element_at("chain", F.lit(-1))))
-    formatted = with_format(named, F.col("name"))
-    forged = F.when(F.col("error").isNotNull(), F.col("error")).when(
-        F.col("format") == "plain", F.lit("entry content is not an archive")
-    )
-    return formatted.select("source_path", "chain", "decoded", "name", "format", "content", forged.alias("error"))
+            yield (*key, *[None] * 5, str(error), None, None)
 
+    return _expand(_sampled(level), SURVEY_SCHEMA, visit, _names(SURVEY_SCHEMA))
 
-def expand_nested(files: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> tuple[list[DataFrame], DataFrame]:
-    """All levels of containers below ``files`` and the rows that failed.
 
-    Each level is written once and spread over the tasks by chain.  Containers
-    deeper than the limit are reported, not opened.
+def _levels(
+    files: DataFrame, limits: ArchiveLimits, route: Sequence[str] | None = None
+) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Levels of containers below ``files``, what each holds, and ``source_path, chain, error`` of failures.
+
+    A level is surveyed once, and written.  With a ``route`` only the containers of that chain are followed.
     """
-    level = start_level(files)
-    levels, errors = [level], []
+    levels, surveys, errors = [start_level(files)], [], []
     for depth in range(1, limits.max_nested_depth + 2):
-        found = materialize(next_level(level, limits).repartition("source_path", "chain"), f"level_{depth}")
-        failed = found.where(F.col("error").isNotNull())
-        level = found.where(F.col("error").isNull()).drop("error")
-        errors.append(failed.select("source_path", "chain", "error"))
-        if level.isEmpty():
+        if route is not None and depth > len(route):
+            break
+        rows = materialize(survey(levels[-1], limits, route[depth - 1] if route else None), f"level_{depth}")
+        surveys.append(rows)
+        inner = rows.where(F.col("place").isNotNull() & is_safe_entry(F.col("entry_path"), limits.max_path_bytes))
+        inner = inner.select(
+            "source_path",
+            F.concat("chain", F.array("entry_path")).alias("chain"),
+            F.col("total").alias("decoded"),
+            file_name(F.col("entry_path")).alias("name"),
+            "place",
+        )
+        if inner.isEmpty():
             break
         if depth > limits.max_nested_depth:
-            errors.append(level.select("source_path", "chain", F.lit("nested too deep").alias("error")))
+            errors.append(inner.select("source_path", "chain", F.lit("nested too deep").alias("error")))
             break
-        levels.append(level)
-    return levels, reduce(DataFrame.unionByName, errors)
+        formatted = materialize(with_format(inner.repartition("source_path", "chain"), F.col("name")), f"heads_{depth}")
+        forged = F.col("format") == "plain"
+        errors.append(formatted.where(forged).select("source_path", "chain", F.lit("entry content is not an archive").alias("error")))
+        level = formatted.where(~forged).select("source_path", "chain", "decoded", "name", "format", "head", "place")
+        levels.append(level.repartition("source_path", "chain"))
+    return levels, surveys, errors
+
+
+def expand_nested(files: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> tuple[list[DataFrame], DataFrame]:
+    """All levels of containers below ``files`` and the rows that failed.
+
+    Containers deeper than the limit are reported, not opened.
+    """
+    levels, surveys, errors = _levels(files, limits)
+    failed = [rows.where(F.col("error").isNotNull()).select("source_path", "chain", "error") for rows in surveys]
+    return levels, reduce(DataFrame.unionByName, [*failed, *errors])
 
 
 def all_entries(files: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
     """Entries of every level; ``chain`` tells the containers on the way."""
-    levels, errors = expand_nested(files, limits)
-    rows = reduce(DataFrame.unionByName, [entries(level, limits) for level in levels])
-    # A container broken at one level shows up there once already.
-    inner = errors.join(rows.where(F.col("error").isNotNull()).select("source_path", "chain"), ["source_path", "chain"], "left_anti")
+    _, surveys, errors = _levels(files, limits)
+    rows = reduce(DataFrame.unionByName, [_entry_rows(rows, limits) for rows in surveys])
     none = [F.lit(None).cast(t).alias(n) for n, t in (
         ("decoded", "bigint"), ("entry_path", "string"), ("size", "bigint"), ("is_log", "boolean"),
         ("encrypted", "boolean"), ("is_archive", "boolean"))]
-    return rows.unionByName(inner.select("source_path", "chain", *none, "error"))
+    return reduce(DataFrame.unionByName, [rows, *[e.select("source_path", "chain", *none, "error") for e in errors]])
+
+
+def nested_lines(files: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit: int = MAX_LINE_BYTES) -> DataFrame:
+    """Lines of the log entries of every level."""
+    levels, _, _ = _levels(files, limits)
+    return reduce(DataFrame.unionByName, [entry_lines(level, limits, limit) for level in levels])
+
+
+def lines_of_entry(
+    files: DataFrame, route: Sequence[str], limits: ArchiveLimits = ArchiveLimits(), limit: int = MAX_LINE_BYTES
+) -> DataFrame:
+    """Lines of one entry of each file, reached through the containers that ``route`` names before it.
+
+    Nothing else is copied or decoded; a file without the entry gives no line.
+    """
+    levels, _, _ = _levels(files, limits, list(route[:-1]))
+    last = levels[-1] if len(levels) == len(route) else levels[0].limit(0)
+    return entry_lines(last, limits, limit, route[-1])
 
 
 def lookup_entries(requests: DataFrame, listed: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Small task-side helpers that open one container held as bytes.
+"""Small task-side helpers that open one container as a stream, wherever it is stored.
 
 Everything relational (names, limits, classes) happens in Columns afterwards.
 """
@@ -9,6 +9,7 @@ import bz2
 import gzip
 import io
 import lzma
+import re
 import stat
 import tarfile
 import zipfile
@@ -16,20 +17,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import zstandard
+from pyarrow import fs
 
 from logquarry.constants import SAMPLE_BYTES, ArchiveLimits
 
 # Bytes read at once; chunks of lines are about this large.
 CHUNK_BYTES = 1024 * 1024
+BUFFER_BYTES = 64 * 1024
+# A gzip header is looked for its file name in so many bytes.
+HEADER_BYTES = 64 * 1024
 
 OPENERS = {
-    "gz": lambda data: gzip.GzipFile(fileobj=io.BytesIO(data)),
-    "bz2": lambda data: bz2.BZ2File(io.BytesIO(data)),
-    "xz": lambda data: lzma.LZMAFile(io.BytesIO(data)),
-    "zst": lambda data: zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True),
+    "gz": lambda file: gzip.GzipFile(fileobj=file),
+    "bz2": bz2.BZ2File,
+    "xz": lzma.LZMAFile,
+    "zst": lambda file: zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True),
 }
 
 
+def open_place(place: str) -> io.BufferedReader:
+    """A stored file as a seekable stream; only what is read leaves the store."""
+    store, inside = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", place))
+    return io.BufferedReader(store.open_input_file(inside), BUFFER_BYTES)
+
+
+def save_place(place: str, source, most: int) -> int | None:
+    """Copy a stream to a new stored file; its size, or None once it has more than ``most`` bytes."""
+    store, inside = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", place))
+    store.create_dir(inside.rpartition("/")[0], recursive=True)
+    size = 0
+    with store.open_output_stream(inside) as out:
+        while piece := source.read(CHUNK_BYTES):
+            size += len(piece)
+            if size > most:
+                return None
+            out.write(piece)
+    return size
+
+
+def first_bytes(place: str, size: int) -> bytes:
+    """The first bytes of a stored file, none when it cannot be opened."""
+    try:
+        with open_place(place) as file:
+            return file.read(size)
+    except OSError:
+        return b""
+
+
 class LimitedReader(io.RawIOBase):
     """Reader that fails once more than ``limit`` bytes went through."""
 
@@ -47,10 +81,10 @@ class LimitedReader(io.RawIOBase):
         return data
 
 
-def stream_head(data: bytes, compression: str, size: int = 512) -> bytes | None:
+def stream_head(file, compression: str, size: int = 512) -> bytes | None:
     """First decompressed bytes, None when the stream cannot be read."""
     try:
-        source, head = OPENERS[compression](data), b""
+        source, head = OPENERS[compression](file), b""
         while len(head) < size and (more := source.read(size - len(head))):
             head += more
         return head
@@ -58,17 +92,8 @@ def stream_head(data: bytes, compression: str, size: int = 512) -> bytes | None:
         return None
 
 
-def read_up_to(source, size: int) -> bytes:
-    """At most ``size`` bytes, however large that is."""
-    pieces, left = [], size
-    while left > 0 and (piece := source.read(min(left, CHUNK_BYTES))):
-        pieces.append(piece)
-        left -= len(piece)
-    return b"".join(pieces)
-
-
 def gzip_name(data: bytes) -> str | None:
-    """Original file name stored in a gzip header, without directories."""
+    """Original file name stored in a gzip header, given the first bytes, without directories."""
     if len(data) < 10 or not data[3] & 8:
         return None
     start = 10
@@ -89,44 +114,54 @@ class Entry:
         self.name, self.size, self.regular, self.encrypted, self.open = name, size, regular, encrypted, opener
 
 
-def zip_entries(data: bytes) -> Iterator[Entry]:
+def zip_entries(file) -> Iterator[Entry]:
     """Entries of a ZIP from its central directory; nothing is decompressed."""
-    archive = zipfile.ZipFile(io.BytesIO(data))
+    archive = zipfile.ZipFile(file)
     for info in archive.infolist():
         mode = stat.S_IFMT(info.external_attr >> 16)
         regular = not info.is_dir() and mode in (0, stat.S_IFREG)
         yield Entry(info.filename, info.file_size, regular, bool(info.flag_bits & 1), lambda i=info: archive.open(i))
 
 
-def tar_entries(data: bytes, compression: str | None, limits: ArchiveLimits) -> Iterator[Entry]:
+def tar_entries(file, compression: str | None, limits: ArchiveLimits) -> Iterator[Entry]:
     """Entries of a TAR in stream order; each must be read before the next."""
-    source = OPENERS[compression](data) if compression else io.BytesIO(data)
+    source = OPENERS[compression](file) if compression else file
     limited = LimitedReader(source, limits.max_scan_bytes, "scan size")
     archive = tarfile.open(fileobj=limited, mode="r|")
     for info in archive:
         yield Entry(info.name.replace("\\", "/"), info.size, info.isreg(), False, lambda i=info: archive.extractfile(i))
 
 
-def entries_of(data: bytes, fmt: str, name: str, limits: ArchiveLimits) -> Iterator[Entry]:
-    """Raw entries of one container; raises when it is damaged or over a limit."""
-    if fmt == "zip":
-        found = zip_entries(data)
-    elif fmt == "tar" or fmt.startswith("tar."):
-        found = tar_entries(data, fmt[4:] or None, limits)
-    elif fmt in OPENERS:
-        stem = name.rsplit(".", 1)[0] if "." in name[1:] else name
-        inner = (gzip_name(data) if fmt == "gz" else None) or stem or "log"
-        if stream_head(data, fmt, 1) is None:
-            raise ValueError(f"damaged {fmt} stream")
-        found = iter([Entry(inner, len(data), True, False, lambda: OPENERS[fmt](data))])
-    elif fmt == "plain":
-        found = iter([Entry(name, len(data), True, False, lambda: io.BytesIO(data))])
-    else:
-        raise ValueError(f"unsupported format {fmt}")
-    for count, entry in enumerate(found):
-        if count >= limits.max_entries:
-            raise ValueError("entry count limit exceeded")
-        yield entry
+def entries_of(place: str, fmt: str, name: str, limits: ArchiveLimits) -> Iterator[Entry]:
+    """Raw entries of a stored container, or the one entry of a compressed or plain file."""
+    with open_place(place) as file:
+        if fmt == "zip":
+            found = zip_entries(file)
+        elif fmt == "tar" or fmt.startswith("tar."):
+            found = tar_entries(file, fmt[4:] or None, limits)
+        elif fmt in OPENERS or fmt == "plain":
+            found = iter([single_entry(file, fmt, name)])
+        else:
+            raise ValueError(f"unsupported format {fmt}")
+        for count, entry in enumerate(found):
+            if count >= limits.max_entries:
+                raise ValueError("entry count limit exceeded")
+            yield entry
+
+
+def single_entry(file, fmt: str, name: str) -> Entry:
+    """What a compressed stream or a plain file holds."""
+    size = file.seek(0, io.SEEK_END)
+    file.seek(0)
+    if fmt == "plain":
+        return Entry(name, size, True, False, lambda: file)
+    stem = name.rsplit(".", 1)[0] if "." in name[1:] else name
+    inner = (gzip_name(file.read(HEADER_BYTES)) if fmt == "gz" else None) or stem or "log"
+    file.seek(0)
+    if stream_head(file, fmt, 1) is None:
+        raise ValueError(f"damaged {fmt} stream")
+    file.seek(0)
+    return Entry(inner, size, True, False, lambda: OPENERS[fmt](file))
 
 
 def sample_charset(head: bytes) -> str:

@@ -22,13 +22,9 @@ PACK = {
 MEMBERS = {"logs/server.log": b"one\ntwo\n", "assets/image.bin": bytes(4), "日志/服务.txt": b"x\n"}
 
 
-def files(spark, **contents):
-    rows = [(f"/d/{name}", bytearray(data)) for name, data in contents.items()]
-    return spark.createDataFrame(rows, "path string, content binary")
-
-
 def named(spark, contents):
-    return spark.createDataFrame([(f"/d/{n}", bytearray(d)) for n, d in contents.items()], "path string, content binary")
+    rows = [(f"/d/{n}", bytearray(d)) for n, d in contents.items()]
+    return A.stored(spark.createDataFrame(rows, "path string, content binary"))
 
 
 def listed(df, limits=ArchiveLimits()):
@@ -110,6 +106,29 @@ def test_nested_chains(spark):
     assert by_chain["fake.tar"] == ["entry content is not an archive"]
 
 
+def test_lines_within_nested_containers(spark):
+    outer = make_zip({"nested/diagnostics.tar": make_tar(MEMBERS, False), "inner.zip": nest(1), "top.log": b"top\n"}, False)
+    files = named(spark, {"outer.zip": outer, "bad.zip": b"PK\x03\x04nothing"})
+    lines = A.nested_lines(files).collect()
+    good = {("::".join(r.chain), r.entry_path, r.line_no, r.content) for r in lines if r.error is None}
+    assert ("nested/diagnostics.tar", "logs/server.log", 2, "two") in good
+    assert ("inner.zip::inner.zip", "inside.log", 1, "deep") in good and ("", "top.log", 1, "top") in good
+    assert [r.source_path for r in lines if r.error] == ["/d/bad.zip"]
+    one = A.lines_of_entry(files, ["inner.zip", "inner.zip", "inside.log"]).where("error is null").collect()
+    assert [(r.source_path, r.content) for r in one] == [("/d/outer.zip", "deep")]
+    assert A.lines_of_entry(files, ["absent.zip", "a.log"]).count() == 0
+
+
+def test_large_containers_are_streamed(spark, tmp_path):
+    """A sparse file above 2 GiB beside a small one: both are listed, neither passes through a table."""
+    with open(tmp_path / "big.log", "wb") as file:
+        file.truncate(2**31 + 10)
+    (tmp_path / "small.zip").write_bytes(make_zip(MEMBERS, False))
+    rows = A.entries(A.start_level(A.read_containers(spark, str(tmp_path)))).collect()
+    assert {(r.entry_path, r.size) for r in rows if r.entry_path == "big.log"} == {("big.log", 2**31 + 10)}
+    assert {r.entry_path for r in rows} == {"big.log", *MEMBERS}
+
+
 def test_depth_and_running_size(spark):
     levels, errors = A.expand_nested(named(spark, {"o.zip": nest(5)}))
     assert len(levels) == 6 and errors.count() == 0
