@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from logquarry.llm.common import rows_of, ship_package, text_or_empty
+from logquarry.llm.common import materialize, rows_of, ship_package, text_or_empty
 
 GEAR_BYTES = 16
 # A chunk ends at one word in 2 ** CUT_BITS.
@@ -99,10 +99,11 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30
 ) -> DataFrame:
-    """``(<id_col>, first_word, n_words, first_holder)``: passages that an earlier document holds too.
+    """``(<id_col>, first_word, n_words, holder)``: passages that an earlier document holds too.
 
-    A passage is a run of chunks, each of which a document with a smaller id holds as well;
-    ``first_holder`` is the smallest of those ids.  Words are counted from 0 between ASCII white space.
+    A passage is a run of chunks, each of which a document with a smaller id holds as well; of the
+    smallest holders of its chunks, ``holder`` is the one that holds most words, then the smallest.
+    Words are counted from 0 between ASCII white space.
     The chunks of a passage begin and end some words inside it (four words a chunk), so runs of
     ``min_words`` = 30 words stand for passages of more than 50 words, and shorter repeats, such as
     single lines, are left alone.  The first holder of a passage gets no row for it.  Null and empty
@@ -114,17 +115,19 @@ def repeated_passages(
     named = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text")).where("doc IS NOT NULL")
     rows = chunk_rows(named)
     holders = rows.groupBy("digest").agg(F.min("doc").alias("holder"), F.max("doc").alias("last")).where("holder < last")
-    later = rows.join(holders.select("digest", "holder"), "digest").where("doc > holder")
+    # Written, so that both sides of the join are plain shuffles, of which Spark can split hot digests.
+    holders = materialize(holders.select("digest", "holder"), "holders")
+    later = rows.join(holders, "digest").where("doc > holder")
     later = later.select("doc", "first_word", "n_words", "holder").distinct()
     order = Window.partitionBy("doc").orderBy("first_word")
     gap = F.col("first_word") != F.lag(F.col("first_word") + F.col("n_words")).over(order)
     runs = later.withColumn("new", F.coalesce(gap, F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = runs.groupBy("doc", "run").agg(
-        F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"), F.min("holder").alias("first_holder")
-    )
+    shares = runs.groupBy("doc", "run", "holder").agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"))
+    main = F.min_by("holder", F.struct(-F.col("n_words"), "holder")).alias("holder")
+    found = shares.groupBy("doc", "run").agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"), main)
     found = found.where(F.col("n_words") >= min_words)
-    return found.select(F.col("doc").alias(id_col), "first_word", "n_words", "first_holder")
+    return found.select(F.col("doc").alias(id_col), "first_word", "n_words", "holder")
 
 
 def drop_passages(
