@@ -19,10 +19,6 @@ from logquarry.sources import textlines as T
 from logquarry.sources.snapshots import Snapshots, usable
 
 C = F.col
-TABLES = [
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-]
 # Documents written into one text file; the number of files grows with the table.
 DOCS_PER_FILE = 250
 
@@ -34,18 +30,6 @@ def doc_number(path: str = "source_path"):
 
 # --- scans ------------------------------------------------------------------
 
-FOUND = " UNION ALL ".join(f"SELECT '{t}.parquet' AS name FROM {t}" for t in TABLES)
-
-
-@query("src_01_scan", f"""WITH found AS ({FOUND})
-SELECT DISTINCT name, false AS is_log, false AS is_archive, true AS has_size, true AS has_mtime FROM found""")
-def scan(spark, sf):
-    rows = FS.scan(spark, [sf], [f"{sf}/excluded"])
-    return rows.select(
-        "name", "is_log", "is_archive", (C("size") > 0).alias("has_size"), (C("modified_ms") > 0).alias("has_mtime")
-    )
-
-
 @query("src_02_catalog_row", rf"""WITH {D.CATALOG}
 SELECT path, name, CASE WHEN source IN ('src1', 'src7') THEN '/data/'||source ELSE 'none' END AS root, size, CASE WHEN doc_id < 20 THEN -1 ELSE (doc_id - 20) * 123456789 // 1000 END AS modified_ms,
  is_log, is_archive FROM catalog""")
@@ -96,6 +80,15 @@ def text_lines(spark, sf):
     return _bucketed(lines).select("bucket", "line_no", "content", "raw_len", "truncated")
 
 
+@query("src_01_scan", f"""SELECT doc_id // {DOCS_PER_FILE} AS bucket, true AS is_log, false AS is_archive,
+ CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size, true AS has_mtime FROM documents WHERE doc_id // {DOCS_PER_FILE} <> 1 GROUP BY ALL""")
+def scan(spark, sf):
+    """Files written from the documents, but for those below an excluded directory."""
+    folder = written_lines(spark, sf)
+    rows = _bucketed(FS.scan(spark, [folder], [f"{folder}/bucket=1"]))
+    return rows.select("bucket", "is_log", "is_archive", "size", (C("modified_ms") > 0).alias("has_mtime"))
+
+
 # --- containers -------------------------------------------------------------
 
 ENTRY_COLUMNS = """SELECT doc_id, 'logs/doc-'||doc_id||'.log' AS entry_path, octet_length(encode(text)) AS size, true AS is_log, false AS encrypted FROM documents
