@@ -121,20 +121,24 @@ def _suspect_lines(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _neighbourhoods(lines: DataFrame) -> DataFrame:
-    """``(key, pos, doc, body, line_no, line)``: the deletion neighbourhood of each line; -1 is the whole line."""
+    """``(key, pos, line)``: the deletion neighbourhood of each line; position -1 is the whole line."""
 
     @F.pandas_udf("array<long>")
     def keys(texts: pd.Series) -> pd.Series:
         return pd.Series([neighbourhood(t.encode("utf-8", "surrogatepass").split()).view(np.int64) for t in texts], dtype=object)
 
-    return lines.select(*ORDER, "line", F.posexplode(keys("text")).alias("pos", "key")).withColumn("pos", F.col("pos") - 1)
+    return lines.select("line", F.posexplode(keys("text")).alias("pos", "key")).withColumn("pos", F.col("pos") - 1)
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """``line`` hashes of those ``(doc, body, line_no, line, text)`` that have an earlier line within one edit."""
     lines = materialize(lines, "suspect_lines")
-    own = F.struct(*ORDER, "line").alias("own")
-    members = _neighbourhoods(lines).select("key", "pos", own)
+    every = _neighbourhoods(lines)
+    # Most hashes belong to one line: only the others are kept, with the places of their lines.
+    met = every.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high")
+    places = lines.select("line", F.struct(*ORDER, "line").alias("own"))
+    members = every.join(met.select("key"), "key", "left_semi").join(places, "line").select("key", "pos", "own")
+    members = materialize(members, "neighbours")
     spots = members.groupBy("key", "pos").agg(F.min("own").alias("low"), F.max("own").alias("high"))
     spots = materialize(spots, "spots")
     whole = spots.where("pos = -1").select("key", F.col("low").alias("whole"))
