@@ -35,7 +35,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 def words_of(line: Column) -> Column:
     """The words of a line, between ASCII white space."""
-    return F.filter(F.split(line, SPACE), lambda word: word != "")
+    return F.array_remove(F.split(line, SPACE), "")
 
 
 def neighbourhood(words: list[bytes]) -> np.ndarray:
@@ -169,8 +169,9 @@ def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """``(doc, body, gone)``: the line numbers to leave out of each document of ``(doc, body, text)``."""
     lines = _occurrences(docs)
     halves = [half.alias(f"h{i}") for i, half in enumerate(_halves(F.col("n"), F.col("words"), min_words))]
-    first = lines.select(*ORDER, "line", *halves)
-    first = first.groupBy("line").agg(
+    # Hashes only, written once: texts are split and hashed in one pass.
+    lines = materialize(lines.select(*ORDER, "line", *halves), "lines")
+    first = lines.groupBy("line").agg(
         F.min(F.struct(*ORDER, "h0", "h1", "h2", "h3")).alias("f"), F.count(F.lit(1)).alias("times")
     )
     first = materialize(first.select("line", "times", "f.*"), "distinct_lines")
