@@ -2,7 +2,7 @@
 
 Every coordinate has its own learning rate, and L1 keeps the weights sparse, so the fitted model is
 a short list of (index, weight) that is broadcast to score all texts.  The learner is sequential and
-sees a bounded sample of labelled rows (``max_per_class``) as a stream in one task; scoring is a map
+sees a bounded sample of labelled rows (``max_rows``) as a stream in one task; scoring is a map
 over all documents.
 """
 
@@ -159,20 +159,19 @@ def toxicity_model(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_per_class: int = 12_000,
+    max_rows: int = 24_000,
     **options: float,
 ) -> Model:
     """A model of the labelled documents that are not held out.
 
-    At most ``max_per_class`` rows of each label take part, those with the smallest hashes of their
-    ids: a bounded sample, which one task reads.  Labels other than 0 and 1 and null ids are left
-    out; a document with several labels takes part once for each.
+    At most ``max_rows`` rows take part, those with the smallest hashes of their ids: a bounded sample
+    with the labels' own shares, which one task reads in the order of the hashes.  Labels other than
+    0 and 1 and null ids are left out; a document with several labels takes part once for each.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col))
     usable = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
     usable = usable.withColumn("_order", F.xxhash64("_id"))
-    each = [usable.where(F.col("_label") == c).orderBy("_order", "_id").limit(max_per_class) for c in (0, 1)]
-    sample = F.broadcast(each[0].unionByName(each[1]))  # at most 2 * max_per_class small rows
+    sample = F.broadcast(usable.orderBy("_order", "_id", "_label").limit(max_rows))  # small rows of a bounded number
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     return fit(texts.join(sample, "_id"), "_text", "_label", "_order", **options)
 
