@@ -12,7 +12,7 @@ from logquarry.llm.decontaminate import drop_contaminated
 from logquarry.llm.linedup import dedup_lines
 from logquarry.llm.packing import pack
 from logquarry.llm.queries import table, tokenizer_path
-from logquarry.llm.simhash import drop_near_copies
+from logquarry.llm.similar import drop_similar
 from logquarry.llm.toxicity import drop_toxic
 
 
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return drop_near_copies(docs)
+    """One document of each group that shares four in five of its five-word shingles."""
+    return drop_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
