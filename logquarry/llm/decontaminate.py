@@ -4,7 +4,8 @@ A seed is a mask over five or fewer neighbouring words that ignores one of them.
 below find every passage that agrees with a benchmark item in at least four of five words: cut the
 item into windows of five words; with at most a fifth of the words replaced, some window has at most
 one replaced word, and one of the masks ignores exactly that word.  Hits only propose an alignment;
-the words of the whole aligned item are then compared.
+the words of the whole aligned item are then compared, and those of every stretch of the item on the
+alignment and its two neighbours, so that a part of an item counts, and one word put in or left out.
 
 The benchmark is a query set: it is read in blocks of at most ``BLOCK_WORDS`` words, each sent to
 all executors, and the documents pass by in a map, without a shuffle.
@@ -32,6 +33,8 @@ WINDOW = 5
 BLOCK_WORDS = 2_000_000
 # Words of documents that are compared at once.
 SCAN_WORDS = 500_000
+# Words of a part of an item that counts by itself.
+OVERLAP_WORDS = 13
 _KEEP = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -87,27 +90,32 @@ class Block:
             hashes[order], item[order], place[order], filled,
         )
 
-    def alignments(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(start in codes, item)`` of the distinct alignments that seeds propose."""
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place in codes, start of the item in codes, item)`` of every hit of a seed."""
         shift = np.uint64(65 - len(self.filled).bit_length())
-        starts, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        places, starts, items = ([np.empty(0, np.int64)] for _ in range(3))
         for mask in range(len(MASKS)):
             seeds = seeds_of(codes, mask)
             at = np.flatnonzero(self.filled[seeds >> shift])
             low = np.searchsorted(self.hashes, seeds[at], "left")
             many = np.searchsorted(self.hashes, seeds[at], "right") - low
             each = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-            starts.append(np.repeat(at, many) - self.place[each])
+            places.append(np.repeat(at, many))
+            starts.append(places[-1] - self.place[each])
             items.append(self.item[each])
-        both = np.unique(np.stack([np.concatenate(starts), np.concatenate(items)]), axis=1)
+        return np.concatenate(places), np.concatenate(starts), np.concatenate(items)
+
+    def alignments(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(start in codes, item)`` of the distinct alignments that seeds propose."""
+        both = np.unique(np.stack(self.hits(codes)[1:]), axis=1)
         return both[0], both[1]
 
-    def compare(self, codes: np.ndarray, bounds: np.ndarray, share: float) -> Iterator[tuple[int, int, int, int]]:
+    def compare(self, codes: np.ndarray, bounds: np.ndarray, share: float, hits: tuple | None = None) -> Iterator[tuple[int, int, int, int]]:
         """``(document, item, first word, equal words)`` of the best alignment of each pair that reaches ``share``.
 
         ``codes`` holds documents end to end, cut at ``bounds``.
         """
-        starts, items = self.alignments(codes)
+        starts, items = np.unique(np.stack((hits or self.hits(codes))[1:]), axis=1)
         # The document that holds the middle of the item; the words outside it do not count.
         middle = np.clip(starts + self.sizes[items] // 2, 0, max(0, len(codes) - 1))
         doc = np.searchsorted(bounds, middle, "right") - 1
@@ -130,7 +138,72 @@ class Block:
             yield document, item, -start, score
 
 
-def _scan(docs: DataFrame, block: Block, share: float, kinds: list[DataType]) -> DataFrame:
+    def parts(
+        self, codes: np.ndarray, bounds: np.ndarray, share: float, words: int, hits: tuple
+    ) -> Iterator[tuple[int, int, int, int, int]]:
+        """``(document, item, first word, words, equal words)`` of the best part of each pair, as ``benchmark_overlaps`` defines it."""
+        places, starts, items = hits
+        # Unlike a whole item, a part belongs to the document of its seed.
+        owners = np.searchsorted(bounds, places, "right") - 1
+        starts, items, owners = np.unique(np.stack([starts, items, owners]), axis=1)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        step = max(1, SCAN_WORDS // max(1, int(self.sizes.max(initial=1))))
+        for at in range(0, len(starts), step):
+            item, start, own = items[at : at + step], starts[at : at + step], owners[at : at + step]
+            sizes = self.sizes[item]
+            edges = np.cumsum(sizes) - sizes
+            within = np.arange(sizes.sum()) - np.repeat(edges, sizes)
+            wanted = self.codes[np.repeat(self.starts[item], sizes) + within]
+            low, high = np.repeat(bounds[own], sizes), np.repeat(bounds[own + 1], sizes)
+            equal = []
+            for shift in (-1, 0, 1):
+                where = np.repeat(start, sizes) + within + shift
+                inside = (where >= low) & (where < high)
+                equal.append(inside & (codes[np.where(inside, where, 0)] == wanted))
+            # Windows that could count even with the best of the three alignments for each word.
+            sums = np.concatenate([[0], np.cumsum(equal[0] | equal[1] | equal[2])])
+            window = np.minimum(words, sizes)
+            ends = np.arange(len(within)) + np.repeat(window, sizes)
+            fits = within + np.repeat(window, sizes) <= np.repeat(sizes, sizes)
+            enough = sums[np.where(fits, ends, 0)] - sums[:-1] >= np.repeat(share * window - 1e-9, sizes)
+            for i in np.flatnonzero(np.logical_or.reduceat(fits & enough, edges) if len(edges) else edges):
+                span = slice(edges[i], edges[i] + sizes[i])
+                found = _best_part([e[span] for e in equal], int(window[i]), share)
+                if found:
+                    score, first, many, shift = found
+                    pair = (int(own[i]), int(item[i]))
+                    part = (score, -int(start[i] + shift + first - bounds[own[i]]), -many)
+                    best[pair] = max(best.get(pair, part), part)
+        for (document, item), (score, first, many) in best.items():
+            yield document, item, -first, -many, score
+
+
+def _best_part(equal: list[np.ndarray], window: int, share: float) -> tuple[int, int, int, int] | None:
+    """``(equal words, first word, words, alignment)`` of the best stretch of an item.
+
+    ``equal`` tells which words agree on the alignments -1, 0 and 1; a stretch changes at most once,
+    between 0 and a neighbour.  Every window of a stretch reaches the share.
+    """
+    found = None
+    for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)):
+        one, two = (np.concatenate([[0], np.cumsum(equal[s + 1])]) for s in (a, b))
+        # A document that lacks a word uses up the item's word at the change.
+        skip = int(b < a)
+        gain = one[: len(one) - skip] - two[skip:]
+        most = np.lib.stride_tricks.sliding_window_view(gain, window + 1 - skip).max(axis=1)
+        passing = np.flatnonzero(two[window:] - one[: len(one) - window] + most >= share * window - 1e-9)
+        for run in np.split(passing, np.flatnonzero(np.diff(passing) > 1) + 1) if len(passing) else []:
+            low, high = int(run[0]), int(run[-1]) + window
+            change = low + int(np.argmax(gain[low : high + 1 - skip]))
+            path = np.concatenate([equal[a + 1][low:change], np.zeros(skip, bool), equal[b + 1][change + skip : high]])
+            ones = np.flatnonzero(path)
+            first = low + int(ones[0])
+            part = (len(ones), -first, -int(ones[-1] - ones[0] + 1), a if first < change else b)
+            found = part if found is None else max(found, part)
+    return found and (found[0], -found[1], -found[2], found[3])
+
+
+def _scan(docs: DataFrame, block: Block, share: float, overlap_words: int | None, kinds: list[DataType]) -> DataFrame:
     """The overlaps of ``(doc, text)`` with one block of the benchmark."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
     schema = f"doc {kinds[0].simpleString()}, item {kinds[1].simpleString()}, start_word long, n_words long, n_equal long"
@@ -144,10 +217,12 @@ def _scan(docs: DataFrame, block: Block, share: float, kinds: list[DataType]) ->
         def flush() -> Iterator[pa.RecordBatch]:
             bounds = np.concatenate([[0], np.cumsum([len(c) for _, c in kept])]).astype(np.int64)
             codes = np.concatenate([c for _, c in kept])
-            found = [
-                (kept[d][0], block.ids[i], start, int(block.sizes[i]), score)
-                for d, i, start, score in block.compare(codes, bounds, share)
-            ]
+            hits = block.hits(codes)
+            whole = {(d, i): (start, int(block.sizes[i]), score) for d, i, start, score in block.compare(codes, bounds, share, hits)}
+            if overlap_words:
+                for d, i, *part in block.parts(codes, bounds, share, overlap_words, hits):
+                    whole.setdefault((d, i), part)
+            found = [(kept[d][0], block.ids[i], *place) for (d, i), place in whole.items()]
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, t) for column, t in zip(zip(*found, strict=True), types, strict=True)],
@@ -177,13 +252,23 @@ def benchmark_overlaps(
     item_text_col: str = "text",
     share: float = 0.8,
     block_words: int = BLOCK_WORDS,
+    overlap_words: int | None = None,
 ) -> DataFrame:
     """``(<id_col>, <item_col>, start_word, n_words, n_equal)``: passages of benchmark items in documents.
 
     A passage is a place where at least ``share`` (0.8 or more) of the item's words stand in the
     document in the same order, the others being replaced or cut off by the document's ends; words
     are runs of letters and digits, without case.  One row, the best and then earliest place, for
-    each document and item.  Items below five words or with a null text are never found; null and
+    each document and item.
+
+    With ``overlap_words`` a document and item without such a place get a row for a part of the item:
+    a stretch in which, of any ``overlap_words`` neighbouring words of the item (of all words of a
+    shorter one), at least ``share`` stand in the document in the same order and at the same distances,
+    but for at most one word put in or left out.  ``n_words`` then counts the stretch alone and
+    ``start_word`` is its first word.  Of 13 words two may be replaced, or one beside the word put in or
+    left out; an item of five or six words with a change in its middle leaves no seed and is not found.
+
+    Items below five words or with a null text are never found; null and
     empty documents hold nothing; rows with null ids take part.  Repeated documents each get their
     rows, repeated items too.  Other columns are not read.  Empty tables give no rows.
     """
@@ -201,17 +286,17 @@ def benchmark_overlaps(
     found = None
     for number in range(blocks):
         block = Block.of([(r.item, r.text) for r in numbered.where(F.col("block") == number).collect()])
-        part = _scan(texts, block, share, kinds)
+        part = _scan(texts, block, share, overlap_words, kinds)
         part = materialize(part, "overlaps") if blocks > 1 else part
         found = part if found is None else found.unionByName(part)
     return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "start_word", "n_words", "n_equal")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a passage of a benchmark item; all columns are kept as they are.
+    """``docs`` without the documents that hold a benchmark item or a part of one; all columns are kept as they are.
 
     Rows that share an id are one document; rows with a null id are judged by whether any such row holds a passage.
     """
-    found = benchmark_overlaps(docs, benchmark, id_col, text_col, **options)
+    found = benchmark_overlaps(docs, benchmark, id_col, text_col, **{"overlap_words": OVERLAP_WORDS} | options)
     leaked = found.select(F.col(id_col).alias("_leaked_id")).distinct()
     return docs.join(leaked, docs[id_col].eqNullSafe(leaked["_leaked_id"]), "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from logquarry.llm.archives import converted_pages
 from logquarry.llm.chat import CONTROL, formatted_conversations
 from logquarry.llm.ctph import edit_report
-from logquarry.llm.decontaminate import benchmark_overlaps
+from logquarry.llm.decontaminate import OVERLAP_WORDS, benchmark_overlaps
 from logquarry.llm.linedup import dedup_lines
 from logquarry.llm.packing import pack
 from logquarry.llm.sharding import extendible_shards
@@ -174,7 +174,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_spaced_seeds")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return benchmark_overlaps(docs, benchmark, overlap_words=OVERLAP_WORDS)
 
 
 @query("op10_simhash_bktree")
