@@ -14,7 +14,7 @@ from logquarry.llm.linedup import dedup_lines
 from logquarry.llm.packing import pack
 from logquarry.llm.sharding import extendible_shards
 from logquarry.llm.simhash import simhash_components
-from logquarry.llm.substrings import repeated_passages
+from logquarry.llm.substrings import verified_passages
 from logquarry.llm.toxicity import toxicity
 
 QUERIES = {}
@@ -148,7 +148,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_gear_chunks")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return verified_passages(table(spark, sf_dir, "documents"))
 
 
 SHARD_SQL = """

@@ -4,7 +4,8 @@ The gear hash of the last ``GEAR_BYTES`` bytes decides at the end of every word
 there.  A cut depends on nothing else: no smallest or largest chunk, no cut before it.  So two copies
 of a passage are cut alike from their first ``GEAR_BYTES`` bytes on, whatever stands around them and
 whatever was put in before them.  Chunks are deduplicated by digest; a run of chunks that all have an
-earlier holder is a repeated passage.
+earlier holder may be a repeated passage.  It is one where the words around a chunk of the run are
+those around that chunk in one earlier holder.
 
 Only digests with holders in two documents are joined back to the chunks; a digest that very many
 documents hold is one row on one side of that join, and its chunks are split by adaptive execution.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from logquarry.llm.common import materialize, rows_of, ship_package, text_or_empty
+from logquarry.llm.linedup import _unpack, packed
 
 GEAR_BYTES = 16
 # A chunk ends at one word in 2 ** CUT_BITS.
@@ -96,10 +98,89 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, f"digest long, doc {kind.simpleString()}, first_word int, n_words int")
 
 
+def _runs(named: DataFrame) -> DataFrame:
+    """``(doc, run, first_word, n_words, holder, at)``: chunks with the first place ``at`` of their smallest holder."""
+    rows = chunk_rows(named)
+    place = F.struct("doc", F.col("first_word").alias("at"))
+    holders = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max("doc").alias("last")).where("first.doc < last")
+    # Written, so that both sides of the join are plain shuffles, of which Spark can split hot digests.
+    holders = materialize(holders.select("digest", F.col("first.doc").alias("holder"), "first.at"), "holders")
+    later = rows.join(holders, "digest").where("doc > holder")
+    later = later.select("doc", "first_word", "n_words", "holder", "at").distinct()
+    order = Window.partitionBy("doc").orderBy("first_word")
+    gap = F.col("first_word") != F.lag(F.col("first_word") + F.col("n_words")).over(order)
+    runs = later.withColumn("new", F.coalesce(gap, F.lit(True)).cast("int"))
+    return runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
+def equal_spans(own: list, other: list, anchors: list[tuple[int, int, int, int]], min_words: int) -> list[tuple[int, int, int, int]]:
+    """``(first, end, low, high)``: the stretches of ``own`` that stand in ``other`` around the anchors.
+
+    An anchor is ``(first word in own, first word in other, low, high)``, the last two being its run's bounds.
+    """
+    known: dict = {}
+    a, b = (np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)) for words in (own, other))
+    found, shift, edges, base = [], None, None, 0
+    for first, at, low, high in sorted(anchors, key=lambda x: (x[1] - x[0], x[0])):
+        if shift != at - first:
+            shift = at - first
+            base, stop = max(0, -shift), min(len(a), len(b) - shift)
+            equal = a[base:stop] == b[base + shift : stop + shift] if stop > base else np.empty(0, bool)
+            edges = np.concatenate([[-1], np.flatnonzero(~equal), [len(equal)]]) + base
+        # The words between two that differ.
+        i = int(np.searchsorted(edges, first, "right"))
+        if 0 < i < len(edges) and edges[i - 1] < first and edges[i] - edges[i - 1] - 1 >= min_words:
+            found.append((int(edges[i - 1]) + 1, int(edges[i]), low, high))
+    return sorted(set(found))
+
+
+def verified_passages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, within_runs: bool = False
+) -> DataFrame:
+    """``(<id_col>, first_word, n_words, holder)``: passages of ``repeated_passages`` that one earlier document holds whole.
+
+    In each run of chunks, the words around every chunk are compared with those around its first place
+    in its smallest holder, as far as they are equal on both sides.  Stretches of ``min_words`` or more
+    are passages; one inside another one of the document is left out, of equal ones that of the smallest
+    holder stays.  ``within_runs`` gives only the part of a passage that its run covers.  Nulls, repeated
+    rows and empty tables are as in ``repeated_passages``.
+    """
+    ship_package(docs.sparkSession)
+    named = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text")).where("doc IS NOT NULL")
+    bounds = Window.partitionBy("doc", "run")
+    runs = _runs(named).withColumn("low", F.min("first_word").over(bounds))
+    runs = runs.withColumn("high", F.max(F.col("first_word") + F.col("n_words")).over(bounds)).where(F.col("high") - F.col("low") >= min_words)
+    pairs = runs.groupBy("doc", "holder").agg(F.collect_list(F.array("first_word", "at", "low", "high")).alias("anchors"))
+    pairs = materialize(pairs, "passage_pairs")
+    wanted = pairs.select("doc").union(pairs.select("holder")).distinct()
+    texts = named.select("doc", F.xxhash64("text").alias("body"), packed(F.col("text")).alias("data")).join(wanted, "doc", "left_semi")
+    texts = materialize(texts.dropDuplicates(["doc", "body"]), "passage_texts")
+    one = texts.select("doc", F.col("data").alias("own"))
+    two = texts.select(F.col("doc").alias("holder"), F.col("data").alias("other"))
+
+    @F.pandas_udf("array<array<int>>")
+    def spans(own: pd.Series, other: pd.Series, anchors: pd.Series) -> pd.Series:
+        out = []
+        for a, b, places in zip(own, other, anchors, strict=True):
+            words = [_unpack(x).encode("utf-8", "surrogatepass").split() for x in (a, b)]
+            found = equal_spans(*words, [tuple(p.tolist()) for p in places], min_words)
+            if within_runs:
+                found = [(max(s, low), min(e, high), low, high) for s, e, low, high in found]
+            out.append(sorted({(s, e) for s, e, *_ in found}))
+        return pd.Series(out, dtype=object)
+
+    spanned = pairs.join(one, "doc").join(two, "holder").select("doc", "holder", F.explode(spans("own", "other", "anchors")).alias("s"))
+    spanned = spanned.select("doc", "holder", F.col("s")[0].alias("first_word"), F.col("s")[1].alias("end")).distinct()
+    # A stretch lies inside one that begins before it, or with it and is longer, and ends no sooner.
+    order = Window.partitionBy("doc").orderBy("first_word", F.col("end").desc(), "holder").rowsBetween(Window.unboundedPreceding, -1)
+    outer = spanned.withColumn("reached", F.max("end").over(order)).where("reached IS NULL OR end > reached")
+    return outer.select(F.col("doc").alias(id_col), "first_word", (F.col("end") - F.col("first_word")).cast("long").alias("n_words"), "holder")
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30
 ) -> DataFrame:
-    """``(<id_col>, first_word, n_words, holder)``: passages that an earlier document holds too.
+    """``(<id_col>, first_word, n_words, holder)``: passages whose chunks earlier documents hold too.
 
     A passage is a run of chunks, each of which a document with a smaller id holds as well; of the
     smallest holders of its chunks, ``holder`` is the one that holds most words, then the smallest.
@@ -113,16 +194,7 @@ def repeated_passages(
     """
     ship_package(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text")).where("doc IS NOT NULL")
-    rows = chunk_rows(named)
-    holders = rows.groupBy("digest").agg(F.min("doc").alias("holder"), F.max("doc").alias("last")).where("holder < last")
-    # Written, so that both sides of the join are plain shuffles, of which Spark can split hot digests.
-    holders = materialize(holders.select("digest", "holder"), "holders")
-    later = rows.join(holders, "digest").where("doc > holder")
-    later = later.select("doc", "first_word", "n_words", "holder").distinct()
-    order = Window.partitionBy("doc").orderBy("first_word")
-    gap = F.col("first_word") != F.lag(F.col("first_word") + F.col("n_words")).over(order)
-    runs = later.withColumn("new", F.coalesce(gap, F.lit(True)).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = _runs(named)
     shares = runs.groupBy("doc", "run", "holder").agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"))
     main = F.min_by("holder", F.struct(-F.col("n_words"), "holder")).alias("holder")
     found = shares.groupBy("doc", "run").agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"), main)
@@ -134,7 +206,7 @@ def drop_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30
 ) -> DataFrame:
     """``docs`` with the repeated passages cut out of the texts of their later holders; all other columns stay."""
-    found = repeated_passages(docs, id_col, text_col, min_words)
+    found = verified_passages(docs, id_col, text_col, min_words, within_runs=True)
     spans = found.groupBy(F.col(id_col).alias("_span_id")).agg(F.collect_list(F.array("first_word", "n_words")).alias("_spans"))
 
     @F.pandas_udf("string")
