@@ -12,6 +12,7 @@ from logquarry.llm.ctph import edit_report
 from logquarry.llm.decontaminate import OVERLAP_WORDS, benchmark_overlaps
 from logquarry.llm.linedup import dedup_lines
 from logquarry.llm.packing import pack
+from logquarry.llm.reputation import WIDE_SUFFIXES, Rule, judged_pages, outcomes_of
 from logquarry.llm.sharding import extendible_shards
 from logquarry.llm.simhash import simhash_components
 from logquarry.llm.substrings import verified_passages
@@ -181,3 +182,63 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_bktree")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+RULES = [
+    Rule("org", "/", "allow"),
+    Rule("example.org", "/es/", "block"),
+    Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"),
+    Rule("com", "/de/", "block"),
+]
+
+
+def _group_sql(level: str, parent: str, keys: str, up: str) -> str:
+    """Groups of one level with their parents' mean, the prior's weight and the posterior mean."""
+    return f"""
+{level}0 AS (SELECT {keys}, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM counts GROUP BY {keys}),
+{level}1 AS (SELECT g.*, p.mean FROM {level}0 g JOIN {parent} p ON {up}),
+{level}w AS (
+ SELECT CASE WHEN coalesce(pairs, 0) = 0 THEN 1.0::DOUBLE ELSE (1 - rho) / rho END AS weight FROM (
+  SELECT pairs, least(0.9::DOUBLE, greatest(0.0001::DOUBLE, (found - expected) / nullif(pairs, 0))) AS rho FROM (
+   SELECT sum((bad - n * mean) ** 2 / n) AS found, sum(mean * (1 - mean)) AS expected, sum(mean * (1 - mean) * (n - 1)) AS pairs
+   FROM {level}1 WHERE n > 0))),
+{level} AS (SELECT {keys}, n, (bad + weight * mean) / (n + weight) AS mean, weight FROM {level}1, {level}w)"""
+
+
+URL_SQL = f"""
+WITH rests AS (
+ SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (
+ SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+outcomes AS (
+ SELECT doc_id, max((coalesce(quality = 0, false) OR coalesce(toxic = 1, false))::INT) AS bad
+ FROM labels WHERE doc_id IS NOT NULL AND coalesce(quality, toxic) IS NOT NULL GROUP BY doc_id),
+hosts AS (
+ SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(host, '.') AS parts
+ FROM named LEFT JOIN outcomes ON doc_id = page_id GROUP BY host),
+counts AS (
+ SELECT host, n, bad,
+   CASE WHEN regexp_full_match(host, '[0-9.:]*') THEN host WHEN wide THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+   CASE WHEN regexp_full_match(host, '[0-9.:]*') THEN host WHEN wide THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix
+ FROM (SELECT *, array_to_string(parts[-2:], '.') IN ({", ".join(f"'{s}'" for s in WIDE_SUFFIXES)}) AS wide FROM hosts)),
+top AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS mean FROM counts),
+{_group_sql("suffixes", "top", "suffix", "true")},
+{_group_sql("domains", "suffixes", "suffix, domain", "p.suffix = g.suffix")},
+{_group_sql("sites", "domains", "suffix, domain, host", "p.suffix = g.suffix AND p.domain = g.domain")},
+scored AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + weight + 1)) AS bound FROM sites),
+rules(site, path, verdict) AS (VALUES {", ".join(str((r.host, r.path, r.verdict)) for r in RULES)}),
+fitting AS (
+ SELECT n.page_id, r.site || r.path AS rule, r.verdict,
+   row_number() OVER (PARTITION BY n.page_id ORDER BY length(r.site) DESC, length(r.path) DESC) AS i
+ FROM named n JOIN rules r ON (n.host = r.site OR ends_with(n.host, '.' || r.site)) AND starts_with(n.path, r.path))
+SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, CASE WHEN s.bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM named n JOIN scored s USING (host) LEFT JOIN fitting f ON f.page_id = n.page_id AND f.i = 1
+"""
+
+
+@query("op12_host_reputation", URL_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = outcomes_of(table(spark, sf_dir, "labels"))
+    return judged_pages(table(spark, sf_dir, "pages"), outcomes, RULES).drop("bad_bound")
