@@ -10,6 +10,8 @@ from logquarry.llm.archives import converted_pages
 from logquarry.llm.chat import CONTROL, formatted_conversations
 from logquarry.llm.ctph import edit_report
 from logquarry.llm.decontaminate import OVERLAP_WORDS, benchmark_overlaps
+from logquarry.llm.divergence import source_divergence
+from logquarry.llm.lexical import ranked_search
 from logquarry.llm.linedup import dedup_lines
 from logquarry.llm.packing import pack
 from logquarry.llm.reputation import WIDE_SUFFIXES, Rule, judged_pages, outcomes_of
@@ -184,6 +186,44 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+ SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+ SELECT row_no, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT row_no) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+used AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups LEFT JOIN used USING (lang, source) GROUP BY ALL),
+shares AS (
+ SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v) AS p
+ FROM totals g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+wholes AS (
+ SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS q
+ FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM used GROUP BY ALL)
+ JOIN (SELECT lang, sum(total)::HUGEINT AS total FROM totals GROUP BY lang) USING (lang) JOIN sizes USING (lang)),
+pairs AS (
+ SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+ FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+  SELECT a.lang, a.source, b.source AS other, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) s
+ ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+terms AS (
+ SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+ FROM shares JOIN wholes USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+ FROM (FROM pairs UNION ALL FROM terms)) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 RULES = [
     Rule("org", "/", "allow"),
     Rule("example.org", "/es/", "block"),
@@ -242,3 +282,31 @@ FROM named n JOIN scored s USING (host) LEFT JOIN fitting f ON f.page_id = n.pag
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = outcomes_of(table(spark, sf_dir, "labels"))
     return judged_pages(table(spark, sf_dir, "pages"), outcomes, RULES).drop("bad_bound")
+
+
+SEARCH_SQL = r"""
+WITH words AS (
+ SELECT doc_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM documents),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY ALL),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM lengths),
+weights AS (
+ SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+ FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+asked AS (
+ SELECT item_id, term, count(*) AS times FROM (
+  SELECT item_id, translate(unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+ SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // len))))::BIGINT AS score
+ FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+ SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
+@query("op13_block_max_maxscore", SEARCH_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
