@@ -8,9 +8,9 @@ beats.  The greatest score of a block follows from its edge for any corpus, with
 
 ``search_index`` sends a block of queries to the shards.  For every query and shard
 
-* the lists are sorted by their greatest score; those that together stay below the threshold, the
-  query's k-th best score so far, are non-essential: no document is found by them alone;
-* the essential lists are read, and what they give raises the threshold;
+* the lists are sorted by their greatest score and read from the greatest on; what they give raises the
+  threshold, the query's k-th best score so far; lists that together stay below it are non-essential:
+  no document is found by them alone;
 * candidates then meet the non-essential lists from the greatest to the least; one that cannot
   reach the threshold even with its block's greatest score is rejected before the block is unpacked.
 
@@ -172,26 +172,29 @@ class Best:
         self.rows = heapq.nsmallest(self.k, [*self.rows, *found], key=lambda r: (r[0], r[1], r[2] if r[1] else 0))
 
 
+def _kth(scores: np.ndarray, k: int) -> int:
+    """The k-th best of some partial scores, which the k-th best document reaches at least; 1 of fewer."""
+    return int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 1
+
+
 def search_shard(shard: Shard, query: list[tuple[bytes, int]], best: Best) -> None:
     """Add the documents of the shard to the best of a query of ``(term, weight)``."""
     lists = sorted((w * int(shard.bound[i]), w, i) for t, w in query if (i := shard.lists.get(t)) is not None)
     upto = np.cumsum([0, *(bound for bound, _, _ in lists)]).tolist()
     threshold = best.threshold
-    # Lists before this one are non-essential.
-    essential = int(np.searchsorted(upto, threshold, "left")) - 1
-    if essential >= len(lists):
-        return
-    score = np.zeros(len(shard.norm), np.int64)
-    for _, weight, i in lists[essential:]:
+    score, found = np.zeros(len(shard.norm), np.int64), np.empty(0, np.int64)
+    # A list is essential while it and the lesser ones could make a document reach the threshold.
+    essential = len(lists)
+    while essential and upto[essential] >= threshold:
+        essential -= 1
+        _, weight, i = lists[essential]
         for number in range(shard.first[i], shard.first[i + 1]):
             places, impact = shard.block(number)
             score[places] += weight * impact
-    found = np.flatnonzero(score)
+        found = np.flatnonzero(score)
+        threshold = max(threshold, _kth(score[found], best.k))
     own = score[found]
     for at in range(essential - 1, -1, -1):
-        if len(found) > best.k:
-            # What candidates have already is less than what they end with.
-            threshold = max(threshold, int(np.partition(own, len(own) - best.k)[len(own) - best.k]))
         _, weight, i = lists[at]
         low, high = shard.first[i], shard.first[i + 1]
         place = low + np.searchsorted(shard.last[low:high], found)
@@ -206,11 +209,9 @@ def search_shard(shard: Shard, query: list[tuple[bytes, int]], best: Best) -> No
             hit = np.minimum(np.searchsorted(places, found[inside]), len(places) - 1)
             equal = places[hit] == found[inside]
             own[inside[equal]] += weight * impact[hit[equal]]
+        threshold = max(threshold, _kth(own, best.k))
     keep = own >= threshold
     found, own = found[keep], own[keep]
-    if len(found) > best.k:
-        keep = own >= np.partition(own, len(own) - best.k)[len(own) - best.k]
-        found, own = found[keep], own[keep]
     best.add(own, [shard.ids[i] for i in found.tolist()])
 
 
@@ -262,10 +263,10 @@ def search_index(
     found = None
     for block in range(blocks):
         texts = [(r.item, Counter(terms_of(bytes(r.text)))) for r in numbered.where(F.col("block") == block).collect()]
-        # As many distinct terms as the block's texts have room for.
+        # At most as many distinct terms as fit into the block's bytes.
         wanted = spark.createDataFrame([(t,) for t in {t for _, c in texts for t in c}], "term binary")
         seen = index.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select(F.col("x.terms").alias("term"), "x.df")
-        counts = seen.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).collect()
+        counts = seen.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).collect()
         weight = {bytes(r.term): int(np.floor(1000 * np.log((2 * sizes.n + 2) / (2 * r.df + 1)))) for r in counts}
         queries = [(item, [(t, n * weight[t]) for t, n in c.items() if weight.get(t)]) for item, c in texts]
         part = _search_block(index, [q for q in queries if q[1]], (sizes.n, sizes.l), k, kinds)
