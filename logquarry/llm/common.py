@@ -4,23 +4,87 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.session import materialize, materialize_counting, ship_package
 
 __all__ = [
+    "FILTER_BITS",
+    "PIECE_BITS",
     "ascii_words",
     "connected_components",
+    "fresh",
     "materialize",
     "materialize_counting",
+    "maybe_among",
+    "packed",
+    "passing",
+    "quoted",
     "rows_of",
     "ship_package",
     "text_or_empty",
+    "unpacked",
 ]
 
 
+# Bits of a filter, in pieces of 4096 bytes: 16 MiB whatever the keys are.
+FILTER_BITS = 1 << 27
+PIECE_BITS = 8 * 4096
+
+
+def quoted(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: list[str], flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false only where ``key`` is none of ``keys``, and for most rows where it is none.
+
+    A bitmap of fixed size is broadcast, so rows without a partner can be told before a shuffle.
+    """
+    place = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    piece, bit = F.floor(place / PIECE_BITS), place % PIECE_BITS
+    pieces = keys.select(piece.alias("_piece"), bit.alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    # At most FILTER_BITS / PIECE_BITS pieces of 4096 bytes.
+    met = rows.withColumn("_piece", piece).join(F.broadcast(pieces), "_piece", "left")
+    held = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return met.withColumn(flag, held).drop("_piece", "_bits")
+
+
+def passing(rows: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
+    """Rows whose ``key`` may be one of ``keys``: all those that are, and few others."""
+    return maybe_among(rows, keys, list(key), "_held").where("_held").drop("_held")
+
+
+def packed(text: Column) -> Column:
+    """A text as compressed UTF-8; null stays null."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        codec = zstandard.ZstdCompressor(level=1)
+        return pd.Series([None if t is None else codec.compress(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+
+    return pack(text)
+
+
+def unpacked(data: bytes) -> str:
+    """The text of ``packed``."""
+    return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

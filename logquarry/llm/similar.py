@@ -22,8 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import ascii_words, connected_components, materialize, ship_package, text_or_empty
-from logquarry.llm.linedup import _unpack, packed
+from logquarry.llm.common import ascii_words, connected_components, fresh, materialize, packed, quoted, ship_package, text_or_empty, unpacked
 from logquarry.llm.simhash import BITS, BKTree
 
 BANDS = 20
@@ -150,7 +149,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> Da
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         sides = zip(a, b, strict=True)
-        return pd.Series([similarity(*[shingles(_unpack(x), size) for x in side]) >= least for side in sides], dtype=bool)
+        return pd.Series([similarity(*[shingles(unpacked(x), size) for x in side]) >= least for side in sides], dtype=bool)
 
     one = texts.select(F.col("node").alias("a"), F.col("data").alias("data_a"))
     two = texts.select(F.col("node").alias("b"), F.col("data").alias("data_b"))
@@ -202,5 +201,6 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     All columns are kept as they are.
     """
     found = similar_components(docs, id_col, text_col, **options)
-    copies = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_copy_id")).distinct()
-    return docs.join(copies, docs[id_col] == copies["_copy_id"], "left_anti")
+    own = fresh(docs, "_copy_id")
+    copies = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(own)).distinct()
+    return docs.join(copies, quoted(id_col) == quoted(own), "left_anti")

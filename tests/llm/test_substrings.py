@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from corpora import documents, odd_rows  # noqa: F401
-from logquarry.llm.substrings import _GEAR, chunks, drop_passages, gear_hashes, repeated_passages
+from logquarry.llm.substrings import _GEAR, NEIGHBOURS, chunks, cut_words, drop_passages, gear_hashes, verified_passages
 
 
 @given(st.binary(min_size=1, max_size=80))
@@ -52,47 +52,84 @@ def corpus():
     return docs, set(planted), clean, line
 
 
-def test_planted_passages_are_found_and_clean_documents_left(documents):
-    docs, planted, clean, _ = corpus()
-    rows = repeated_passages(documents(docs)).collect()
-    found = {r.doc_id for r in rows}
-    assert len(planted - found) <= 0.03 * len(planted)
-    assert not found & clean
-    words = {i: t.split() for i, t in docs}
-    for r in rows:
-        passage = words[r.doc_id][r.first_word : r.first_word + r.n_words]
-        assert r.n_words >= 30 and r.holder < r.doc_id
-        holder = words[r.holder]
-        shared = {tuple(holder[i : i + 20]) for i in range(len(holder))}
-        assert any(tuple(passage[i : i + 20]) in shared for i in range(len(passage)))
+@given(st.lists(st.integers(0, 2**16 - 1), max_size=60))
+def test_cuts_by_definition(hashes):
+    """Low hashes, the least of a neighbourhood without a low one, and the last word."""
+    expected = []
+    for i, h in enumerate(hashes):
+        around = hashes[max(0, i - NEIGHBOURS) : i + NEIGHBOURS + 1]
+        expected.append(h < 2**14 or i == len(hashes) - 1 or (min(around) >= 2**14 and h == min(around)))
+    assert cut_words(np.array(hashes, np.uint16)).tolist() == expected
+
+
+def test_loops_are_cut(documents):
+    """Text of a few repeated words has cuts, wherever its hashes lie."""
+    rng = random.Random(1)
+    rows, expected = [], set()
+    for period in (1, 2, 3, 5, 8):
+        for _ in range(12):
+            loop = prose(rng, period) * (120 // period)
+            i = len(rows)
+            rows += [(i, " ".join(prose(rng, 30) + loop + prose(rng, 30))), (i + 1, " ".join(prose(rng, 17) + loop + prose(rng, 9)))]
+            expected.add(i + 1)
+    assert {r.doc_id for r in verified_passages(documents(rows)).collect()} == expected
+
+
+def plain(rows, min_words=30):
+    """The passages by the definition: the smallest holder of every chunk, then the words around it."""
+    own = {i: t.encode().split() for i, t in rows}
+    first, places = {}, {}
+    for i in sorted(own):
+        for d, at in zip(*(x.tolist() for x in chunks(b" ".join(own[i]).decode(), min_words)[:2]), strict=True):
+            first.setdefault(d, (i, at))
+            places.setdefault(i, {}).setdefault(d, at)
+    out = []
+    for i, found in places.items():
+        spans = set()
+        for d, at in found.items():
+            holder, there = first[d]
+            if holder < i:
+                a, b, low, high = own[i], own[holder], at, at
+                assert a[at : at + min_words] == b[there : there + min_words]
+                while low and there - at + low and a[low - 1] == b[low - 1 + there - at]:
+                    low -= 1
+                while high < len(a) and high + there - at < len(b) and a[high] == b[high + there - at]:
+                    high += 1
+                spans.add((low, -high, holder))
+        reached = 0
+        for low, high, holder in sorted(spans):
+            if -high > reached:
+                out.append((i, low, -high - low, holder))
+                reached = -high
+    return sorted(out)
+
+
+def test_against_brute_force(documents):
+    docs, *_ = corpus()
+    # Copies with changed words, whole copies and stretches of one word.
+    rng = random.Random(4)
+    for i in range(400, 520):
+        text = rng.choice(docs[:400])[1].split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            text[rng.randrange(len(text))] = "changed"
+        docs.append((i, " ".join(text + ["loop"] * rng.choice([0, 40, 90]))))
+    for least in (30, 12):
+        got = [tuple(r) for r in verified_passages(documents(docs), min_words=least).collect()]
+        assert sorted(got) == plain(docs, least)
 
 
-def test_runs_against_brute_force(documents):
-    docs, *_ = corpus()
-    first = {}
-    for i, t in docs:
-        for d in chunks(t)[0].tolist():
-            first.setdefault(d, i)
-    expected = set()
-    for i, t in docs:
-        digest, start, many = (x.tolist() for x in chunks(t))
-        run = None
-        for d, s, m in [*zip(digest, start, many, strict=True), (None, 0, 0)]:
-            if d is not None and first[d] < i:
-                run = (run[0], run[1] + m) if run else (s, m)
-            elif run:
-                expected.add((i, *run))
-                run = None
-    for least in (1, 30):
-        got = repeated_passages(documents(docs), min_words=least).collect()
-        assert {(r.doc_id, r.first_word, r.n_words) for r in got} == {e for e in expected if e[2] >= least}
+def test_a_copy_is_found_among_holders_of_its_parts(documents):
+    words = prose(random.Random(12), 200)
+    rows = [(i, " ".join(words[at : at + 20])) for i, at in enumerate(range(0, 200, 4))]
+    rows += [(900, " ".join(words)), (901, " ".join(words))]
+    assert [tuple(r) for r in verified_passages(documents(rows)).collect()] == [(901, 0, 200, 900)]
 
 
 def test_odd_rows(documents, odd_rows):
     rng = random.Random(9)
     passage = " ".join(prose(rng, 80))
     rows = [*odd_rows, (20, passage), (21, "x " + passage), (21, "x " + passage), (22, "\n\t" + passage + " end\n"), (None, passage)]
-    got = repeated_passages(documents(rows)).collect()
+    got = verified_passages(documents(rows)).collect()
     assert {r.doc_id for r in got} == {21, 22} and len(got) == 2
     kept = drop_passages(documents(rows))
     assert kept.columns == documents(rows).columns and kept.dtypes == documents(rows).dtypes
@@ -104,4 +141,13 @@ def test_odd_rows(documents, odd_rows):
     assert left.startswith("\n\t") and left.endswith("\n") and len(left.split()) == 81 - spans[22].n_words
     unchanged = {(i, t) for i, t in rows if i not in (21, 22)}
     assert {x for x in texts if x[0] not in (21, 22)} == unchanged
-    assert repeated_passages(documents([])).collect() == []
+    assert verified_passages(documents([])).collect() == [] and drop_passages(documents([])).collect() == []
+
+
+def test_clashing_names(spark):
+    words = " ".join(prose(random.Random(3), 80))
+    names = ["_spans", "_owner", "a.b", "doc", "holder", "digest", "own"]
+    rows = spark.createDataFrame([(1, words, *names), (2, words + " end", *names), (2, "short", *names)], ["doc_id", "text", *names])
+    kept = drop_passages(rows)
+    assert kept.columns == rows.columns
+    assert sorted(tuple(r) for r in kept.collect()) == sorted([(1, words, *names), (2, "end", *names), (2, "", *names)])
