@@ -38,7 +38,7 @@ _RUNS = re.compile(f"(?<=[{_SPACE}])(?=[{_SPACE}][^{_SPACE}])")
 
 @cache
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """The ids of a text under a tokenizer file, special strings in it taken as ordinary text.
+    """The ids of a text under a tokenizer file; the file's added tokens, such as an end mark, are found in texts.
 
     A byte-level BPE whose ids rise in the order of its merges, as is usual, is run by ``tiktoken``
     on the file's own vocabulary, which gives the ids of ``tokenizers`` several times faster; any
@@ -51,18 +51,28 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
         return lambda text: whole.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     merges = tiktoken.Encoding(path, pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(text: str) -> list[int]:
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    # Of two added tokens at one place the longer one is found.
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def ordinary(text: str) -> list[int]:
         parts = _RUNS.split(text)
         if len(parts) == 1:
             return merges.encode_ordinary(text)
         return [token for part in parts for token in merges.encode_ordinary(part)]
 
+    def encode(text: str) -> list[int]:
+        parts = marks.split(text) if marks else [text]
+        if len(parts) == 1:
+            return ordinary(text)
+        # Every second part is an added token.
+        return [token for i, part in enumerate(parts) for token in ([added[part]] if i % 2 else ordinary(part))]
+
     return encode
 
 
@@ -70,8 +80,11 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     """Token bytes and ids of a byte-level BPE file, or None for any other kind of file."""
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
     plain = not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+    added = spec.get("added_tokens", [])
     if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or not plain:
         return None
+    if any(t.get(rule) for t in added for rule in ("single_word", "lstrip", "rstrip")) or not all(t["content"] for t in added):
+        return None
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     made = [model["vocab"]["".join(pair)] for pair in pairs]
     if made != sorted(made):
@@ -80,8 +93,8 @@ def _ranks(spec: dict) -> dict[bytes, int] | None:
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
-    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    marks = {t["content"] for t in added}
+    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in marks}
 
 
 def pieces(

@@ -14,17 +14,16 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def whole():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_those_of_tokenizers(whole):
     encode, rng = encoder(PATH), random.Random(1)
-    odd = [*" \n\t\r\x1c\x1f\x85\xa0    ​　", *"aA'sé1!?.ß𝄞\x00﻿日", "<|endoftext|>", "'ll", " word"]
+    odd = [*" \n\t\r\x1c\x1f\x85\xa0    ​　", *"aA'sé1!?.ß𝄞\x00﻿日", "<|endoftext|>", "<|endoftext|", "|>", "'ll", " word"]
     for _ in range(3000):
         text = "".join(rng.choices(odd, k=rng.randint(0, 12)))
         assert encode(text) == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encode("<|endoftext|>") == [50256] and len(encode("a <|endoftext|><|endoftext|> b")) == 5
     long = "a" * 50_000 + " " * 50_000 + "b"
     assert encode(long) == whole.encode(long, add_special_tokens=False).ids
 
