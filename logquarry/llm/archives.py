@@ -21,13 +21,14 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import materialize, rows_of, ship_package
+from logquarry.llm.common import materialize, quoted, rows_of, ship_package
 from logquarry.session import work_path
 
 #: Names of the header fields of each ARC version.
@@ -159,7 +160,7 @@ def write_arcs(pages: DataFrame, id_col: str, url_col: str, html_col: str, id_he
                 out = opened(paths[-1], write=True)
                 out.write(gzip.compress(version_block(name, version, date), 1))
             payload = (html or "").encode("utf-8", "surrogatepass")
-            known = "" if key is None else f"{id_header}: {key}\r\n"
+            known = "" if key is None else f"{id_header}: {quote(str(key), safe='')}\r\n"
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{known}Content-Length: {len(payload)}\r\n\r\n"
             block = head.encode() + payload
             fields = {
@@ -173,7 +174,7 @@ def write_arcs(pages: DataFrame, id_col: str, url_col: str, html_col: str, id_he
             out.close()
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
 
-    return materialize(pages.select(id_col, url_col, html_col).mapInArrow(write, "path string"), "arc_files")
+    return materialize(pages.select(quoted(id_col), quoted(url_col), quoted(html_col)).mapInArrow(write, "path string"), "arc_files")
 
 
 # WARC
@@ -223,15 +224,21 @@ def _is_http(record: ArcRecord) -> bool:
     return record.block.startswith(b"HTTP/")
 
 
-def index_arcs(arcs: DataFrame, id_header: str | None = None) -> DataFrame:
+def id_of(head: bytes, id_header: str | None) -> str | None:
+    """The unescaped value of a header, None where there is none."""
+    value = http_field(head, id_header) if id_header else None
+    return None if value is None else unquote(value)
+
+
+def index_arcs(arcs: DataFrame, id_header: str | None = None, id_type: str = "long") -> DataFrame:
     """``(path, number, key, url, date, payload_bytes, digest)`` of the HTTP records of ARC files ``(path)``.
 
-    ``key`` is the integer value of the header ``id_header``, null where there is none.
+    ``key`` is the value of the header ``id_header`` as ``id_type``, null where there is none of that type.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "number", "key", "url", "date", "payload_bytes", "digest"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
         for (path,) in rows_of(batches):
             rows = []
             with opened(path) as stream:
@@ -239,30 +246,29 @@ def index_arcs(arcs: DataFrame, id_header: str | None = None) -> DataFrame:
                     if record.number == 0 or not _is_http(record):
                         continue
                     head, payload = split_http(record.block)
-                    value = http_field(head, id_header) if id_header else None
-                    key = int(value) if value and re.fullmatch(r"-?\d+", value) else None
+                    key = id_of(head, id_header)
                     fields = record.fields
                     rows.append((path, record.number, key, fields["url"], fields["date"], len(payload), base32_sha1(payload)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = "path string, number long, key long, url string, date string, payload_bytes long, digest string"
-    return arcs.repartition("path").mapInArrow(scan, schema)
+    schema = "path string, number long, key string, url string, date string, payload_bytes long, digest string"
+    return arcs.repartition("path").mapInArrow(scan, schema).withColumn("key", F.col("key").try_cast(id_type))
 
 
-def arcs_to_warcs(arcs: DataFrame, id_header: str | None = None, revisit_bytes: int = 0) -> DataFrame:
+def arcs_to_warcs(arcs: DataFrame, id_header: str | None = None, revisit_bytes: int = 0, id_type: str = "long") -> DataFrame:
     """WARC files ``(path)`` of ARC files ``(path)``, one for each.
 
     The version block becomes a ``warcinfo`` record; an HTTP record becomes a ``response`` or, if its
     payload has at least ``revisit_bytes`` bytes and an earlier record has the same, a ``revisit`` of
     that one without the payload; any other record becomes a ``resource``.  Earlier means: smaller
-    value of the header ``id_header`` (records without it come last), then date, file and place.
+    value of the header ``id_header`` as ``id_type`` (records without one come last), then date, file and place.
     An empty table gives no files.
     """
     spark = arcs.sparkSession
     ship_package(spark)
     folder = work_path(spark, "warc")
-    index = materialize(index_arcs(arcs, id_header), "arc_index")
+    index = materialize(index_arcs(arcs, id_header, id_type), "arc_index")
     order = F.struct(F.col("key").isNull().alias("no_key"), "key", "date", "path", "number", "url").alias("r")
     large = index.where(F.col("payload_bytes") >= revisit_bytes)
     seen = large.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -314,7 +320,7 @@ def converted(path: str, record: ArcRecord, first: tuple | None) -> bytes:
     return warc_record([("WARC-Type", "revisit"), *base], head)
 
 
-def warc_records(warcs: DataFrame, id_header: str | None = None) -> DataFrame:
+def warc_records(warcs: DataFrame, id_header: str | None = None, id_type: str = "long") -> DataFrame:
     """``(record_id, record_type, url, date, key, payload_bytes, payload_digest, refers_to_id)`` of HTTP records.
 
     Sizes and digests are those of the full payload: of a response they are taken from its bytes, which
@@ -324,7 +330,7 @@ def warc_records(warcs: DataFrame, id_header: str | None = None) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "record_type", "url", "date", "key", "payload_bytes", "payload_digest", "refers_to_id"]
-        kinds = [*[pa.string()] * 4, pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [*[pa.string()] * 5, pa.int64(), pa.string(), pa.string()]
         for (path,) in rows_of(batches):
             rows = []
             with opened(path) as stream:
@@ -337,31 +343,32 @@ def warc_records(warcs: DataFrame, id_header: str | None = None) -> DataFrame:
                     size = len(payload) if kind == "response" else int(http_field(head, "Content-Length") or 0)
                     if kind == "response" and base32_sha1(payload) != digest:
                         raise ValueError(f"{path}: {fields['warc-record-id']} has another payload than its digest says")
-                    value = http_field(head, id_header) if id_header else None
                     rows.append(
                         (fields["warc-record-id"], kind, fields.get("warc-target-uri"), fields["warc-date"],
-                         int(value) if value else None, size, digest, fields.get("warc-refers-to"))
+                         id_of(head, id_header), size, digest, fields.get("warc-refers-to"))
                     )
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = (
-        "record_id string, record_type string, url string, date string, key long, payload_bytes long, "
+        "record_id string, record_type string, url string, date string, key string, payload_bytes long, "
         "payload_digest string, refers_to_id string"
     )
-    return warcs.repartition("path").mapInArrow(read, schema)
+    return warcs.repartition("path").mapInArrow(read, schema).withColumn("key", F.col("key").try_cast(id_type))
 
 
 def converted_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Pages through both formats: ``(<id_col>, payload_bytes, payload_digest, record_type, refers_to, url)``.
 
     Each page is written to an ARC file, converted, and read back from the WARC.  Of pages with equal
-    bytes, that with the smallest id is a response and the others revisit it.  A null page counts as
-    empty; a page with a null id gets a null id back; repeated rows revisit the first of them.  Other
-    columns are not read.  An empty table gives no rows.
+    bytes, that with the smallest id is a response and the others revisit it.  Ids may be of any type that
+    text gives back, such as numbers and strings, and are compared as that type.  A null page counts as
+    empty; a page with a null id gets a null id back and comes last; repeated rows revisit the first of
+    them.  Pages of any length are kept whole.  Other columns are not read.  An empty table gives no rows.
     """
     arcs = write_arcs(pages, id_col, url_col, html_col)
-    read = materialize(warc_records(arcs_to_warcs(arcs, "X-Page-Id"), "X-Page-Id"), "warc_records")
+    kind = pages.schema[id_col].dataType.simpleString()
+    read = materialize(warc_records(arcs_to_warcs(arcs, "X-Page-Id", id_type=kind), "X-Page-Id", kind), "warc_records")
     origin = read.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to"))
     out = read.join(origin, "refers_to_id", "left")
     return out.select(F.col("key").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

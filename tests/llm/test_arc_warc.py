@@ -129,3 +129,16 @@ def test_pages(spark):
         (1, "response", None), (1, "revisit", 1), (None, "revisit", 1)
     ]
     assert converted_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_ids_of_other_types(spark):
+    ids = ["b", "a", "", " x: y\r\n", "é%41", "10", "9", None]
+    rows = [(i, f"http://h/{n}", "same" if n % 2 else f"own {n}") for n, i in enumerate(ids)]
+    got = converted_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert {(r.page_id, r.url) for r in got} == {(i, url) for i, url, _ in rows}
+    # Compared as strings: the smallest of the odd places is the response.
+    least = min(i for n, i in enumerate(ids) if n % 2 and i is not None)
+    assert {r.page_id for r in got if r.record_type == "response"} == {*ids[::2], least}
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {least}
+    dates = converted_pages(spark.sql("SELECT DATE'2024-01-02' AS page_id, 'u' AS url, 'h' AS html"))
+    assert [str(r.page_id) for r in dates.collect()] == ["2024-01-02"] and dates.schema["page_id"].dataType.simpleString() == "date"
