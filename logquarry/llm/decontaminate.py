@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from logquarry.llm.common import materialize, rows_of, ship_package, text_or_empty
+from logquarry.llm.common import fresh, materialize, quoted, rows_of, ship_package, text_or_empty
 
 #: Kept word positions of each mask.
 MASKS = ("1111", "10111", "11011", "11101")
@@ -58,6 +58,15 @@ def seeds_of(codes: np.ndarray, mask: int) -> np.ndarray:
     return (total ^ (total >> np.uint64(32))) * _ODD[0]
 
 
+def whole_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the ``size`` words from every place on."""
+    places = max(0, len(codes) - size + 1)
+    total = np.full(places, size, np.uint64)
+    for i in range(size):
+        total = (total ^ (total >> np.uint64(29))) * _ODD[0] + codes[i : i + places]
+    return (total ^ (total >> np.uint64(32))) * _ODD[1]
+
+
 @dataclass(frozen=True)
 class Block:
     """Seeds of some benchmark items, sorted by hash, and the items' words."""
@@ -70,11 +79,21 @@ class Block:
     item: np.ndarray
     place: np.ndarray
     filled: np.ndarray
+    #: For each length below a window: hashes of the items of so many words, sorted, and the items.
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple[object, str | None]]) -> Block:
-        """A block of ``(item_id, text)``; items below five words are left out."""
-        found = [(key, codes) for key, text in rows if len(codes := codes_of(text)) >= WINDOW]
+        """A block of ``(item_id, text)``; items below five words have no seeds and are kept whole."""
+        every = [(key, codes_of(text)) for key, text in rows]
+        found = [(key, codes) for key, codes in every if len(codes) >= WINDOW]
+        below = [(key, codes) for key, codes in every if 0 < len(codes) < WINDOW]
+        short = {}
+        for size in {len(codes) for _, codes in below}:
+            own = np.array([len(found) + i for i, (_, codes) in enumerate(below) if len(codes) == size])
+            hashes = np.concatenate([whole_hashes(below[i - len(found)][1], size) for i in own])
+            by = np.argsort(hashes, kind="stable")
+            short[size] = hashes[by], own[by]
         sizes = np.array([len(codes) for _, codes in found], np.int64)
         parts = [(i, seeds_of(codes, m)) for i, (_, codes) in enumerate(found) for m in range(len(MASKS))]
         hashes = np.concatenate([s for _, s in parts] or [np.empty(0, np.uint64)])
@@ -86,8 +105,8 @@ class Block:
         filled[hashes >> np.uint64(64 - bits)] = True
         codes = np.concatenate([codes for _, codes in found] or [np.empty(0, np.uint64)])
         return cls(
-            [key for key, _ in found], np.cumsum(sizes) - sizes, sizes, codes,
-            hashes[order], item[order], place[order], filled,
+            [key for key, _ in [*found, *below]], np.cumsum(sizes) - sizes, sizes, codes,
+            hashes[order], item[order], place[order], filled, short,
         )
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,6 +124,20 @@ class Block:
             items.append(self.item[each])
         return np.concatenate(places), np.concatenate(starts), np.concatenate(items)
 
+    def whole(self, codes: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """``(document, item, first word, words)`` of the first place of each item below a window in each document."""
+        for size, (hashes, items) in self.short.items():
+            own = whole_hashes(codes, size)
+            low = np.searchsorted(hashes, own, "left")
+            at = np.flatnonzero(np.searchsorted(hashes, own, "right") > low)
+            doc = np.searchsorted(bounds, at, "right") - 1
+            inside = at + size <= bounds[doc + 1]
+            # The first place of each hash in each document, then every item of that hash.
+            pairs, first = np.unique(np.stack([doc[inside], low[at[inside]]]), axis=1, return_index=True)
+            for d, i, place in zip(*pairs.tolist(), at[inside][first].tolist(), strict=True):
+                for k in range(i, int(np.searchsorted(hashes, hashes[i], "right"))):
+                    yield d, int(items[k]), place - int(bounds[d]), size
+
     def alignments(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(start in codes, item)`` of the distinct alignments that seeds propose."""
         both = np.unique(np.stack(self.hits(codes)[1:]), axis=1)
@@ -203,7 +236,7 @@ def _best_part(equal: list[np.ndarray], window: int, share: float) -> tuple[int,
     return found and (found[0], -found[1], -found[2], found[3])
 
 
-def _scan(docs: DataFrame, block: Block, share: float, overlap_words: int | None, kinds: list[DataType]) -> DataFrame:
+def _scan(docs: DataFrame, block: Block, share: float, overlap_words: int | None, short_items: bool, kinds: list[DataType]) -> DataFrame:
     """The overlaps of ``(doc, text)`` with one block of the benchmark."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
     schema = f"doc {kinds[0].simpleString()}, item {kinds[1].simpleString()}, start_word long, n_words long, n_equal long"
@@ -222,6 +255,8 @@ def _scan(docs: DataFrame, block: Block, share: float, overlap_words: int | None
             if overlap_words:
                 for d, i, *part in block.parts(codes, bounds, share, overlap_words, hits):
                     whole.setdefault((d, i), part)
+            if short_items:
+                whole |= {(d, i): (place, size, size) for d, i, place, size in block.whole(codes, bounds)}
             found = [(kept[d][0], block.ids[i], *place) for (d, i), place in whole.items()]
             if found:
                 yield pa.RecordBatch.from_arrays(
@@ -231,7 +266,7 @@ def _scan(docs: DataFrame, block: Block, share: float, overlap_words: int | None
 
         for key, text in rows_of(batches, 256):
             codes = codes_of(text)
-            if len(codes) >= WINDOW - 1:
+            if len(codes) >= (1 if short_items else WINDOW - 1):
                 kept.append((key, codes))
                 waiting += len(codes)
             if waiting >= SCAN_WORDS:
@@ -253,6 +288,7 @@ def benchmark_overlaps(
     share: float = 0.8,
     block_words: int = BLOCK_WORDS,
     overlap_words: int | None = None,
+    short_items: bool = True,
 ) -> DataFrame:
     """``(<id_col>, <item_col>, start_word, n_words, n_equal)``: passages of benchmark items in documents.
 
@@ -268,8 +304,8 @@ def benchmark_overlaps(
     ``start_word`` is its first word.  Of 13 words two may be replaced, or one beside the word put in or
     left out; an item of five or six words with a change in its middle leaves no seed and is not found.
 
-    Items below five words or with a null text are never found; null and
-    empty documents hold nothing; rows with null ids take part.  Repeated documents each get their
+    Items below five words have no seeds: they are looked up whole, by a hash of all their words, and only
+    where ``short_items`` says so.  Items without a word are never found; null and empty documents hold nothing; rows with null ids take part.  Repeated documents each get their
     rows, repeated items too.  Other columns are not read.  Empty tables give no rows.
     """
     if share < 0.8:
@@ -286,7 +322,7 @@ def benchmark_overlaps(
     found = None
     for number in range(blocks):
         block = Block.of([(r.item, r.text) for r in numbered.where(F.col("block") == number).collect()])
-        part = _scan(texts, block, share, overlap_words, kinds)
+        part = _scan(texts, block, share, overlap_words, short_items, kinds)
         part = materialize(part, "overlaps") if blocks > 1 else part
         found = part if found is None else found.unionByName(part)
     return found.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "start_word", "n_words", "n_equal")
@@ -296,7 +332,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """``docs`` without the documents that hold a benchmark item or a part of one; all columns are kept as they are.
 
     Rows that share an id are one document; rows with a null id are judged by whether any such row holds a passage.
+    Items below five words drop nothing, since clean text holds them too, unless ``short_items`` is given.
     """
-    found = benchmark_overlaps(docs, benchmark, id_col, text_col, **{"overlap_words": OVERLAP_WORDS} | options)
-    leaked = found.select(F.col(id_col).alias("_leaked_id")).distinct()
-    return docs.join(leaked, docs[id_col].eqNullSafe(leaked["_leaked_id"]), "left_anti")
+    found = benchmark_overlaps(docs, benchmark, id_col, text_col, **{"overlap_words": OVERLAP_WORDS, "short_items": False} | options)
+    own = fresh(docs, "_leaked_id")
+    leaked = found.select(F.col(id_col).alias(own)).distinct()
+    return docs.join(leaked, quoted(id_col).eqNullSafe(quoted(own)), "left_anti")

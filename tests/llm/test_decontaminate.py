@@ -90,3 +90,24 @@ def test_empty_tables(spark, documents, odd_rows):
     assert benchmark_overlaps(documents(odd_rows), none).collect() == []
     assert drop_contaminated(documents(odd_rows), none).count() == len(odd_rows)
     assert benchmark_overlaps(documents([]), none).collect() == []
+
+
+def test_short_items_are_looked_up_whole(spark, documents):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=1 + i % 4))) for i in range(24)] + [(50, "W1, w2"), (51, " - "), (52, None)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 12)))) for i in range(80)] + [(90, None), (91, "w3")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = []
+    for d, text in docs:
+        w = words(text)
+        for i, item in items:
+            v = words(item)
+            at = next((k for k in range(len(w) - len(v) + 1) if v and w[k : k + len(v)] == v), None)
+            if at is not None:
+                expected.append((d, i, at, len(v), len(v)))
+    assert sorted(tuple(r) for r in benchmark_overlaps(documents(docs), bench).collect()) == sorted(expected)
+    assert benchmark_overlaps(documents(docs), bench, short_items=False).collect() == []
+    # Clean text holds short items too, so they drop nothing unless asked to.
+    assert drop_contaminated(documents(docs), bench).count() == len(docs)
+    assert drop_contaminated(documents(docs), bench, short_items=True).count() == len(docs) - len({e[0] for e in expected})
