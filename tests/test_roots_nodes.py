@@ -1,5 +1,7 @@
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from logquarry.operators import nodes as N
@@ -41,6 +43,81 @@ def test_spellings_and_blank_roots_both_ways(spark, monkeypatch):
             assert {r.path: r.root for r in R.with_root(files, order).collect()} == expected
 
 
+def random_paths(rng, n, deepest):
+    """Paths of few names, so that many lie inside one another, of both platforms and odd spellings."""
+    out = []
+    for _ in range(n):
+        anchor = rng.choice(["/", "/", "/", "C:\\", "d:/", ""])
+        parts = [rng.choice("abA") + rng.choice(["", "1", "22"]) for _ in range(rng.randint(0, deepest))]
+        sep = "\\" if anchor == "C:\\" and rng.random() < 0.7 else "/"
+        out.append(anchor + sep.join(parts) + rng.choice(["", "", sep, "//"]))
+    return out
+
+
+def holder(path, keyed):
+    """The most specific root by trying every prefix; of two spellings the smaller."""
+    key = plain_key(path)
+    best = [(len(k), k) for k in keyed if key == k or key.startswith(k if k.endswith("/") else k + "/")]
+    return keyed[max(best)[1]] if best else None
+
+
+def plain_key(path):
+    windows = re.match(r"[A-Za-z]:[/\\]", path)
+    key = re.sub(r"[/\\]+", "/", path)
+    if len(key) > (3 if windows else 1) and key.endswith("/"):
+        key = key[:-1]
+    return key.lower() if windows else key
+
+
+@pytest.mark.parametrize("many", [3, 65, 10_000])
+def test_roots_of_any_number_are_found_as_by_the_list(spark, monkeypatch, many):
+    rng = random.Random(many)
+    roots = [r for r in random_paths(rng, 2 * many, 9) if r.strip()][:many]
+    keyed = {}
+    for r in sorted(roots, reverse=True):
+        keyed[plain_key(r)] = r
+    files = [*random_paths(rng, 1500, 12), "/", "C:\\", "", *roots[:50]]
+    df = spark.createDataFrame([(p, i, "x") for i, p in enumerate([*files, files[0]])] + [(None, -1, "x")], "path string, n int, root string")
+    monkeypatch.setattr(R, "INLINE_ROOTS", 0)
+    got = R.with_root(df, roots)
+    assert got.columns == ["path", "n", "root"]
+    found = {r.n: (r.path, r.root) for r in got.collect()}
+    assert len(found) == len(files) + 2
+    assert found == {i: (p, holder(p, keyed)) for i, p in enumerate([*files, files[0]])} | {-1: (None, None)}
+    kept = R.without_excluded(df, roots)
+    assert kept.columns == df.columns
+    assert {r.n for r in kept.collect()} == {i for i, (_, root) in found.items() if root is None}
+    if many <= 65:
+        monkeypatch.setattr(R, "INLINE_ROOTS", 64)
+        table = spark.createDataFrame([(r,) for r in roots], "root string")
+        assert {r.n: (r.path, r.root) for r in R.with_root(df, table).collect()} == found
+    inner = {k for k in keyed if any(k != o and k.startswith(o if o.endswith("/") else o + "/") for o in keyed)} if many <= 65 else None
+    if inner is not None:
+        least = R.minimal_roots(spark.createDataFrame([(r,) for r in roots], "root string"))
+        assert sorted(plain_key(r.root) for r in least.collect()) == sorted(set(keyed) - inner)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_the_search_repeats_no_path_and_shuffles_little(spark, monkeypatch, tmp_path, small):
+    monkeypatch.setattr(R, "INLINE_ROOTS", 0)
+    spark.createDataFrame([(p,) for p in random_paths(random.Random(1), 300, 8)], "path string").write.parquet(str(tmp_path / "paths"))
+    files = spark.read.parquet(str(tmp_path / "paths"))
+    roots = [f"/a/b{'/c' * (i % 7)}/r{i}" for i in range(500)]
+    expected = sorted(R.with_root(files, roots).collect(), key=repr)
+    if not small:
+        monkeypatch.setattr(R, "checked_broadcast", lambda table: None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = R.with_root(files, roots)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(found.collect(), key=repr) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Seven depths: three probes, each a join; rows of paths are never generated.
+    assert "Generate" not in plan and plan.count("Join") == 3
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == (0 if small else 6)
+
+
 def test_a_stream_takes_any_number_of_roots(spark, tmp_path):
     events = spark.createDataFrame([(f"/r{i}/f.log",) for i in range(0, 200, 2)], "path string")
     events.write.parquet(str(tmp_path / "events"))
