@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Applications that hold this package already.
 _SHIPPED: set[str] = set()
+# The folders of local sessions without a setting, by application.
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", app: str = "logquarry") -> SparkSession:
@@ -54,9 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
         return base
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    base = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDERS:
+        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-")
+    return _OWN_FOLDERS[app]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
