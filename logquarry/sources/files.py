@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from logquarry.functions.classify import is_archive_name, is_log_name
 from logquarry.functions.paths import file_name
 from logquarry.operators.changes import epoch_millis
-from logquarry.operators.roots import Roots, with_root, without_excluded, without_platform_directories
+from logquarry.operators.roots import Roots, with_root
+from logquarry.sources.walk import walk
 
 
 def plain_path(path):
@@ -53,11 +54,16 @@ def catalog_rows(files: DataFrame, roots: Roots) -> DataFrame:
 def scan(
     spark: SparkSession, roots: Sequence[str], exclusions: Roots = (), skip_platform: bool = False
 ) -> DataFrame:
-    """Catalog rows of everything below the roots except excluded subtrees."""
-    files = without_excluded(listing(spark, roots), exclusions)
-    if skip_platform:
-        files = without_platform_directories(files)
-    return catalog_rows(files, list(roots))
+    """Catalog rows of everything below the roots except excluded subtrees; links are not followed."""
+    return catalog_rows(walk(spark, roots, exclusions, skip_platform).files, list(roots))
+
+
+def scan_counted(
+    spark: SparkSession, roots: Sequence[str], exclusions: Roots = (), skip_platform: bool = False
+) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`scan` and its counters: ``directories``, ``files`` and ``skipped_directories``."""
+    found = walk(spark, roots, exclusions, skip_platform)
+    return catalog_rows(found.files, list(roots)), found.counts
 
 
 def observed(catalog: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
