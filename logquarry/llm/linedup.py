@@ -14,7 +14,8 @@ others: minima, not pairs.  The edit distance to the witness is then computed on
 Lines that cannot have a partner emit nothing: of two lines within one edit, the first or the last
 half of the shorter one's words is equal, and a line none of whose halves occurs in another line is
 left out beforehand.  That test loses nothing and keeps the neighbourhoods to a small share of the
-text.  Texts travel between executors compressed.
+text.  Of the texts only the lines that are left travel, told by their places at a bitmap, and at the
+end the documents that lose a line; all others stay where they are.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import materialize, ship_package, text_or_empty
+from logquarry.llm.common import materialize, maybe_among, passing, quoted, ship_package, text_or_empty
 
 SPACE = r"[\x20\x09-\x0D]+"
 ORDER = ["doc", "body", "line_no"]
@@ -62,21 +62,6 @@ def within_one_edit(a: list, b: list) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
-def packed(text: Column) -> Column:
-    """A text as compressed UTF-8; null stays null."""
-
-    @F.pandas_udf("binary")
-    def pack(texts: pd.Series) -> pd.Series:
-        codec = zstandard.ZstdCompressor(level=1)
-        return pd.Series([None if t is None else codec.compress(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
-
-    return pack(text)
-
-
-def _unpack(data: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")
-
-
 def _halves(n: Column, words: Column, min_words: int) -> list[Column]:
     """Four hashes: first and last half of the words, for a partner as long or longer, and for a shorter one."""
     out = []
@@ -103,21 +88,14 @@ def _suspects(first: DataFrame) -> DataFrame:
 
 def _suspect_lines(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``(doc, body, line_no, line, text)`` of the chosen ``(doc, body, line_no, line)``."""
-    wanted = chosen.groupBy("doc", "body").agg(F.collect_list(F.struct("line_no", "line")).alias("lines"))
-    wanted = wanted.select(F.col("doc").alias("d"), F.col("body").alias("b"), "lines")
-    texts = docs.select("doc", "body", packed(F.col("text")).alias("data"))
-    joined = wanted.join(texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")))
-
-    @F.pandas_udf("array<string>")
-    def cut(data: pd.Series, lines: pd.Series) -> pd.Series:
-        def one(packed_text: bytes, numbers: np.ndarray) -> list[str]:
-            split = _unpack(packed_text).split("\n")
-            return [split[row["line_no"]] for row in numbers]
-
-        return pd.Series([one(d, n) for d, n in zip(data, lines, strict=True)], dtype=object)
-
-    pairs = joined.select("doc", "body", F.explode(F.arrays_zip("lines", cut("data", "lines").alias("texts"))).alias("x"))
-    return pairs.select("doc", "body", "x.lines.line_no", "x.lines.line", F.col("x.texts").alias("text")).distinct()
+    # Documents without a chosen line are not split, lines not chosen are not shuffled.
+    held = passing(docs, chosen.select("doc", "body").distinct(), "doc", "body")
+    lines = held.select("doc", "body", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    lines = passing(lines, chosen, *ORDER)
+    wanted = chosen.select(*[F.col(c).alias(f"_{c}") for c in ORDER], "line")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "doc" else F.col(c) == F.col(f"_{c}") for c in ORDER]
+    # Repeated rows give a line twice.
+    return lines.join(wanted, same).select(*ORDER, "line", "text").dropDuplicates(["line"])
 
 
 def _neighbourhoods(lines: DataFrame) -> DataFrame:
@@ -201,27 +179,32 @@ def dedup_lines(
     same text.  ``removed_col`` names a column for the number of lines left out.  An empty table gives
     no rows.
     """
+    if removed_col in docs.columns:
+        raise ValueError(f"there is a column {removed_col} already")
     ship_package(docs.sparkSession)
-    text = text_or_empty(text_col)
-    named = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
-    gone = removed_lines(named, min_words).select(F.col("doc").alias("d"), F.col("body").alias("b"), "gone")
-    others = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in docs.columns if c != text_col]).alias("others")
-    whole = docs.select(others, F.col(id_col).alias("doc"), F.xxhash64(text).alias("body"), packed(F.col(text_col)).alias("data"))
-
-    @F.pandas_udf("string")
-    def keep(data: pd.Series, gone: pd.Series) -> pd.Series:
-        def one(packed_text: bytes | None, numbers: np.ndarray | None) -> str | None:
-            if packed_text is None:
-                return None
-            whole = _unpack(packed_text)
-            if numbers is None:
-                return whole
-            out = set(numbers.tolist())
-            return "\n".join(line for i, line in enumerate(whole.split("\n")) if i not in out)
-
-        return pd.Series([one(d, g) for d, g in zip(data, gone, strict=True)], dtype=object)
-
-    joined = whole.join(gone, F.col("doc").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")), "left")
-    columns = [keep("data", "gone").alias(c) if c == text_col else F.col("others")[c].alias(c) for c in docs.columns]
+    text = text_or_empty(quoted(text_col))
+    # The other columns in one, so that none of their names can clash.
+    others = F.struct(F.lit(0).alias("_"), *[quoted(c) for c in docs.columns if c != text_col]).alias("others")
+    whole = docs.select(others, quoted(id_col).alias("doc"), F.xxhash64(text).alias("body"), quoted(text_col).alias("text"))
+    named = whole.select("doc", "body", text_or_empty("text").alias("text"))
+    gone = materialize(removed_lines(named, min_words), "removed_lines")
+    marked = maybe_among(whole, gone, ["doc", "body"], "touched")
+    lost = gone.select(F.col("doc").alias("d"), F.col("body").alias("b"), "gone")
+    touched = marked.where("touched").join(lost, F.col("doc").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")), "left")
+    none = F.lit(None).cast("array<int>").alias("gone")
+    every = touched.select("others", "text", "gone").unionByName(marked.where("NOT touched").select("others", "text", none))
+    rebuilt = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("gone")))
+    columns = [(rebuilt if c == text_col else F.col("others").getField(c)).alias(c) for c in docs.columns]
     count = [F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(removed_col)] if removed_col else []
-    return joined.select(*columns, *count)
+    return every.select(*columns, *count)
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers."""
+
+    def kept(lines: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    # An array of one element binds the lines, so that they are split once.
+    return F.element_at(F.transform(F.array(F.split(text, "\n")), kept), 1)
