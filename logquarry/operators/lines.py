@@ -10,7 +10,6 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logquarry.constants import MAX_LINE_BYTES
 from logquarry.functions.paths import file_name
 from logquarry.functions.text import (
     cut_bytes,
@@ -85,17 +84,17 @@ def number_blocks(raw: DataFrame, charset: bool = False) -> DataFrame:
     return joined.withColumn("line_no", number).drop("_n", "_first", "_base", "row_id", "block_start")
 
 
-def finish_lines(raw: DataFrame, charset: str | Column | None = None, limit: int = MAX_LINE_BYTES) -> DataFrame:
+def finish_lines(raw: DataFrame, charset: str | Column | None = None, limit: int | None = None) -> DataFrame:
     """Turn raw bytes (line end included in ``raw_len``) into shown lines.
 
-    Bytes are cut before they are decoded; the flag looks at the raw length.
+    With a ``limit``, bytes are cut before they are decoded; the flag looks at the raw length.
     """
     chosen = F.lit(charset or "UTF-8") if charset is None or isinstance(charset, str) else charset
     with lenient_charsets(raw.sparkSession):
-        decoded = raw.withColumn("_text", decode_bytes(cut_bytes(F.col("raw"), limit), chosen))
+        decoded = raw.withColumn("_text", decode_bytes(F.col("raw") if limit is None else cut_bytes(F.col("raw"), limit), chosen))
     text = F.when(F.col("line_no") == 1, strip_bom(F.col("_text"))).otherwise(F.col("_text"))
     return decoded.withColumn("content", strip_line_end(text)).withColumn(
-        "truncated", is_cut(F.col("raw_len"), limit)
+        "truncated", F.lit(False) if limit is None else is_cut(F.col("raw_len"), limit)
     ).drop("_text", "raw")
 
 

@@ -29,19 +29,20 @@ def raw_lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, paths, charset: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, paths, charset: str | None = None, limit: int | None = None) -> DataFrame:
     """``path, line_no, raw_len, content, truncated`` of files of any size.
 
     For UTF-8, GBK and GB18030; without a charset each file gets its own, UTF-8
     where all of its bytes are, else GB18030.  UTF-16 needs
-    :func:`read_whole_files`, because its line feed is two bytes wide.
+    the line index of :mod:`logquarry.sources.lineindex`, because its line feed is
+    two bytes wide.  ``limit`` cuts lines to so many bytes.
     """
     if charset is None:
-        return finish_lines(number_blocks(raw_lines(spark, paths), charset=True), F.col("charset")).drop("charset")
+        return finish_lines(number_blocks(raw_lines(spark, paths), charset=True), F.col("charset"), limit).drop("charset")
     name = charset_name(charset)
     if name.startswith("UTF-16"):
-        raise ValueError("UTF-16 files are not splittable by line feed bytes; use read_whole_files")
-    return finish_lines(number_blocks(raw_lines(spark, paths)), name)
+        raise ValueError("UTF-16 files are not splittable by line feed bytes; use the line index")
+    return finish_lines(number_blocks(raw_lines(spark, paths)), name, limit)
 
 
 def read_whole_files(spark: SparkSession, paths, charset: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -47,8 +47,10 @@ def test_charsets(spark, tmp_path):
 
 def test_truncation(spark, tmp_path):
     path = write(tmp_path, "long.log", b"x" * 65_636 + b"\n" + b"y" * 65_535 + b"\n")
-    rows = T.read_lines(spark, path).orderBy("line_no").collect()
+    rows = T.read_lines(spark, path, limit=65_536).orderBy("line_no").collect()
     assert [(len(r.content), r.truncated) for r in rows] == [(65_536, True), (65_535, False)]
+    whole = T.read_lines(spark, path).orderBy("line_no").collect()
+    assert [(len(r.content), r.truncated) for r in whole] == [(65_636, False), (65_535, False)]
 
 
 def test_numbers_across_many_splits(spark, tmp_path):
