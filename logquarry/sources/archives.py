@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.constants import ARCHIVE_SUFFIXES, LOG_EXTENSIONS, MAX_LINE_BYTES, SAMPLE_BYTES, ArchiveLimits
+from logquarry.constants import ARCHIVE_SUFFIXES, LOG_EXTENSIONS, SAMPLE_BYTES, ArchiveLimits
 from logquarry.functions.classify import (
     detect_format,
     is_archive_name,
@@ -33,7 +33,18 @@ from logquarry.functions.paths import file_name
 from logquarry.functions.text import decode_bytes, lenient_charsets, strip_bom, strip_line_end
 from logquarry.operators.lines import line_pieces
 from logquarry.session import materialize, ship_package, spread, work_path
-from logquarry.sources.decoders import entries_of, first_bytes, line_chunks, open_place, sample_charset, save_place, stream_head
+from logquarry.sources.decoders import (
+    entries_of,
+    first_bytes,
+    is_regular_member,
+    line_chunks,
+    open_member,
+    open_place,
+    sample_charset,
+    save_place,
+    stream_head,
+    zip_members,
+)
 from logquarry.sources.files import plain_path
 
 BATCH_BYTES = 64 * 1024 * 1024
@@ -43,6 +54,8 @@ KEYS = "source_path string, chain array<string>, decoded bigint"
 ENTRY_SCHEMA = f"{KEYS}, entry_path string, size bigint, regular boolean, encrypted boolean, text boolean, error string"
 LINE_SCHEMA = f"{KEYS}, entry_path string, charset string, line_no bigint, raw binary, truncated boolean, error string"
 SURVEY_SCHEMA = f"{ENTRY_SCHEMA}, place string, total bigint"
+#: What one task reads: an entry of a ZIP by its place in the file, or, without one, a whole container.
+WORK_SCHEMA = f"{KEYS}, name string, format string, place string, entry_path string, size bigint, offset bigint, packed bigint, crc bigint, method bigint, error string"
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -154,6 +167,7 @@ def _arrow_types(names: list[str]) -> pa.Schema:
         "entry_path": pa.string(), "size": pa.int64(), "regular": pa.bool_(), "encrypted": pa.bool_(),
         "text": pa.bool_(), "error": pa.string(), "charset": pa.string(), "line_no": pa.int64(),
         "raw": pa.binary(), "truncated": pa.bool_(), "place": pa.string(), "total": pa.int64(),
+        "name": pa.string(), "format": pa.string(), "offset": pa.int64(), "packed": pa.int64(), "crc": pa.int64(), "method": pa.int64(),
     }
     return pa.schema([(name, kinds[name]) for name in names])
 
@@ -210,39 +224,85 @@ def _entry_rows(rows: DataFrame, limits: ArchiveLimits) -> DataFrame:
     )
 
 
+def _is_log_member(name: str, fmt: str, wanted: str | None) -> bool:
+    """Is an entry read as lines: a log by its extension, or the one asked for among these?"""
+    logs = {"." + ext for ext in LOG_EXTENSIONS}
+    return ("." + name.rsplit(".", 1)[-1].lower() in logs or fmt == "plain") and wanted in (None, name)
+
+
+def line_work(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), name: str | None = None) -> DataFrame:
+    """What there is to read, spread over the tasks: the log entries of ZIPs one by one, other containers whole.
+
+    A ZIP's central directory tells where each entry lies, so a file of a thousand entries is a thousand
+    rows.  A ZIP that cannot be listed gives a row with ``error``.
+    """
+
+    def visit(row: dict) -> Iterator[tuple]:
+        key = (row["source_path"], row["chain"], row["decoded"], row["name"], row["format"], row["place"])
+        if row["format"] != "zip":
+            yield (*key, *[None] * 7)
+            return
+        listed = []
+        try:
+            with open_place(row["place"]) as file:
+                for info in zip_members(file, limits):
+                    if is_regular_member(info) and not info.flag_bits & 1 and _is_log_member(info.filename, "zip", name):
+                        listed.append((*key, info.filename, info.file_size, info.header_offset, info.compress_size, info.CRC, info.compress_type, None))
+            yield from listed
+        except Exception as error:
+            yield (*key, *[None] * 6, str(error))
+
+    rows = _expand(level.drop("head"), WORK_SCHEMA, visit, _names(WORK_SCHEMA))
+    spark = level.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "place", "offset")
+
+
 def entry_lines(
-    level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit: int = MAX_LINE_BYTES, name: str | None = None
+    level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit: int | None = None, name: str | None = None
 ) -> DataFrame:
     """Numbered lines of every log entry, or of those called ``name``, decoded by the entry's own charset.
 
+    Entries of one ZIP are read by many tasks, each at its own place in the file; an
+    entry that cannot be read gives a row with ``error`` and stops no other.
     Python only decompresses and cuts the bytes at line ends; chunks of lines
     leave the task while the entry is still being read, and decoding, splitting
-    and trimming are Columns.
+    and trimming are Columns.  ``limit`` cuts lines to so many bytes.
     """
-    logs = {"." + ext for ext in LOG_EXTENSIONS}
+    most = 2**31 - 1 if limit is None else limit
+    def read(key: tuple, current: str, source) -> Iterator[tuple]:
+        head = source.read(SAMPLE_BYTES)
+        charset, left = sample_charset(head), limits.max_decoded_bytes - key[2]
+        for number, size, raw, cut in line_chunks(source, charset, most, head):
+            left -= size
+            if left < 0:
+                raise ValueError("decoded size limit exceeded")
+            yield (*key, current, charset, number, raw, cut, None)
 
     def visit(row: dict) -> Iterator[tuple]:
-        key, current, budget = (row["source_path"], row["chain"], row["decoded"]), None, limits.max_decoded_bytes
+        key, current = (row["source_path"], row["chain"], row["decoded"]), row["entry_path"]
+        budget = limits.max_decoded_bytes - row["decoded"]
         try:
+            if row["error"] is not None:
+                raise ValueError(row["error"])
+            if row["offset"] is not None:
+                if row["size"] > budget:
+                    raise ValueError("decoded size limit exceeded")
+                with open_place(row["place"]) as file:
+                    member = open_member(file, current, row["offset"], row["packed"], row["size"], row["crc"], row["method"])
+                    yield from read(key, current, member)
+                return
             for entry in entries_of(row["place"], row["format"], row["name"], limits):
                 current = entry.name
-                is_log = "." + current.rsplit(".", 1)[-1].lower() in logs or row["format"] == "plain"
-                if not entry.regular or entry.encrypted or not is_log or name not in (None, current):
+                if not entry.regular or entry.encrypted or not _is_log_member(current, row["format"], name):
                     continue
-                if row["format"] not in ("gz", "bz2", "xz", "zst") and entry.size > budget - row["decoded"]:
+                if row["format"] not in ("gz", "bz2", "xz", "zst") and entry.size > budget:
                     raise ValueError("decoded size limit exceeded")
-                source = entry.open()
-                head = source.read(SAMPLE_BYTES)
-                charset, left = sample_charset(head), budget - row["decoded"]
-                for number, size, raw, cut in line_chunks(source, charset, limit, head):
-                    left -= size
-                    if left < 0:
-                        raise ValueError("decoded size limit exceeded")
-                    yield (*key, current, charset, number, raw, cut, None)
+                yield from read(key, current, entry.open())
         except Exception as error:
             yield (*key, current, None, None, None, None, str(error))
 
-    raw = _expand(level.drop("head"), LINE_SCHEMA, visit, _names(LINE_SCHEMA))
+    raw = _expand(line_work(level, limits, name), LINE_SCHEMA, visit, _names(LINE_SCHEMA))
     safe = raw.where(F.col("error").isNotNull() | is_safe_entry(F.col("entry_path"), limits.max_path_bytes))
     with lenient_charsets(level.sparkSession):
         text = safe.withColumn("text", decode_bytes(F.col("raw"), F.col("charset"))).drop("raw")
@@ -340,14 +400,28 @@ def all_entries(files: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> Da
     return reduce(DataFrame.unionByName, [rows, *[e.select("source_path", "chain", *none, "error") for e in errors]])
 
 
-def nested_lines(files: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit: int = MAX_LINE_BYTES) -> DataFrame:
-    """Lines of the log entries of every level."""
-    levels, _, _ = _levels(files, limits)
-    return reduce(DataFrame.unionByName, [entry_lines(level, limits, limit) for level in levels])
+def nested_lines(files: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit: int | None = None) -> DataFrame:
+    """Lines of the log entries of every level, and a row with ``error`` for each container that has none to give.
+
+    That is one that cannot be read, is no archive in spite of its name, is nested too deep or breaks a limit.
+    """
+    levels, surveys, errors = _levels(files, limits)
+    lines = [entry_lines(level, limits, limit) for level in levels]
+    # Containers that could not be copied; those that cannot be read have their row from their lines.
+    failed = [
+        rows.where(F.col("error").isNotNull() & (F.size("chain") == depth)).select("source_path", "chain", "error")
+        for depth, rows in enumerate(surveys, 1)
+    ]
+    kinds = {f.name: f.dataType for f in lines[0].schema}
+    wide = [
+        rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in kinds])
+        for rows in [*failed, *errors]
+    ]
+    return reduce(DataFrame.unionByName, [*lines, *wide])
 
 
 def lines_of_entry(
-    files: DataFrame, route: Sequence[str], limits: ArchiveLimits = ArchiveLimits(), limit: int = MAX_LINE_BYTES
+    files: DataFrame, route: Sequence[str], limits: ArchiveLimits = ArchiveLimits(), limit: int | None = None
 ) -> DataFrame:
     """Lines of one entry of each file, reached through the containers that ``route`` names before it.
 

@@ -118,9 +118,33 @@ def zip_entries(file) -> Iterator[Entry]:
     """Entries of a ZIP from its central directory; nothing is decompressed."""
     archive = zipfile.ZipFile(file)
     for info in archive.infolist():
-        mode = stat.S_IFMT(info.external_attr >> 16)
-        regular = not info.is_dir() and mode in (0, stat.S_IFREG)
-        yield Entry(info.filename, info.file_size, regular, bool(info.flag_bits & 1), lambda i=info: archive.open(i))
+        yield Entry(info.filename, info.file_size, is_regular_member(info), bool(info.flag_bits & 1), lambda i=info: archive.open(i))
+
+
+def is_regular_member(info: zipfile.ZipInfo) -> bool:
+    """Is a ZIP entry a file, and no directory or link?"""
+    return not info.is_dir() and stat.S_IFMT(info.external_attr >> 16) in (0, stat.S_IFREG)
+
+
+def zip_members(file, limits: ArchiveLimits) -> Iterator[zipfile.ZipInfo]:
+    """The records of a ZIP's central directory."""
+    for count, info in enumerate(zipfile.ZipFile(file).infolist()):
+        if count >= limits.max_entries:
+            raise ValueError("entry count limit exceeded")
+        yield info
+
+
+def open_member(file, name: str, offset: int, packed: int, size: int, crc: int, method: int):
+    """One entry of a ZIP as a stream, opened at its own header; nothing else of the file is read."""
+    file.seek(offset)
+    header = file.read(30)
+    if len(header) < 30 or header[:4] != b"PK\x03\x04":
+        raise ValueError("no entry where the central directory says")
+    file.seek(offset + 30 + int.from_bytes(header[26:28], "little") + int.from_bytes(header[28:30], "little"))
+    info = zipfile.ZipInfo(name)
+    info.header_offset, info.compress_size, info.file_size = offset, packed, size
+    info.CRC, info.compress_type = crc, method
+    return zipfile.ZipExtFile(file, "r", info)
 
 
 def tar_entries(file, compression: str | None, limits: ArchiveLimits) -> Iterator[Entry]:

@@ -114,6 +114,13 @@ def test_lines_within_nested_containers(spark):
     assert ("nested/diagnostics.tar", "logs/server.log", 2, "two") in good
     assert ("inner.zip::inner.zip", "inside.log", 1, "deep") in good and ("", "top.log", 1, "top") in good
     assert [r.source_path for r in lines if r.error] == ["/d/bad.zip"]
+    # What cannot be opened further down is told too, once.
+    limits = A.ArchiveLimits(max_nested_depth=1)
+    hidden = A.nested_lines(named(spark, {"o.zip": nest(3), "f.zip": make_zip({"fake.tar": b"text"}, False)}), limits).collect()
+    assert sorted(("::".join(r.chain), r.error) for r in hidden) == [
+        ("fake.tar", "entry content is not an archive"), ("inner.zip::inner.zip", "nested too deep"),
+    ]
+    assert {r.line_no for r in hidden} == {None}
     one = A.lines_of_entry(files, ["inner.zip", "inner.zip", "inside.log"]).where("error is null").collect()
     assert [(r.source_path, r.content) for r in one] == [("/d/outer.zip", "deep")]
     assert A.lines_of_entry(files, ["absent.zip", "a.log"]).count() == 0
@@ -147,7 +154,7 @@ def test_entry_charsets_and_wide_line_breaks(spark):
         z.writestr("gb.log", ("中文😀\n" * 30_000).encode("gb18030"))
         z.writestr("long.log", b"x" * 65_636 + b"\n")
         z.writestr("odd.log", b"\xff\xfe" + "ਊ\nਊ".encode("utf-16-le"))
-    rows = A.entry_lines(A.start_level(named(spark, {"a.zip": out.getvalue()})))
+    rows = A.entry_lines(A.start_level(named(spark, {"a.zip": out.getvalue()})), limit=65_536)
     got = {}
     for r in rows.orderBy("entry_path", "line_no").collect():
         got.setdefault(r.entry_path, []).append(r)
@@ -157,6 +164,37 @@ def test_entry_charsets_and_wide_line_breaks(spark):
     assert [r.content for r in got["odd.log"]] == ["ਊ", "ਊ"]
 
 
+def test_entries_of_one_zip_are_many_tasks(spark):
+    """A thousand entries of every method spread over the tasks and read as in one pass; damage stays where it is."""
+    out = io.BytesIO()
+    expected = {}
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(1000):
+            method = (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA)[i % 4]
+            lines = [f"entry {i} line {k} " + "é" * (i % 7) for k in range(i % 13)]
+            z.writestr(f"logs/{i}.log", "".join(f"{x}\n" for x in lines), compress_type=method)
+            expected[f"logs/{i}.log"] = lines
+        z.writestr("skipped.bin", b"binary")
+        z.writestr("empty/", b"")
+    level = A.start_level(named(spark, {"a.zip": out.getvalue()}))
+    work = A.line_work(level)
+    sizes = [r.n for r in work.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1000 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 250
+    got = {}
+    for r in A.entry_lines(level).orderBy("entry_path", "line_no").collect():
+        assert r.error is None
+        got.setdefault(r.entry_path, []).append(r.content)
+    assert got == {k: [x.rstrip() if not x.strip() else x for x in v] for k, v in expected.items() if v}
+    data = bytearray(out.getvalue())
+    at = data.find(b"logs/5.log") + len(b"logs/5.log")
+    data[at : at + 8] = bytes(8)
+    rows = A.entry_lines(A.start_level(named(spark, {"b.zip": bytes(data)}))).collect()
+    assert {r.entry_path for r in rows if r.error} == {"logs/5.log"}
+    assert {r.entry_path for r in rows if not r.error} == set(got) - {"logs/5.log"}
+    one = A.lines_of_entry(named(spark, {"a.zip": out.getvalue()}), ["logs/12.log"]).collect()
+    assert sorted(r.content for r in one) == sorted(expected["logs/12.log"])
+
+
 def test_lookup_and_counts(spark):
     rows = A.entries(A.start_level(named(spark, {"a.zip": make_zip(MEMBERS)})))
     asked = spark.createDataFrame([("/d/a.zip", p) for p in ("logs/server.log", "nope", "secret.log", "assets/image.bin")], "source_path string, entry_path string")
