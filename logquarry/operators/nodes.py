@@ -52,9 +52,12 @@ def _follow(state: DataFrame, name: str) -> DataFrame:
     ``status`` is null while ``up`` still has to be followed.  Settled rows are
     kept aside, so later rounds carry only the open ones.  ``stop`` becomes the
     directory at which a broken branch breaks, or one fixed member of its cycle;
-    ``low`` is the smallest id between a node and its pointer.
+    ``low`` is the smallest id between a node and its pointer.  Both begin as the
+    id where the state does not bring them.  A column ``chain``, an array of what
+    lies between a node and its pointer, grows with the pointer.
     """
-    begun = state.select("*", F.col("id").alias("stop"), F.col("id").alias("low"))
+    begun = state.withColumns({c: F.col("id") for c in ("stop", "low") if c not in state.columns})
+    extra = ["chain"] if "chain" in state.columns else []
     is_open = F.count_if(F.col("status").isNull())
     state, seen = materialize_counting(begun, name, open=is_open)
     open_rows = seen["open"]
@@ -68,6 +71,7 @@ def _follow(state: DataFrame, name: str) -> DataFrame:
             F.col("status").alias("_status"),
             F.col("stop").alias("_stop"),
             F.col("low").alias("_low"),
+            *[F.col(c).alias(f"_{c}") for c in extra],
         )
         broken = F.coalesce(~F.col("_status").isin("ok"), F.lit(False))
         moved = lookup_join(waiting.drop("stop"), above, "up", "left", F.col("id"), n_rows=open_rows).select(
@@ -77,6 +81,7 @@ def _follow(state: DataFrame, name: str) -> DataFrame:
             F.col("_status").alias("status"),
             F.when(broken, F.col("_stop")).otherwise(F.col("id")).alias("stop"),
             F.least("low", "_low").alias("low"),
+            *[F.concat(c, f"_{c}").alias(c) for c in extra],
         )
         state, seen = materialize_counting(settled.unionByName(moved), name, open=is_open)
         left = seen["open"]
@@ -94,20 +99,23 @@ def _name_cycles(state: DataFrame, count: int, name: str) -> DataFrame:
     all the way round its cycle.
     """
     ring = state.where(F.col("status").isNull())
-    links = ring.select("id", "up", "low", F.lit(None).cast("bigint").alias("stop"))
+    extra = ["chain"] if "chain" in state.columns else []
+    links = ring.select("id", "up", "low", F.lit(None).cast("bigint").alias("stop"), *extra)
     changed = 1
     while changed:
-        above = links.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"))
+        above = links.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("low").alias("_low"), *[F.col(c).alias(f"_{c}") for c in extra])
         moved = lookup_join(links, above, "up", "inner", F.col("id"), n_rows=count).select(
             "id",
             F.col("_up").alias("up"),
             F.least("low", "_low").alias("low"),
             F.col("_low").alias("stop"),
             ((F.col("_low") < F.col("low")) | F.col("stop").isNull() | (F.col("stop") != F.col("_low"))).alias("_new"),
+            *[F.array_distinct(F.concat(c, f"_{c}")).alias(c) for c in extra],
         )
         written, seen = materialize_counting(moved, name, changed=F.count_if("_new"))
         links, changed = written.drop("_new"), seen["changed"]
-    cyclic = ring.drop("stop", "status").join(links.select("id", "stop"), "id").withColumn("status", F.lit("cyclic"))
+    named = links.select("id", "stop", *extra)
+    cyclic = ring.drop("stop", "status", *extra).join(named, "id").withColumn("status", F.lit("cyclic"))
     return state.where(F.col("status").isNotNull()).unionByName(cyclic.select(*state.columns))
 
 

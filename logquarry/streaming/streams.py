@@ -16,7 +16,6 @@ from logquarry.functions.classify import passes_filter
 from logquarry.functions.paths import comparable
 from logquarry.operators.changes import (
     is_degraded,
-    journal_delta,
     last_per_key,
     normalize_arrivals,
     normalize_directory_events,
@@ -25,6 +24,7 @@ from logquarry.operators.lines import finish_lines, number_blocks
 from logquarry.operators.roots import is_covered, without_excluded
 from logquarry.operators.search import search
 from logquarry.operators.stability import arrivals
+from logquarry.operators.trees import DIR_CACHE, tree_delta
 from logquarry.sources.files import plain_path
 from logquarry.streaming.tables import BatchTable
 
@@ -136,6 +136,7 @@ def dirty_roots(out: BatchTable) -> Callable[[DataFrame, int], None]:
 
 NODE_LOG = "id bigint, parent_id bigint, name string, attributes int, seq bigint, gone boolean"
 FILE_LOG = "id bigint, path string, gone boolean"
+DIR_LOG = f"{DIR_CACHE}, gone boolean"
 
 
 def live_nodes(log: BatchTable, before: int | None = None) -> DataFrame:
@@ -151,18 +152,21 @@ def live_files(log: BatchTable, before: int | None = None) -> DataFrame:
 
 
 def journal_updates(
-    nodes: BatchTable, files: BatchTable, root: str, exclusions: Sequence[str] = ()
+    nodes: BatchTable, dirs: BatchTable, files: BatchTable, root: str, exclusions: Sequence[str] = ()
 ) -> Callable[[DataFrame, int], None]:
-    """Handler: keep nodes and files current from journal records.
+    """Handler: keep nodes, the directory cache and files current from journal records.
 
-    Only what a batch changes is written.  A batch starts from the state of the
-    batches before it, so replaying it writes the same rows again.
+    Only what a batch touches is resolved and written.  A batch starts from the
+    state of the batches before it, so replaying it writes the same rows again.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        before = live_nodes(nodes, batch_id)
-        node_rows, file_rows = journal_delta(before, batch, root, list(exclusions))
+        for table in (nodes, dirs):
+            table.fold(["id"], batch_id)
+        before, cache = (t.state(["id"], batch_id).where(~F.col("gone")).drop("gone") for t in (nodes, dirs))
+        node_rows, dir_rows, file_rows = tree_delta(before, cache, batch, root, list(exclusions))
         files.write(file_rows, batch_id)
+        dirs.write(dir_rows, batch_id)
         nodes.write(node_rows, batch_id)
 
     return handle
