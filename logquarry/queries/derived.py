@@ -11,17 +11,20 @@ import gzip
 import io
 import lzma
 import tarfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.plans import views
-from logquarry.session import spread
+from logquarry.session import materialize, ship_package, spread, work_path
 from logquarry.sources import archives as A
+from logquarry.sources.files import listing, plain_path
 
 IMAGE = bytes([0, 1, 2, 3])
 PACKED = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("content", pa.binary())])
@@ -117,6 +120,36 @@ def packed_files(spark, sf: str, formats: list[str]) -> DataFrame:
     return A.stored(_packed(docs, lambda doc_id, text: _pack_one(formats[doc_id % len(formats)], doc_id, text)))
 
 
+def wide_text_files(spark, sf: str, per_file: int) -> DataFrame:
+    """``path, size, modified`` of UTF-16 files, with a byte order mark, of so many documents each."""
+    folder = work_path(spark, "wide_files")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, current, out = [], None, None
+        for batch in batches:
+            for bucket, text in zip(batch.column("bucket").to_pylist(), batch.column("text").to_pylist()):
+                if bucket != current:
+                    if out:
+                        out.close()
+                    current = bucket
+                    paths.append(f"{folder}/bucket={bucket}/{uuid.uuid4().hex}.log")
+                    store, inside = fs.FileSystem.from_uri(paths[-1])
+                    store.create_dir(inside.rpartition("/")[0], recursive=True)
+                    out = store.open_output_stream(inside)
+                    out.write(b"\xff\xfe")
+                out.write(f"{text}\n".encode("utf-16-le"))
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    docs = views.table(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / per_file).alias("bucket"))
+    ordered = docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "text")
+    ship_package(spark)
+    written = materialize(ordered.mapInArrow(write, "path string"), "wide_paths")
+    # Only files that the table names: a task that ran twice leaves others.
+    return listing(spark, [folder]).join(written.select(plain_path(F.col("path")).alias("path")), "path", "left_semi")
+
+
 def _tar_header(doc_id: int, text: str) -> tuple[str, bytes]:
     kind = doc_id % 4
     if kind == 3:

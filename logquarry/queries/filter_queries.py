@@ -13,7 +13,9 @@ from logquarry.queries import derived as P
 from logquarry.queries.derived import tar_headers, zip_listing
 from logquarry.queries.path_queries import EXCLUSIONS
 from logquarry.queries.registry import query
+from logquarry.session import work_path
 from logquarry.sources import archives as A
+from logquarry.sources.postings import Postings
 from logquarry.sources.textlines import split_by_limit
 
 C = F.col
@@ -172,6 +174,29 @@ def no_tokens(spark, sf):
     return out
 
 
+def _posted(spark, sf):
+    """The catalog, and its posting lists: a base without some rows and with some that are gone, then a delta."""
+    rows = views.catalog(spark, sf)
+    lists = Postings(spark, work_path(spark, "postings"), rows.schema)
+    older = rows.where(C("doc_id") % 3 != 0).withColumn("name", F.when(C("doc_id") % 7 == 0, "old.tar.gz").otherwise(C("name")))
+    stray = older.where(C("doc_id") % 5 == 0).withColumn("path", F.concat("path", F.lit(".gone")))
+    lists.build(older.unionByName(stray), 0)
+    lists.add(rows.where((C("doc_id") % 3 == 0) | (C("doc_id") % 7 == 0)), stray.select("path"), 1)
+    return rows, lists
+
+
+@query("flt_15_posting_lists", rf"""WITH {D.CATALOG} SELECT doc_id, name FROM catalog WHERE doc_id % 10 = 1""")
+def posting_lists(spark, sf):
+    rows, lists = _posted(spark, sf)
+    return lists.matching("doc.tar gz", None, rows).select("doc_id", "name")
+
+
+@query("jn_07_posted_grams", rf"""WITH {D.CATALOG} SELECT doc_id, path FROM catalog WHERE contains(path, 'src11/en')""")
+def posted_grams(spark, sf):
+    rows, lists = _posted(spark, sf)
+    return lists.matching("src11/en", None, rows).select("doc_id", "path")
+
+
 @query("flt_16_search_choice", rf"""WITH {D.CATALOG}
 SELECT doc_id FROM catalog WHERE contains(path, '/data/src7/') AND doc_id % 10 IN (7, 8, 9)
 UNION ALL SELECT doc_id FROM catalog WHERE doc_id % 10 = 0""")

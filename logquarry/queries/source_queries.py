@@ -15,6 +15,7 @@ from logquarry.queries.registry import query
 from logquarry.session import materialize, work_path
 from logquarry.sources import archives as A
 from logquarry.sources import files as FS
+from logquarry.sources import lineindex as X
 from logquarry.sources import textlines as T
 from logquarry.sources.snapshots import Snapshots, usable
 
@@ -80,12 +81,39 @@ def text_lines(spark, sf):
     return _bucketed(lines).select("bucket", "line_no", "content", "raw_len", "truncated")
 
 
+@query("sr_06_indexed_range", rf"""WITH {FILE_ROWS}
+SELECT bucket, line_no, content, raw_len FROM file_rows WHERE line_no BETWEEN 301 AND 500""")
+def indexed_range(spark, sf):
+    """200 lines of every file, read through the stored line index."""
+    index = X.index_lines(spark, written_lines(spark, sf), every=100)
+    return _bucketed(X.indexed_range(index, 300, 200)).select("bucket", "line_no", "content", "raw_len")
+
+
+@query("wn_02_indexed_spans", rf"""WITH {FILE_ROWS}, starts AS (
+ SELECT bucket, line_no, raw_len, count(*) OVER (PARTITION BY bucket) AS n_lines,
+  coalesce(sum(raw_len) OVER (PARTITION BY bucket ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_start FROM file_rows)
+SELECT bucket, line_no - 1 AS line, CAST(byte_start AS BIGINT) AS byte_start, n_lines FROM starts WHERE (line_no - 1) % 100 = 0""")
+def indexed_spans(spark, sf):
+    """Where every hundredth line of every file begins."""
+    index = X.index_lines(spark, written_lines(spark, sf), every=100, span_bytes=1 << 30, range_bytes=1 << 30)
+    return _bucketed(index.where("lines > 0")).select("bucket", "line", C("offset").alias("byte_start"), "n_lines")
+
+
+@query("fn_05_wide_lines", rf"""WITH {FILE_ROWS} SELECT bucket, line_no, content FROM file_rows""")
+def wide_lines(spark, sf):
+    """Documents written as UTF-16 files, read in many splits."""
+    files = P.wide_text_files(spark, sf, DOCS_PER_FILE)
+    index = materialize(X.index_files(files, range_bytes=1 << 16, span_bytes=1 << 14), "wide_index")
+    return _bucketed(X.indexed_lines(index)).select("bucket", "line_no", "content")
+
+
 @query("src_01_scan", f"""SELECT doc_id // {DOCS_PER_FILE} AS bucket, true AS is_log, false AS is_archive,
  CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size, true AS has_mtime FROM documents WHERE doc_id // {DOCS_PER_FILE} <> 1 GROUP BY ALL""")
 def scan(spark, sf):
     """Files written from the documents, but for those below an excluded directory."""
     folder = written_lines(spark, sf)
-    rows = _bucketed(FS.scan(spark, [folder], [f"{folder}/bucket=1"]))
+    # Spark's own files begin with a dot or an underscore.
+    rows = _bucketed(FS.scan(spark, [folder], [f"{folder}/bucket=1"]).where(~C("name").rlike("^[._]")))
     return rows.select("bucket", "is_log", "is_archive", "size", (C("modified_ms") > 0).alias("has_mtime"))
 
 
@@ -155,10 +183,17 @@ def nested_entries(spark, sf):
 @query("src_10_nested_lines", rf"""WITH {D.LINES}
 SELECT doc_id, 'nested/diag.tar' AS chain, 'logs/server.log' AS entry_path, line_no, content FROM file_lines
 UNION ALL SELECT doc_id, 'deeper.tar.gz::inner.zip', 'inside.log', 1, 'inside' FROM documents
-UNION ALL SELECT doc_id, '', 'top.log', 1, 'top' FROM documents""")
+UNION ALL SELECT doc_id, '', 'top.log', 1, 'top' FROM documents
+UNION ALL SELECT doc_id, 'fake.tar', 'none', -1, 'entry content is not an archive' FROM documents""")
 def nested_lines(spark, sf):
-    lines = A.nested_lines(nested_files(spark, sf)).where("error IS NULL")
-    return lines.select(doc_number().alias("doc_id"), F.array_join("chain", "::").alias("chain"), "entry_path", "line_no", "content")
+    lines = A.nested_lines(nested_files(spark, sf))
+    return lines.select(
+        doc_number().alias("doc_id"),
+        F.array_join("chain", "::").alias("chain"),
+        F.coalesce("entry_path", F.lit("none")).alias("entry_path"),
+        F.coalesce("line_no", F.lit(-1)).alias("line_no"),
+        F.coalesce("content", "error").alias("content"),
+    )
 
 
 @query("jn_14_open_nested_entry", rf"""WITH {D.LINES} SELECT doc_id, line_no, content FROM file_lines""")

@@ -216,12 +216,14 @@ tree(id, path) AS (SELECT id, '' FROM fdirs WHERE id <> 5 AND id = parent_id UNI
 SELECT f.id, 'C:'||t.path||'\'||f.name AS path FROM final f JOIN tree t ON f.parent_id = t.id WHERE f.attributes & 16 = 0""")
 def apply_journal(spark, sf):
     from logquarry.operators.nodes import resolve_files
+    from logquarry.operators.trees import directory_cache
 
     first = views.user_nodes(spark, sf)
     nodes = _table(spark, "nodes", ST.NODE_LOG, first.withColumn("gone", F.lit(False)))
+    dirs = _table(spark, "dirs", ST.DIR_LOG, directory_cache(first).withColumn("gone", F.lit(False)))
     begun = resolve_files(first, "C:").entries.select("id", "path", F.lit(False).alias("gone"))
     files = _table(spark, "files", ST.FILE_LOG, begun)
-    play_batches(spark, views.journal(spark, sf), "journal", ST.journal_updates(nodes, files, "C:"))
+    play_batches(spark, views.journal(spark, sf), "journal", ST.journal_updates(nodes, dirs, files, "C:"))
     return ST.live_files(files)
 
 
