@@ -7,6 +7,8 @@ and written like any other table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from logquarry.operators import search as search_ops
 from logquarry.operators.changes import revision, upsert
 from logquarry.operators.roots import Roots, is_covered, refreshed_rows, without_excluded
 from logquarry.operators.search import SearchResult, with_search_columns
-from logquarry.sources import archives, files, textlines
+from logquarry.sources import archives, files, lineindex, textlines
+from logquarry.sources.postings import Postings
 from logquarry.sources.snapshots import Snapshots
 
 CATALOG_SCHEMA = (
@@ -69,10 +72,27 @@ def catalog_status(catalog: DataFrame) -> DataFrame:
 
 
 def search(
-    catalog: DataFrame, query: str, filter_name: str | None = None, offset: int = 0, limit: int = 200, partial: bool = False
+    catalog: DataFrame, query: str, filter_name: str | None = None, offset: int = 0, limit: int = 200, partial: bool = False,
+    postings: Postings | None = None,
 ) -> SearchResult:
-    """One ranked page of files and the exact total."""
-    return search_ops.search(catalog, query, filter_name, offset, limit, partial)
+    """One ranked page of files and the exact total, through the stored posting lists where they are given."""
+    return search_ops.search(catalog, query, filter_name, offset, limit, partial, postings=postings)
+
+
+def build_postings(store: Snapshots, path: str) -> Postings:
+    """The posting lists of the live catalog, stored below ``path``."""
+    lists = Postings(store.spark, path, store.schema)
+    lists.build(store.read(), store.version() or 0)
+    return lists
+
+
+def update_postings(store: Snapshots, lists: Postings, since: int) -> None:
+    """Add what changed in the catalog since version ``since`` to its posting lists, as a delta."""
+    old, new = store.read(since), store.read()
+    same = [F.col(f"_o.{c}").eqNullSafe(F.col(f"_n.{c}")) for c in store.schema.names]
+    both = old.select("path", F.struct(*old.columns).alias("_o")).join(new.select("path", F.struct(*new.columns).alias("_n")), "path", "full")
+    both = both.where(F.col("_o").isNull() | F.col("_n").isNull() | ~reduce(and_, same))
+    lists.add(both.where("_n IS NOT NULL").select("_n.*"), both.where("_n IS NULL").select("path"), store.version() or 0)
 
 
 def inventory(catalog: DataFrame, directory: str) -> DataFrame:
@@ -98,14 +118,24 @@ def entry_lines(
 
 
 def lines(spark: SparkSession, paths, charset: str | None = None, splittable: bool = True) -> DataFrame:
-    """Numbered lines of text files.
+    """Numbered lines of text files of any size: ``path, line_no, raw_len, content, truncated``.
 
-    Either way each file gets a charset of its own when none is given; UTF-16
-    needs whole-file reading.
+    Either way each file gets a charset of its own when none is given.  UTF-16 needs
+    ``splittable=False``: its lines are found by an index, which is made first.
     """
     if splittable:
         return textlines.read_lines(spark, paths, charset)
-    return textlines.read_whole_files(spark, paths, charset)[0]
+    return lineindex.indexed_lines(lineindex.index_lines(spark, paths, charset=charset))
+
+
+def index_lines(spark: SparkSession, paths, folder: str | None = None, charset: str | None = None) -> DataFrame:
+    """The stored line index of text files, for :func:`indexed_range`."""
+    return lineindex.index_lines(spark, paths, folder, charset=charset)
+
+
+def indexed_range(index: DataFrame, start: int, count: int, path: str | None = None) -> DataFrame:
+    """Lines ``start + 1`` to ``start + count`` in order, of one indexed file or of each; only their bytes are read."""
+    return lineindex.indexed_range(index, start, count, path).orderBy("path", "line_no")
 
 
 def read_lines(table: DataFrame, start: int, count: int) -> DataFrame:

