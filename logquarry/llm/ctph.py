@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from logquarry.llm.common import materialize, rows_of, ship_package, text_or_empty
+from logquarry.llm.common import materialize, quoted, rows_of, ship_package, text_or_empty
 
 MOST = 64
 SIZES = 3
@@ -140,9 +140,9 @@ def likeness_column(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
-    """``docs`` with the fingerprint of the whole text."""
+    """``docs`` with the fingerprint of the whole text in ``out_col``, whose place it takes where there is one."""
     ship_package(docs.sparkSession)
-    return docs.withColumn(out_col, fingerprint_column(F.col(text_col)))
+    return docs.withColumn(out_col, fingerprint_column(quoted(text_col)))
 
 
 def edited(text: str, following: str) -> str:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import ascii_words, connected_components, materialize, ship_package
+from logquarry.llm.common import ascii_words, connected_components, fresh, materialize, quoted, ship_package
 
 BITS = 64
 SEED = 42
@@ -203,5 +203,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     All columns are kept as they are.
     """
     found = simhash_components(docs, id_col, text_col, **options)
-    copies = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_copy_id")).distinct()
-    return docs.join(copies, docs[id_col] == copies["_copy_id"], "left_anti")
+    own = fresh(docs, "_copy_id")
+    copies = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(own)).distinct()
+    return docs.join(copies, quoted(id_col) == quoted(own), "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import rows_of, ship_package, text_or_empty
+from logquarry.llm.common import fresh, quoted, rows_of, ship_package, text_or_empty
 
 # Words hashed at once: bounds memory for very long texts.
 BLOCK_WORDS = 65_536
@@ -128,7 +128,10 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1; a text without words gets the model's base rate."""
+    """``docs`` with the probability of label 1 in ``score_col``, whose place it takes where there is one.
+
+    A text without words gets the model's base rate.
+    """
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -145,7 +148,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
         return pd.Series([one(text) for text in texts], dtype="float64")
 
-    return docs.withColumn(score_col, of(F.col(text_col)))
+    return docs.withColumn(score_col, of(quoted(text_col)))
 
 
 def held_out(id_col: str):
@@ -172,7 +175,7 @@ def toxicity_model(
     usable = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).distinct()
     usable = usable.withColumn("_order", F.xxhash64("_id"))
     sample = F.broadcast(usable.orderBy("_order", "_id", "_label").limit(max_rows))  # small rows of a bounded number
-    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    texts = docs.select(quoted(id_col).alias("_id"), text_or_empty(quoted(text_col)).alias("_text"))
     return fit(texts.join(sample, "_id"), "_text", "_label", "_order", **options)
 
 
@@ -212,4 +215,5 @@ def drop_toxic(
 ) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns are kept as they are."""
     model = toxicity_model(docs, labels, id_col, text_col, label_col, **options)
-    return score(docs, model, text_col, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    own = fresh(docs, "_toxicity")
+    return score(docs, model, text_col, own).where(quoted(own) < threshold).drop(quoted(own))
