@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from corpora import documents, odd_rows  # noqa: F401
 from logquarry.llm.queries import ORACLES, QUERIES
 
 TABLES = "documents pages benchmark labels conversations"
@@ -35,12 +36,12 @@ def test_query_matches_sql(spark, duck, sf, name):
 
 def test_pipeline_against_brute_force(spark, sf, tmp_path, monkeypatch):
     import public_tokenizers
-    from test_decontaminate import plain as leaks
     import test_linedup
+    from test_decontaminate import words
+    from test_overlaps import plain_at_once
+    from test_similar import groups
     from logquarry.llm.linedup import within_one_edit
     from test_packing import check
-    from test_simhash import groups
-    from test_simhash import plain as simhash
     from tokenizers import Tokenizer
 
     from logquarry.llm.queries import table
@@ -62,14 +63,32 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path, monkeypatch):
     assert {r.doc_id: r.text for r in steps[1]} == {i: t for i, (t, _) in expected.items()}
     assert all(r.n_chars == len(r.text) for r in steps[1])
     rows = sorted(steps[1], key=lambda r: r.doc_id)
-    roots = groups([simhash(r.text) for r in rows])
+    # Exact Jaccard similarity of all pairs, then every window of every item at every place.
+    roots = groups([r.text for r in rows])
     assert {r.doc_id for r in steps[2]} == {rows[i].doc_id for i in set(roots)}
-    bench = [tuple(r) for r in table(spark, sf, "benchmark").select("item_id", "text").collect()]
-    leaked = {r[0] for r in leaks([(r.doc_id, r.text) for r in steps[2]], bench)}
+    bench = [words(r.text) for r in table(spark, sf, "benchmark").collect()]
+    leaked = {r.doc_id for r in steps[2] if any(plain_at_once(words(r.text), item) for item in bench)}
     assert leaked and {r.doc_id for r in steps[3]} == {r.doc_id for r in steps[2]} - leaked
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     check(steps[4], [(r.doc_id, r.text) for r in steps[3]], whole, 1024, 1024, 1024**2)
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).drop("ids", "sequence_id", "offset").collect())) == sorted(
         (r.doc_id, r.piece, r.start, r.length) for r in steps[4]
     )
+
+
+def test_pipeline_on_odd_rows_and_empty_tables(spark, documents, odd_rows, tmp_path, monkeypatch):
+    """Nulls, empty and long texts, ties and repeated rows through all stages, and tables without rows."""
+    labels = spark.createDataFrame([(5, 1, 0), (6, 1, 0), (7, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "no such passage of words in any text here"), (2, None), (None, "")], "item_id long, text string")
+    for number, (rows, given) in enumerate((([*odd_rows, (20, "only\nlines\n"), (21, "a b")], (labels, bench)), ([], (labels, bench)), (odd_rows, (labels.limit(0), bench.limit(0))))):
+        folder = tmp_path / str(number)
+        for name, df in (("documents", documents(rows)), ("labels", given[0]), ("benchmark", given[1])):
+            df.write.parquet(f"{folder}/{name}.parquet")
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        if not rows:
+            assert out == []
+            continue
+        kept = {r.doc_id for r in out}
+        # One of the equal texts, one of the wordless ones, the long one, and rows without an id.
+        assert {None, 4, 7, 8, -10} <= kept and not {6, 9} & kept and len({1, 2, 3} & kept) <= 1
+        assert all(r.length <= 1024 for r in out)
