@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.session import materialize, materialize_counting, ship_package
+from logquarry import session
+from logquarry.session import materialize, materialize_counting
 
 __all__ = [
     "FILTER_BITS",
@@ -36,6 +37,19 @@ FILTER_BITS = 1 << 27
 PIECE_BITS = 8 * 4096
 
 
+# Bytes of an Arrow batch of texts: the JVM and each Python worker hold a few of them at once.
+BATCH_BYTES = 4 << 20
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python tasks, and keep the batches of texts that they get small."""
+    session.ship_package(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    value = spark.conf.get(name).removesuffix("b")
+    if not value.isdigit() or int(value) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def quoted(name: str) -> Column:
     """The column of this name, whatever characters it has."""
     return F.col(f"`{name.replace('`', '``')}`")
