@@ -7,6 +7,7 @@ an Arrow map over the whole table and its cost grows with it.
 from __future__ import annotations
 
 import bz2
+import functools
 import gzip
 import io
 import lzma
@@ -14,6 +15,7 @@ import tarfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import closing
 
 import pyarrow as pa
 import zstandard
@@ -22,13 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.plans import views
-from logquarry.session import materialize, ship_package, spread, work_path
+from logquarry.session import materialize, ship_package, spread_rows, work_path
 from logquarry.sources import archives as A
+from logquarry.sources.decoders import Pack
 from logquarry.sources.files import listing, plain_path
 
 IMAGE = bytes([0, 1, 2, 3])
 PACKED = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("content", pa.binary())])
 PACKED_SQL = "doc_id bigint, path string, content binary"
+STORED = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("place", pa.string())])
+STORED_SQL = "doc_id bigint, path string, place string"
+DOCS_PER_TASK = 4_000
 SQUEEZE = {
     "gz": lambda data: gzip.compress(data, 1, mtime=0),
     "bz2": lambda data: bz2.compress(data, 1),
@@ -80,15 +86,50 @@ def members_of(doc_id: int, text: str) -> dict[str, bytes]:
     return {f"logs/doc-{doc_id}.log": body, "assets/image.bin": IMAGE, "日志/服务.txt": b"one\ntwo\n"}
 
 
+def _packing(docs: DataFrame) -> DataFrame:
+    """Documents dealt for packing, which costs far more than reading them."""
+    A.bound_batches(docs.sparkSession)
+    return spread_rows(docs.select("doc_id", "text"), DOCS_PER_TASK, "doc_id")
+
+
+def _rows(batches: Iterator[pa.RecordBatch], pack) -> Iterator[tuple[int, str, bytes]]:
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+            yield doc_id.as_py(), *pack(doc_id.as_py(), text.as_py())
+
+
 def _packed(docs: DataFrame, pack) -> DataFrame:
+    """``doc_id, path, content``, in batches of bounded size."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), PACKED)], schema=PACKED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-            rows = [(doc_id, *pack(doc_id, text)) for doc_id, text in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), PACKED)], schema=PACKED)
+        rows, weight = [], 0
+        for row in _rows(batches, pack):
+            rows.append(row)
+            weight += len(row[2])
+            if weight >= A.OUT_BYTES:
+                yield batch_of(rows)
+                rows, weight = [], 0
+        if rows:
+            yield batch_of(rows)
 
-    A.bound_batches(docs.sparkSession)
-    return spread(docs.select("doc_id", "text"), "doc_id").mapInArrow(run, PACKED_SQL)
+    return _packing(docs).mapInArrow(run, PACKED_SQL)
+
+
+def _stored(docs: DataFrame, pack) -> DataFrame:
+    """``doc_id, path, place``: containers are stored by the task that packs them, and dealt again to be read."""
+    folder = work_path(docs.sparkSession, "containers")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with closing(Pack(folder)) as kept:
+            for batch in batches:
+                rows = [(i, path, kept.save(io.BytesIO(data))[0]) for i, path, data in _rows([batch], pack)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), STORED)], schema=STORED)
+
+    stored = materialize(_packing(docs).mapInArrow(run, STORED_SQL), "stored")
+    return spread_rows(stored, A.CONTAINERS_PER_TASK, "place")
 
 
 ZIPS = ["zip"]
@@ -117,7 +158,7 @@ def _pack_one(fmt: str, doc_id: int, text: str) -> tuple[str, bytes]:
 def packed_files(spark, sf: str, formats: list[str]) -> DataFrame:
     """``doc_id, path, place``: every document packed and stored, the formats in turn."""
     docs = views.table(spark, sf, "documents")
-    return A.stored(_packed(docs, lambda doc_id, text: _pack_one(formats[doc_id % len(formats)], doc_id, text)))
+    return _stored(docs, lambda doc_id, text: _pack_one(formats[doc_id % len(formats)], doc_id, text))
 
 
 def wide_text_files(spark, sf: str, per_file: int) -> DataFrame:
@@ -173,15 +214,20 @@ def zip_listing(spark, sf: str) -> DataFrame:
     return listed.withColumn("doc_id", F.regexp_extract("source_path", r"(\d+)", 1).cast("bigint"))
 
 
+@functools.cache
+def _deeper() -> bytes:
+    """A ZIP within a tar.gz, the same for every document."""
+    inner = make_zip({"inside.log": b"inside\n"}, False)
+    return SQUEEZE["gz"](make_tar({"inner.zip": inner}, False))
+
+
 def _nested(doc_id: int, text: str) -> tuple[str, bytes]:
     """A ZIP holding a TAR, a ZIP within a tar.gz, and text posing as a TAR."""
     server = make_tar({"logs/server.log": text.encode()}, False)
-    inner = make_zip({"inside.log": b"inside\n"}, False)
-    deeper = SQUEEZE["gz"](make_tar({"inner.zip": inner}, False))
-    members = {"nested/diag.tar": server, "deeper.tar.gz": deeper, "fake.tar": b"only text", "top.log": b"top\n"}
+    members = {"nested/diag.tar": server, "deeper.tar.gz": _deeper(), "fake.tar": b"only text", "top.log": b"top\n"}
     return f"/drop/outer-{doc_id}.zip", make_zip(members, False)
 
 
 def nested_files(spark, sf: str) -> DataFrame:
     """``doc_id, path, place``: one nest of containers per document."""
-    return A.stored(_packed(views.table(spark, sf, "documents"), _nested))
+    return _stored(views.table(spark, sf, "documents"), _nested)

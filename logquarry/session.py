@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+# A shuffle into more tasks costs more than it spreads; beyond them tasks get larger.
+MAX_TASKS = 20_000
 # Applications that hold this package already.
 _SHIPPED: set[str] = set()
 # The folders of local sessions without a setting, by application.
@@ -94,3 +96,14 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
+def spread_rows(table: DataFrame, per_task: int, *keys: str) -> DataFrame:
+    """Deal rows of a stored table that are costly work, each, to tasks of about ``per_task``, at least one a core.
+
+    The number is set by a count, because rows that only name their work are small: by
+    their bytes a scan or adaptive execution would give millions of them to a few tasks.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    tasks = min(max(cores, -(-table.count() // per_task)), MAX_TASKS)
+    return table.repartition(tasks, *keys).sortWithinPartitions(*keys)

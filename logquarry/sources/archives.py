@@ -11,11 +11,10 @@ containers does not stay in one task.
 from __future__ import annotations
 
 import io
-import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import closing, nullcontext
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,28 +26,30 @@ from logquarry.functions.classify import (
     is_log_name,
     is_safe_entry,
     is_text_sample,
-    stream_compression,
 )
 from logquarry.functions.paths import file_name
 from logquarry.functions.text import decode_bytes, lenient_charsets, strip_bom, strip_line_end
 from logquarry.operators.lines import line_pieces
-from logquarry.session import materialize, ship_package, spread, work_path
+from logquarry.session import materialize, ship_package, spread, spread_rows, work_path
 from logquarry.sources.decoders import (
+    Pack,
     entries_of,
-    first_bytes,
+    heads_of,
     is_regular_member,
     line_chunks,
     open_member,
     open_place,
     sample_charset,
-    save_place,
-    stream_head,
     zip_members,
 )
 from logquarry.sources.files import plain_path
 
-BATCH_BYTES = 64 * 1024 * 1024
-OUT_ROWS, OUT_BYTES = 10_000, 8 * 1024 * 1024
+# Python tasks hold a few batches of this size at once.
+BATCH_BYTES = 4 * 1024 * 1024
+OUT_ROWS, OUT_BYTES = 2_000, 2 * 1024 * 1024
+HEAD_ROWS = 256
+# Containers, or entries of one, that a task opens.
+CONTAINERS_PER_TASK = 2_000
 
 KEYS = "source_path string, chain array<string>, decoded bigint"
 ENTRY_SCHEMA = f"{KEYS}, entry_path string, size bigint, regular boolean, encrypted boolean, text boolean, error string"
@@ -80,52 +81,39 @@ def stored(files: DataFrame, content: str = "content") -> DataFrame:
     kept = [c for c in files.columns if c != content]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = [f"{folder}/{uuid.uuid4().hex}" for _ in range(batch.num_rows)]
-            column = batch.column(batch.schema.get_field_index(content))
-            for place, data in zip(places, column):
-                save_place(place, io.BytesIO(data.as_py() or b""), 2**62)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(places, pa.string())], [*kept, "place"])
+        with closing(Pack(folder)) as pack:
+            for batch in batches:
+                column = batch.column(batch.schema.get_field_index(content))
+                places = [pack.save(io.BytesIO(data.as_py() or b""))[0] for data in column]
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(places, pa.string())], [*kept, "place"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in files.dtypes if c != content) + ", place string"
-    return materialize(files.mapInArrow(run, schema), "stored")
-
-
-def file_head(place: Column) -> Column:
-    """The first bytes of a stored file."""
-
-    @F.pandas_udf("binary")
-    def head(places: pd.Series) -> pd.Series:
-        return pd.Series([first_bytes(p, SAMPLE_BYTES) for p in places], dtype=object)
-
-    return head(place)
-
+    return spread_rows(materialize(files.mapInArrow(run, schema), "stored"), CONTAINERS_PER_TASK, "place")
 
-def decoded_head(place: Column, compression: Column) -> Column:
-    """First 512 decompressed bytes of a compressed stream, null for others."""
 
-    def one(place: str, how: str | None) -> bytes | None:
-        if how is None:
-            return None
-        with open_place(place) as file:
-            return stream_head(file, how)
+def _with_heads(files: DataFrame) -> DataFrame:
+    """Add ``head``, the first bytes of the file at ``place``, and ``_inner``, the first decompressed ones of a compressed stream."""
 
-    @F.pandas_udf("binary")
-    def head(places: pd.Series, how: pd.Series) -> pd.Series:
-        return pd.Series([one(p, h) for p, h in zip(places, how)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, HEAD_ROWS):
+                part = batch.slice(start, HEAD_ROWS)
+                places = part.column(part.schema.get_field_index("place"))
+                heads, inner = zip(*[heads_of(place.as_py(), SAMPLE_BYTES) for place in places])
+                names = [*part.schema.names, "head", "_inner"]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heads, pa.binary()), pa.array(inner, pa.binary())], names)
 
-    return head(place, compression)
+    schema = ", ".join(f"`{c}` {t}" for c, t in files.dtypes) + ", head binary, _inner binary"
+    return files.mapInArrow(run, schema)
 
 
 def with_format(files: DataFrame, name: Column | None = None) -> DataFrame:
     """Add ``head``, the first bytes of the file at ``place``, and ``format`` by what they are."""
     bound_batches(files.sparkSession)
     name = file_name(F.col("path")) if name is None else name
-    headed = files.withColumn("head", file_head(F.col("place")))
     lead = F.substring(F.col("head"), 1, 512)
-    opened = headed.withColumn("_how", stream_compression(lead)).withColumn("_head", decoded_head(F.col("place"), F.col("_how")))
-    return opened.withColumn("format", detect_format(lead, name, F.col("_head"))).drop("_how", "_head")
+    return _with_heads(files).withColumn("format", detect_format(lead, name, F.col("_inner"))).drop("_inner")
 
 
 def start_level(files: DataFrame) -> DataFrame:
@@ -141,20 +129,24 @@ def start_level(files: DataFrame) -> DataFrame:
     )
 
 
-def _expand(level: DataFrame, schema: str, visit: Callable, names: list[str]) -> DataFrame:
-    """Run ``visit(row) -> rows`` over containers, emitting bounded batches."""
+def _expand(level: DataFrame, schema: str, visit: Callable, names: list[str], folder: str | None = None) -> DataFrame:
+    """Run ``visit(row) -> rows`` over containers, emitting bounded batches.
+
+    With a ``folder`` it is ``visit(row, pack)``, and each task keeps streams in a pack there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, weight, types = [], 0, _arrow_types(names)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                for out in visit(row):
-                    pending.append(out)
-                    weight += sum(len(v) for v in out if isinstance(v, (bytes, str)))
-                    if len(pending) >= OUT_ROWS or weight >= OUT_BYTES:
-                        yield _to_batch(pending, types)
-                        pending, weight = [], 0
+        with closing(Pack(folder)) if folder else nullcontext() as pack:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                    for out in visit(row, pack) if folder else visit(row):
+                        pending.append(out)
+                        weight += sum(len(v) for v in out if isinstance(v, (bytes, str)))
+                        if len(pending) >= OUT_ROWS or weight >= OUT_BYTES:
+                            yield _to_batch(pending, types)
+                            pending, weight = [], 0
         if pending:
             yield _to_batch(pending, types)
 
@@ -239,9 +231,6 @@ def line_work(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), name: s
 
     def visit(row: dict) -> Iterator[tuple]:
         key = (row["source_path"], row["chain"], row["decoded"], row["name"], row["format"], row["place"])
-        if row["format"] != "zip":
-            yield (*key, *[None] * 7)
-            return
         listed = []
         try:
             with open_place(row["place"]) as file:
@@ -252,10 +241,10 @@ def line_work(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), name: s
         except Exception as error:
             yield (*key, *[None] * 6, str(error))
 
-    rows = _expand(level.drop("head"), WORK_SCHEMA, visit, _names(WORK_SCHEMA))
-    spark = level.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(tasks, "place", "offset")
+    zips = _expand(level.where(F.col("format") == "zip").drop("head"), WORK_SCHEMA, visit, _names(WORK_SCHEMA))
+    whole = level.where(F.col("format") != "zip").select(*[F.col(c) if c in level.columns else F.lit(None).cast(zips.schema[c].dataType).alias(c) for c in zips.columns])
+    rows = materialize(zips.unionByName(whole), "line_work")
+    return spread_rows(rows, CONTAINERS_PER_TASK, "place", "offset")
 
 
 def entry_lines(
@@ -324,7 +313,7 @@ def survey(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), only: str
     suffixes = tuple(suffix for suffix, _ in ARCHIVE_SUFFIXES)
     folder = work_path(level.sparkSession, "inner")
 
-    def visit(row: dict) -> Iterator[tuple]:
+    def visit(row: dict, pack: Pack) -> Iterator[tuple]:
         chain, decoded = row["chain"], row["decoded"]
         key, listed = (row["source_path"], chain, decoded), []
         try:
@@ -332,10 +321,9 @@ def survey(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), only: str
                 place = size = None
                 holds = row["format"] != "plain" and entry.name.lower().endswith(suffixes)
                 if holds and entry.regular and not entry.encrypted and only in (None, entry.name):
-                    place = f"{folder}/{uuid.uuid4().hex}"
-                    size = save_place(place, entry.open(), limits.max_decoded_bytes - decoded)
+                    place, size = pack.save(entry.open(), limits.max_decoded_bytes - decoded) or (None, None)
                     if size is None:
-                        place, failed = None, (row["source_path"], [*chain, entry.name], decoded)
+                        failed = (row["source_path"], [*chain, entry.name], decoded)
                         listed.append((*failed, *[None] * 5, "decoded size limit exceeded", None, None))
                 total = None if size is None else decoded + size
                 listed.append((*key, entry.name, entry.size, entry.regular, entry.encrypted, row["text"], None, place, total))
@@ -343,7 +331,7 @@ def survey(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), only: str
         except Exception as error:
             yield (*key, *[None] * 5, str(error), None, None)
 
-    return _expand(_sampled(level), SURVEY_SCHEMA, visit, _names(SURVEY_SCHEMA))
+    return _expand(_sampled(level), SURVEY_SCHEMA, visit, _names(SURVEY_SCHEMA), folder)
 
 
 def _levels(
@@ -372,11 +360,13 @@ def _levels(
         if depth > limits.max_nested_depth:
             errors.append(inner.select("source_path", "chain", F.lit("nested too deep").alias("error")))
             break
-        formatted = materialize(with_format(inner.repartition("source_path", "chain"), F.col("name")), f"heads_{depth}")
+        # What a head tells is the format; heads themselves are needed of outermost plain files alone.
+        headed = with_format(spread_rows(inner, CONTAINERS_PER_TASK, "place"), F.col("name")).drop("head")
+        formatted = materialize(headed, f"heads_{depth}")
         forged = F.col("format") == "plain"
         errors.append(formatted.where(forged).select("source_path", "chain", F.lit("entry content is not an archive").alias("error")))
-        level = formatted.where(~forged).select("source_path", "chain", "decoded", "name", "format", "head", "place")
-        levels.append(level.repartition("source_path", "chain"))
+        level = formatted.where(~forged).select("source_path", "chain", "decoded", "name", "format", F.lit(None).cast("binary").alias("head"), "place")
+        levels.append(spread_rows(level, CONTAINERS_PER_TASK, "place"))
     return levels, surveys, errors
 
 
