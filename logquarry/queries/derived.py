@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.plans import views
-from logquarry.session import materialize, ship_package, spread_rows, work_path
+from logquarry.session import materialize, ship_package, spread_places, spread_rows, work_path
 from logquarry.sources import archives as A
 from logquarry.sources.decoders import Pack
 from logquarry.sources.files import listing, plain_path
@@ -129,7 +129,7 @@ def _stored(docs: DataFrame, pack) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), STORED)], schema=STORED)
 
     stored = materialize(_packing(docs).mapInArrow(run, STORED_SQL), "stored")
-    return spread_rows(stored, A.CONTAINERS_PER_TASK, "place")
+    return spread_places(stored, A.CONTAINERS_PER_TASK, "place")
 
 
 ZIPS = ["zip"]

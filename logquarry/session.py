@@ -107,3 +107,14 @@ def spread_rows(table: DataFrame, per_task: int, *keys: str) -> DataFrame:
     cores = table.sparkSession.sparkContext.defaultParallelism
     tasks = min(max(cores, -(-table.count() // per_task)), MAX_TASKS)
     return table.repartition(tasks, *keys).sortWithinPartitions(*keys)
+
+
+def spread_places(table: DataFrame, per_task: int, *keys: str) -> DataFrame:
+    """:func:`spread_rows` by ranges of the keys, of which the first is a ``place``.
+
+    What lies together in a stored file goes to one task, which reads it from end to end; dealt by
+    hash every task would open every file and read a little of each of its parts.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    tasks = min(max(cores, -(-table.count() // per_task)), MAX_TASKS)
+    return table.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)

@@ -2,15 +2,17 @@
 
 One row per container goes in, naming the place where it is stored; the task
 opens it there as a stream, so a container of any size passes through no table.
-Arrow batches of entries or lines come out as they are decoded.  Nested
-containers are copied to the shared folder and expanded level by level; each
-level is one map, and is spread over the tasks again, so one container full of
-containers does not stay in one task.
+Arrow batches of entries or lines come out as they are decoded.  Small nested
+containers are expanded by the task that meets them, up to a number of bytes for
+each outer one.  All others are copied to the shared folder and expanded level
+by level; each level is one map, and is spread over the tasks again, so one
+container full of containers does not stay in one task.
 """
 
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import closing, nullcontext
 from functools import reduce
@@ -25,20 +27,25 @@ from logquarry.functions.classify import (
     is_archive_name,
     is_log_name,
     is_safe_entry,
-    is_text_sample,
 )
 from logquarry.functions.paths import file_name
 from logquarry.functions.text import decode_bytes, lenient_charsets, strip_bom, strip_line_end
 from logquarry.operators.lines import line_pieces
-from logquarry.session import materialize, ship_package, spread, spread_rows, work_path
+from logquarry.session import materialize, ship_package, spread, spread_places, work_path
 from logquarry.sources.decoders import (
+    SECTION,
+    Entry,
+    OverLimit,
     Pack,
     entries_of,
+    format_of,
     heads_of,
     is_regular_member,
+    is_text,
     line_chunks,
     open_member,
     open_place,
+    read_upto,
     sample_charset,
     zip_members,
 )
@@ -48,13 +55,20 @@ from logquarry.sources.files import plain_path
 BATCH_BYTES = 4 * 1024 * 1024
 OUT_ROWS, OUT_BYTES = 2_000, 2 * 1024 * 1024
 HEAD_ROWS = 256
+SUFFIXES = tuple(suffix for suffix, _ in ARCHIVE_SUFFIXES)
 # Containers, or entries of one, that a task opens.
 CONTAINERS_PER_TASK = 2_000
+# A ZIP up to this size is read by one task, entry by entry.
+WHOLE_BYTES = 1024 * 1024
+# Nested containers that a task expands by itself: the largest, and all within one outer container.
+HELD_BYTES, ROOM_BYTES = 1024 * 1024, 16 * 1024 * 1024
 
 KEYS = "source_path string, chain array<string>, decoded bigint"
 ENTRY_SCHEMA = f"{KEYS}, entry_path string, size bigint, regular boolean, encrypted boolean, text boolean, error string"
 LINE_SCHEMA = f"{KEYS}, entry_path string, charset string, line_no bigint, raw binary, truncated boolean, error string"
+# Behind an entry, or beside the lines, the place of a nested container that is left to the next level.
 SURVEY_SCHEMA = f"{ENTRY_SCHEMA}, place string, total bigint"
+NESTED_SCHEMA = f"{LINE_SCHEMA}, place string, total bigint"
 #: What one task reads: an entry of a ZIP by its place in the file, or, without one, a whole container.
 WORK_SCHEMA = f"{KEYS}, name string, format string, place string, entry_path string, size bigint, offset bigint, packed bigint, crc bigint, method bigint, error string"
 
@@ -89,7 +103,7 @@ def stored(files: DataFrame, content: str = "content") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(places, pa.string())], [*kept, "place"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in files.dtypes if c != content) + ", place string"
-    return spread_rows(materialize(files.mapInArrow(run, schema), "stored"), CONTAINERS_PER_TASK, "place")
+    return spread_places(materialize(files.mapInArrow(run, schema), "stored"), CONTAINERS_PER_TASK, "place")
 
 
 def _with_heads(files: DataFrame) -> DataFrame:
@@ -117,14 +131,13 @@ def with_format(files: DataFrame, name: Column | None = None) -> DataFrame:
 
 
 def start_level(files: DataFrame) -> DataFrame:
-    """Outermost containers as the first level of the expansion."""
-    return with_format(files).select(
+    """Outermost containers as the first level of the expansion; the task that opens one sees what it is."""
+    bound_batches(files.sparkSession)
+    return files.select(
         F.col("path").alias("source_path"),
         F.array().cast("array<string>").alias("chain"),
         F.lit(0).cast("bigint").alias("decoded"),
         file_name(F.col("path")).alias("name"),
-        "format",
-        "head",
         "place",
     )
 
@@ -184,20 +197,25 @@ def entries(level: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFr
 
     def visit(row: dict) -> Iterator[tuple]:
         key = (row["source_path"], row["chain"], row["decoded"])
-        listed = []
         try:
-            for entry in entries_of(row["place"], row["format"], row["name"], limits):
-                listed.append((*key, entry.name, entry.size, entry.regular, entry.encrypted, row["text"], None))
+            fmt, text = _kind(row)
+            listed = [
+                (*key, entry.name, entry.size, entry.regular, entry.encrypted, text, None)
+                for entry in entries_of(row["place"], fmt, row["name"], limits)
+            ]
             yield from listed
         except Exception as error:
             yield (*key, None, None, None, None, None, str(error))
 
-    return _entry_rows(_expand(_sampled(level), ENTRY_SCHEMA, visit, _names(ENTRY_SCHEMA)), limits)
+    return _entry_rows(_expand(level, ENTRY_SCHEMA, visit, _names(ENTRY_SCHEMA)), limits)
 
 
-def _sampled(level: DataFrame) -> DataFrame:
-    """Only a plain file is sampled; what a container holds is known by name."""
-    return level.withColumn("text", (F.col("format") == "plain") & is_text_sample(F.col("head"))).drop("head")
+def _kind(row: dict) -> tuple[str, bool]:
+    """Format of a container, and whether it is a plain file of text; what others hold is known by name."""
+    fmt, head = format_of(row["place"], row["name"])
+    if row["chain"] and fmt == "plain":
+        raise ValueError("entry content is not an archive")
+    return fmt, fmt == "plain" and is_text(head)
 
 
 def _entry_rows(rows: DataFrame, limits: ArchiveLimits) -> DataFrame:
@@ -218,8 +236,7 @@ def _entry_rows(rows: DataFrame, limits: ArchiveLimits) -> DataFrame:
 
 def _is_log_member(name: str, fmt: str, wanted: str | None) -> bool:
     """Is an entry read as lines: a log by its extension, or the one asked for among these?"""
-    logs = {"." + ext for ext in LOG_EXTENSIONS}
-    return ("." + name.rsplit(".", 1)[-1].lower() in logs or fmt == "plain") and wanted in (None, name)
+    return (name.rsplit(".", 1)[-1].lower() in LOG_EXTENSIONS or fmt == "plain") and wanted in (None, name)
 
 
 def line_work(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), name: str | None = None) -> DataFrame:
@@ -230,21 +247,91 @@ def line_work(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), name: s
     """
 
     def visit(row: dict) -> Iterator[tuple]:
-        key = (row["source_path"], row["chain"], row["decoded"], row["name"], row["format"], row["place"])
-        listed = []
+        key, listed = (row["source_path"], row["chain"], row["decoded"], row["name"]), []
+        fmt = None
         try:
+            fmt, _ = _kind(row)
+            if fmt != "zip":
+                yield (*key, fmt, row["place"], *[None] * 7)
+                return
             with open_place(row["place"]) as file:
                 for info in zip_members(file, limits):
                     if is_regular_member(info) and not info.flag_bits & 1 and _is_log_member(info.filename, "zip", name):
-                        listed.append((*key, info.filename, info.file_size, info.header_offset, info.compress_size, info.CRC, info.compress_type, None))
+                        listed.append((*key, fmt, row["place"], info.filename, info.file_size, info.header_offset, info.compress_size, info.CRC, info.compress_type, None))
             yield from listed
         except Exception as error:
-            yield (*key, *[None] * 6, str(error))
+            yield (*key, fmt, row["place"], *[None] * 6, str(error))
+
+    rows = materialize(_expand(level, WORK_SCHEMA, visit, _names(WORK_SCHEMA)), "line_work")
+    return spread_places(rows, CONTAINERS_PER_TASK, "place", "offset")
+
+
+def _dealt(level: DataFrame) -> DataFrame:
+    """Those containers whose entries are worth dealing: large ones, and files of unknown size."""
+    size = F.regexp_extract("place", SECTION + r"\d+\+(\d+)$", 1)
+    return level.where((size == "") | (size.cast("bigint") > WHOLE_BYTES))
+
+
+def _is_dealt(place: str | bytes) -> bool:
+    """The same of one place; a container that the task holds is none of them."""
+    if isinstance(place, bytes):
+        return False
+    _, _, section = place.partition(SECTION)
+    return not section or int(section.partition("+")[2]) > WHOLE_BYTES
+
+
+def _chunks(key: tuple, name: str, source, left: int, most: int) -> Iterator[tuple]:
+    """Rows of line chunks of one entry, at most ``left`` bytes of it."""
+    head = source.read(SAMPLE_BYTES)
+    charset = sample_charset(head)
+    for number, size, raw, cut in line_chunks(source, charset, most, head, left):
+        left -= size
+        if left < 0:
+            raise OverLimit
+        yield (*key, name, charset, number, raw, cut, None)
+
 
-    zips = _expand(level.where(F.col("format") == "zip").drop("head"), WORK_SCHEMA, visit, _names(WORK_SCHEMA))
-    whole = level.where(F.col("format") != "zip").select(*[F.col(c) if c in level.columns else F.lit(None).cast(zips.schema[c].dataType).alias(c) for c in zips.columns])
-    rows = materialize(zips.unionByName(whole), "line_work")
-    return spread_rows(rows, CONTAINERS_PER_TASK, "place", "offset")
+def _container_lines(
+    row: dict, fmt: str, limits: ArchiveLimits, most: int, name: str | None, inner: Callable | None = None, logs: bool = True
+) -> Iterator[tuple]:
+    """Line rows of a whole container, and one with ``error`` for what cannot be read.
+
+    In a ZIP that stops no other entry; elsewhere no lines come after it.  ``inner`` is called with every
+    entry, in order; then true is returned if all of them were seen.  Without ``logs`` it is all that happens.
+    """
+    key = (row["source_path"], row["chain"], row["decoded"])
+    current, budget, meeting = None, limits.max_decoded_bytes - row["decoded"], False
+
+    def failed(error: Exception) -> tuple:
+        return (*key, current, None, None, None, None, str(error))
+
+    try:
+        for entry in entries_of(row["place"], fmt, row["name"], limits):
+            # A ZIP that cannot be read further is no fault of its last entry.
+            current = None if fmt == "zip" else entry.name
+            if inner:
+                meeting = True
+                inner(entry)
+                meeting = False
+            if not logs or not entry.regular or entry.encrypted or not _is_log_member(entry.name, fmt, name):
+                continue
+            try:
+                if fmt not in ("gz", "bz2", "xz", "zst") and entry.size > budget:
+                    raise OverLimit
+                yield from _chunks(key, entry.name, entry.lines(), budget, most)
+            except Exception as error:
+                current = entry.name
+                yield failed(error)
+                if fmt == "zip":
+                    continue
+                logs = False
+                if not inner or not isinstance(error, OverLimit):
+                    return False
+    except Exception as error:
+        if logs or meeting:
+            yield failed(error)
+        return False
+    return True
 
 
 def entry_lines(
@@ -252,48 +339,59 @@ def entry_lines(
 ) -> DataFrame:
     """Numbered lines of every log entry, or of those called ``name``, decoded by the entry's own charset.
 
-    Entries of one ZIP are read by many tasks, each at its own place in the file; an
+    Entries of one large ZIP are read by many tasks, each at its own place in the file; an
     entry that cannot be read gives a row with ``error`` and stops no other.
     Python only decompresses and cuts the bytes at line ends; chunks of lines
     leave the task while the entry is still being read, and decoding, splitting
     and trimming are Columns.  ``limit`` cuts lines to so many bytes.
     """
     most = 2**31 - 1 if limit is None else limit
-    def read(key: tuple, current: str, source) -> Iterator[tuple]:
-        head = source.read(SAMPLE_BYTES)
-        charset, left = sample_charset(head), limits.max_decoded_bytes - key[2]
-        for number, size, raw, cut in line_chunks(source, charset, most, head):
-            left -= size
-            if left < 0:
-                raise ValueError("decoded size limit exceeded")
-            yield (*key, current, charset, number, raw, cut, None)
+
+    def whole(row: dict) -> Iterator[tuple]:
+        if _is_dealt(row["place"]):
+            return
+        try:
+            fmt, _ = _kind(row)
+        except Exception as error:
+            yield (row["source_path"], row["chain"], row["decoded"], *[None] * 5, str(error))
+            return
+        yield from _container_lines(row, fmt, limits, most, name)
+
+    raw = _expand(level, LINE_SCHEMA, whole, _names(LINE_SCHEMA))
+    dealt = _dealt(level)
+    if not dealt.isEmpty():
+        raw = raw.unionByName(_dealt_lines(dealt, limits, most, name))
+    return _shown_lines(raw, limits)
+
+
+def _dealt_lines(level: DataFrame, limits: ArchiveLimits, most: int, name: str | None, zips_only: bool = False) -> DataFrame:
+    """Line chunks of containers whose ZIPs are dealt entry by entry."""
 
     def visit(row: dict) -> Iterator[tuple]:
-        key, current = (row["source_path"], row["chain"], row["decoded"]), row["entry_path"]
-        budget = limits.max_decoded_bytes - row["decoded"]
+        key = (row["source_path"], row["chain"], row["decoded"])
         try:
             if row["error"] is not None:
                 raise ValueError(row["error"])
-            if row["offset"] is not None:
-                if row["size"] > budget:
-                    raise ValueError("decoded size limit exceeded")
-                with open_place(row["place"]) as file:
-                    member = open_member(file, current, row["offset"], row["packed"], row["size"], row["crc"], row["method"])
-                    yield from read(key, current, member)
+            if row["offset"] is None:
+                yield from _container_lines(row, row["format"], limits, most, name)
                 return
-            for entry in entries_of(row["place"], row["format"], row["name"], limits):
-                current = entry.name
-                if not entry.regular or entry.encrypted or not _is_log_member(current, row["format"], name):
-                    continue
-                if row["format"] not in ("gz", "bz2", "xz", "zst") and entry.size > budget:
-                    raise ValueError("decoded size limit exceeded")
-                yield from read(key, current, entry.open())
+            budget = limits.max_decoded_bytes - row["decoded"]
+            if row["size"] > budget:
+                raise OverLimit
+            with open_place(row["place"]) as file:
+                member = open_member(file, row["entry_path"], row["offset"], row["packed"], row["size"], row["crc"], row["method"])
+                yield from _chunks(key, row["entry_path"], member, budget, most)
         except Exception as error:
-            yield (*key, current, None, None, None, None, str(error))
+            yield (*key, row["entry_path"], None, None, None, None, str(error))
+
+    work = line_work(level, limits, name)
+    return _expand(work.where("format = 'zip'") if zips_only else work, LINE_SCHEMA, visit, _names(LINE_SCHEMA))
 
-    raw = _expand(line_work(level, limits, name), LINE_SCHEMA, visit, _names(LINE_SCHEMA))
+
+def _shown_lines(raw: DataFrame, limits: ArchiveLimits) -> DataFrame:
+    """Line chunks decoded, split and numbered."""
     safe = raw.where(F.col("error").isNotNull() | is_safe_entry(F.col("entry_path"), limits.max_path_bytes))
-    with lenient_charsets(level.sparkSession):
+    with lenient_charsets(raw.sparkSession):
         text = safe.withColumn("text", decode_bytes(F.col("raw"), F.col("charset"))).drop("raw")
     # A failed row has no text and stays one row without a line.
     lines = F.when(F.col("error").isNull(), line_pieces(F.col("text")))
@@ -304,90 +402,149 @@ def entry_lines(
     return exploded.select(*fields, number.alias("line_no"), strip_line_end(shown).alias("content"))
 
 
-def survey(level: DataFrame, limits: ArchiveLimits = ArchiveLimits(), only: str | None = None) -> DataFrame:
-    """Entries of a level, and ``place, total`` of those that are containers by name, copied to the shared folder.
+def is_safe_name(name: str, most: int) -> bool:
+    """One entry name by the rule of the column ``is_safe_entry``."""
+    parts = name.replace("\\", "/").split("/")
+    return (
+        0 < len(name.encode("utf-8", "replace")) <= most and "\0" not in name and name[0] not in "/\\" and "::" not in name
+        and not any(part == ".." or ":" in part for part in parts)
+    )
+
 
-    ``total`` is the running size of the chain.  ``only`` names the one container to copy.  A container
-    that cannot be read gives one row with ``error``; so does an inner one that breaks the running size.
+class Inner:
+    """Containers met within one: small ones are held for this task, others are copied for the next level.
+
+    ``room`` is what is left of the bytes that all containers within one outer container may hold.
     """
-    suffixes = tuple(suffix for suffix, _ in ARCHIVE_SUFFIXES)
-    folder = work_path(level.sparkSession, "inner")
 
-    def visit(row: dict, pack: Pack) -> Iterator[tuple]:
-        chain, decoded = row["chain"], row["decoded"]
-        key, listed = (row["source_path"], chain, decoded), []
+    def __init__(self, row: dict, fmt: str, limits: ArchiveLimits, pack: Pack, room: list[int], only: str | None):
+        self.row, self.fmt, self.limits, self.pack, self.room, self.only = row, fmt, limits, pack, room, only
+        self.held, self.left, self.failed = [], [], []
+
+    def meet(self, entry: Entry) -> tuple[str | None, int | None]:
+        """Take an entry that is a container by name; place and running size of one left to the next level."""
+        holds = self.fmt != "plain" and entry.name.lower().endswith(SUFFIXES)
+        if not holds or not entry.regular or entry.encrypted or self.only not in (None, entry.name):
+            return None, None
+        chain, decoded = [*self.row["chain"], entry.name], self.row["decoded"]
+        source, budget = entry.open(), self.limits.max_decoded_bytes - decoded
+        most = min(HELD_BYTES, self.room[0])
+        data = place = read_upto(source, most + 1)
+        size = len(data)
+        if size > most:
+            place, size = self.pack.save(source, budget, data) or (None, budget + 1)
+        if size > budget:
+            self.failed.append((chain, decoded, "decoded size limit exceeded"))
+            return None, None
+        if not is_safe_name(entry.name, self.limits.max_path_bytes):
+            return None, None
+        if len(chain) > self.limits.max_nested_depth:
+            self.failed.append((chain, None, "nested too deep"))
+            return None, None
+        if isinstance(place, str):
+            self.left.append((entry.name, place, decoded + size))
+            return place, decoded + size
+        self.room[0] -= size
+        name = re.split(r"[/\\]", entry.name)[-1]
+        self.held.append({"source_path": self.row["source_path"], "chain": chain, "decoded": decoded + size, "name": name, "place": data})
+        return None, None
+
+
+def _survey(limits: ArchiveLimits, room_bytes: int) -> Callable:
+    """Visit that lists a container and the small ones within; one that cannot be read gives a row with ``error`` and no entries."""
+
+    def visit(row: dict, pack: Pack, room: list[int] | None = None) -> Iterator[tuple]:
+        key, room = (row["source_path"], row["chain"], row["decoded"]), [room_bytes] if room is None else room
         try:
-            for entry in entries_of(row["place"], row["format"], row["name"], limits):
-                place = size = None
-                holds = row["format"] != "plain" and entry.name.lower().endswith(suffixes)
-                if holds and entry.regular and not entry.encrypted and only in (None, entry.name):
-                    place, size = pack.save(entry.open(), limits.max_decoded_bytes - decoded) or (None, None)
-                    if size is None:
-                        failed = (row["source_path"], [*chain, entry.name], decoded)
-                        listed.append((*failed, *[None] * 5, "decoded size limit exceeded", None, None))
-                total = None if size is None else decoded + size
-                listed.append((*key, entry.name, entry.size, entry.regular, entry.encrypted, row["text"], None, place, total))
-            yield from listed
+            fmt, text = _kind(row)
+            inner, listed = Inner(row, fmt, limits, pack, room, None), []
+            for entry in entries_of(row["place"], fmt, row["name"], limits):
+                place, total = inner.meet(entry)
+                listed.append((*key, entry.name, entry.size, entry.regular, entry.encrypted, text, None, place, total))
         except Exception as error:
             yield (*key, *[None] * 5, str(error), None, None)
+            return
+        yield from listed
+        for chain, decoded, error in inner.failed:
+            yield (row["source_path"], chain, decoded, *[None] * 5, error, None, None)
+        for held in inner.held:
+            yield from visit(held, pack, room)
 
-    return _expand(_sampled(level), SURVEY_SCHEMA, visit, _names(SURVEY_SCHEMA), folder)
+    return visit
 
 
-def _levels(
-    files: DataFrame, limits: ArchiveLimits, route: Sequence[str] | None = None
-) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
-    """Levels of containers below ``files``, what each holds, and ``source_path, chain, error`` of failures.
+def _line_survey(limits: ArchiveLimits, most: int, route: Sequence[str] | None) -> Callable:
+    """Visit that gives the lines of a container and of the small ones within, or of the one entry at the end of a ``route``."""
 
-    A level is surveyed once, and written.  With a ``route`` only the containers of that chain are followed.
-    """
-    levels, surveys, errors = [start_level(files)], [], []
-    for depth in range(1, limits.max_nested_depth + 2):
-        if route is not None and depth > len(route):
-            break
-        rows = materialize(survey(levels[-1], limits, route[depth - 1] if route else None), f"level_{depth}")
-        surveys.append(rows)
-        inner = rows.where(F.col("place").isNotNull() & is_safe_entry(F.col("entry_path"), limits.max_path_bytes))
-        inner = inner.select(
+    def visit(row: dict, pack: Pack, room: list[int] | None = None) -> Iterator[tuple]:
+        source, depth, room = row["source_path"], len(row["chain"]), [ROOM_BYTES] if room is None else room
+        last = route is not None and depth == len(route) - 1
+        try:
+            fmt, _ = _kind(row)
+        except Exception as error:
+            if route is None:
+                yield (source, row["chain"], row["decoded"], *[None] * 5, str(error), None, None)
+            return
+        inner = None if last else Inner(row, fmt, limits, pack, room, route[depth] if route else None)
+        logs = (route is None or last) and not (fmt == "zip" and _is_dealt(row["place"]))
+        lines = _container_lines(row, fmt, limits, most, route[-1] if last else None, inner and inner.meet, logs)
+        whole = yield from _widened(lines)
+        if not whole or inner is None:
+            return
+        if route is None:
+            for chain, decoded, error in inner.failed:
+                yield (source, chain, decoded, *[None] * 5, error, None, None)
+        for name, place, total in inner.left:
+            yield (source, row["chain"], row["decoded"], name, *[None] * 5, place, total)
+        for held in inner.held:
+            yield from visit(held, pack, room)
+
+    return visit
+
+
+def _widened(lines: Iterator[tuple]) -> Iterator[tuple]:
+    """Line rows without a nested place; what the iterator returns is returned."""
+    while True:
+        try:
+            yield (*next(lines), None, None)
+        except StopIteration as end:
+            return end.value
+
+
+def _levels(files: DataFrame, limits: ArchiveLimits, schema: str, visit: Callable) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Levels of containers below ``files`` that tasks left to the next one, and what ``visit`` gives of each, written."""
+    level, levels, found = start_level(files), [], []
+    while True:
+        rows = materialize(_expand(level, schema, visit, _names(schema), work_path(level.sparkSession, "inner")), f"level_{len(levels) + 1}")
+        levels.append(level)
+        found.append(rows)
+        inner = rows.where(F.col("place").isNotNull())
+        if inner.isEmpty():
+            return levels, found
+        chained = inner.select(
             "source_path",
             F.concat("chain", F.array("entry_path")).alias("chain"),
             F.col("total").alias("decoded"),
             file_name(F.col("entry_path")).alias("name"),
             "place",
         )
-        if inner.isEmpty():
-            break
-        if depth > limits.max_nested_depth:
-            errors.append(inner.select("source_path", "chain", F.lit("nested too deep").alias("error")))
-            break
-        # What a head tells is the format; heads themselves are needed of outermost plain files alone.
-        headed = with_format(spread_rows(inner, CONTAINERS_PER_TASK, "place"), F.col("name")).drop("head")
-        formatted = materialize(headed, f"heads_{depth}")
-        forged = F.col("format") == "plain"
-        errors.append(formatted.where(forged).select("source_path", "chain", F.lit("entry content is not an archive").alias("error")))
-        level = formatted.where(~forged).select("source_path", "chain", "decoded", "name", "format", F.lit(None).cast("binary").alias("head"), "place")
-        levels.append(spread_rows(level, CONTAINERS_PER_TASK, "place"))
-    return levels, surveys, errors
+        level = spread_places(chained, CONTAINERS_PER_TASK, "place")
 
 
 def expand_nested(files: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> tuple[list[DataFrame], DataFrame]:
-    """All levels of containers below ``files`` and the rows that failed.
+    """All levels of containers below ``files``, each stored, and the rows that failed.
 
     Containers deeper than the limit are reported, not opened.
     """
-    levels, surveys, errors = _levels(files, limits)
-    failed = [rows.where(F.col("error").isNotNull()).select("source_path", "chain", "error") for rows in surveys]
-    return levels, reduce(DataFrame.unionByName, [*failed, *errors])
+    levels, found = _levels(files, limits, SURVEY_SCHEMA, _survey(limits, 0))
+    failed = [rows.where(F.col("error").isNotNull()).select("source_path", "chain", "error") for rows in found]
+    return levels, reduce(DataFrame.unionByName, failed)
 
 
 def all_entries(files: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
     """Entries of every level; ``chain`` tells the containers on the way."""
-    _, surveys, errors = _levels(files, limits)
-    rows = reduce(DataFrame.unionByName, [_entry_rows(rows, limits) for rows in surveys])
-    none = [F.lit(None).cast(t).alias(n) for n, t in (
-        ("decoded", "bigint"), ("entry_path", "string"), ("size", "bigint"), ("is_log", "boolean"),
-        ("encrypted", "boolean"), ("is_archive", "boolean"))]
-    return reduce(DataFrame.unionByName, [rows, *[e.select("source_path", "chain", *none, "error") for e in errors]])
+    _, found = _levels(files, limits, SURVEY_SCHEMA, _survey(limits, ROOM_BYTES))
+    return _entry_rows(reduce(DataFrame.unionByName, found), limits)
 
 
 def nested_lines(files: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limit: int | None = None) -> DataFrame:
@@ -395,19 +552,19 @@ def nested_lines(files: DataFrame, limits: ArchiveLimits = ArchiveLimits(), limi
 
     That is one that cannot be read, is no archive in spite of its name, is nested too deep or breaks a limit.
     """
-    levels, surveys, errors = _levels(files, limits)
-    lines = [entry_lines(level, limits, limit) for level in levels]
-    # Containers that could not be copied; those that cannot be read have their row from their lines.
-    failed = [
-        rows.where(F.col("error").isNotNull() & (F.size("chain") == depth)).select("source_path", "chain", "error")
-        for depth, rows in enumerate(surveys, 1)
-    ]
-    kinds = {f.name: f.dataType for f in lines[0].schema}
-    wide = [
-        rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(kinds[c]).alias(c) for c in kinds])
-        for rows in [*failed, *errors]
-    ]
-    return reduce(DataFrame.unionByName, [*lines, *wide])
+    return _nested_lines(files, limits, limit, None)
+
+
+def _nested_lines(files: DataFrame, limits: ArchiveLimits, limit: int | None, route: Sequence[str] | None) -> DataFrame:
+    most = 2**31 - 1 if limit is None else limit
+    levels, found = _levels(files, limits, NESTED_SCHEMA, _line_survey(limits, most, route))
+    raw = [rows.where(F.col("place").isNull()).drop("place", "total") for rows in found]
+    for depth, level in enumerate(levels):
+        # Entries of large ZIPs, which the visit left to many tasks.
+        dealt = _dealt(level)
+        if (route is None or depth == len(route) - 1) and not dealt.isEmpty():
+            raw.append(_dealt_lines(dealt, limits, most, route[-1] if route else None, zips_only=True))
+    return _shown_lines(reduce(DataFrame.unionByName, raw), limits)
 
 
 def lines_of_entry(
@@ -417,9 +574,7 @@ def lines_of_entry(
 
     Nothing else is copied or decoded; a file without the entry gives no line.
     """
-    levels, _, _ = _levels(files, limits, list(route[:-1]))
-    last = levels[-1] if len(levels) == len(route) else levels[0].limit(0)
-    return entry_lines(last, limits, limit, route[-1])
+    return _nested_lines(files, limits, limit, list(route))
 
 
 def lookup_entries(requests: DataFrame, listed: DataFrame) -> DataFrame:
