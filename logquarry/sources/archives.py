@@ -580,10 +580,11 @@ def lines_of_entry(
 def lookup_entries(requests: DataFrame, listed: DataFrame) -> DataFrame:
     """Requested entries with their rows; ``error`` says why one cannot be opened.
 
-    Both sides hold ``source_path, entry_path``.
+    Both sides hold ``source_path, entry_path``.  They are sorted and merged: what the planner
+    knows of ``listed`` is the size of the containers' places, by which it would broadcast every entry.
     """
     found = listed.select("source_path", "entry_path", "size", "encrypted", "is_log", F.lit(True).alias("_found"))
-    return requests.join(found, ["source_path", "entry_path"], "left").select(
+    return requests.join(found.hint("merge"), ["source_path", "entry_path"], "left").select(
         "source_path",
         "entry_path",
         "size",

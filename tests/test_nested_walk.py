@@ -99,3 +99,14 @@ def test_one_long_line_is_not_read_again_and_again(charset):
     with pytest.raises(ValueError, match="decoded size limit exceeded"):
         list(D.line_chunks(stopped, charset, 2**31 - 1, left=5_000))
     assert stopped.reads == 1
+
+
+def test_looked_up_entries_are_not_broadcast(spark):
+    """The planner takes a listing for as small as the places of its containers, so every entry was sent to every task."""
+    files = stored(spark, {f"{i}.zip": make_zip({"a.log": b"a\n", "b.bin": b"\0"}, False) for i in range(20)})
+    asked = files.select(F.col("path").alias("source_path"), F.explode(F.array(F.lit("a.log"), F.lit("c.log"))).alias("entry_path"))
+    found = A.lookup_entries(asked, A.entries(A.start_level(files)))
+    rows = found.groupBy("entry_path", "error").count().collect()
+    assert sorted((r.entry_path, r.error, r["count"]) for r in rows) == [("a.log", None, 20), ("c.log", "missing", 20)]
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
