@@ -110,3 +110,13 @@ def test_looked_up_entries_are_not_broadcast(spark):
     assert sorted((r.entry_path, r.error, r["count"]) for r in rows) == [("a.log", None, 20), ("c.log", "missing", 20)]
     found.collect()
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_has_one_python_process(spark, monkeypatch):
+    """Maps one above another are processes of the same task at once, each with a memory of its own."""
+    files, jobs, kept = stored(spark, nests()), [], A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df, name: jobs.append(df) or kept(df, name))
+    level = A.start_level(files)
+    jobs += [A.entries(level), A.entry_lines(level), A.lines_of_entry(files, ["in.zip", "b.log"]), A.all_entries(files), A.nested_lines(files)]
+    maps = [df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for df in jobs]
+    assert len(maps) >= 8 and max(maps) == 1
