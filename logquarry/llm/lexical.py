@@ -39,6 +39,10 @@ BLOCK = 128
 # A shard ends with the document that reaches either number; places fit into 16 bits.
 SHARD_POSTINGS = 400_000
 SHARD_DOCS = 32_768
+# The index is written in row groups of about so many bytes, compressed, which a task holds whole.  Parquet looks at sizes after 100
+# rows only unless it is told otherwise, and 100 shards are half a gigabyte.
+GROUP_BYTES = 8 << 20
+_CHECKED = {"parquet.page.row.count.limit": 1} | {f"parquet.{part}.size.row.check.{end}": 1 for part in ("block", "page") for end in ("min", "max")}
 # Bytes of the texts of the queries sent at once; they and their weights take about ten times as much.
 QUERY_BYTES = 8_000_000
 # Heaps of one query that are merged at once.
@@ -123,7 +127,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if ids:
             yield batch()
 
-    return materialize(named.mapInArrow(shards, f"ids array<{kind.simpleString()}>, {_INDEX}"), "lexical_index")
+    rows = named.mapInArrow(shards, f"ids array<{kind.simpleString()}>, {_INDEX}")
+    return materialize(rows, "lexical_index", **_CHECKED | {"parquet.block.size": GROUP_BYTES})
 
 
 class Shard:

@@ -70,15 +70,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/logquarry/{app}/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: int) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage, computes the input once, and survives the loss of executors
     because the rows live in the shared folder rather than on one machine.
+    ``options`` are those of the writer.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,6 +79,20 @@ def test_against_every_document(spark, documents, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_index_is_written_in_small_row_groups(spark, documents, monkeypatch):
+    """A task that writes or reads a file of many shards holds a few of them, not all."""
+    monkeypatch.setattr(lexical, "SHARD_POSTINGS", 1000)
+    monkeypatch.setattr(lexical, "GROUP_BYTES", 200_000, raising=False)
+    rng = random.Random(7)
+    docs = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(1000))) for i in range(90)]
+    (file,) = build_index(documents(docs).coalesce(1)).inputFiles()
+    written = pq.ParquetFile(file.removeprefix("file://")).metadata
+    groups = [written.row_group(i) for i in range(written.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 90
+    # Parquet goes by compressed bytes; these are not, and are 3.4 MB for all shards.
+    assert max(g.total_byte_size for g in groups) < 500_000
+
+
 def test_blocks_are_rejected_unread():
     """A list that all documents share is not unpacked where its blocks cannot help."""
     counts = [{b"common": 1, b"rare" if i % 50 == 0 else b"x%d" % i: 20 if i < 250 else 1} for i in range(5000)]
