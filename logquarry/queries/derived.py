@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from logquarry.plans import views
 from logquarry.session import materialize, ship_package, spread_places, spread_rows, work_path
 from logquarry.sources import archives as A
-from logquarry.sources.decoders import Pack
+from logquarry.sources.decoders import Pack, format_of
 from logquarry.sources.files import listing, plain_path
 
 IMAGE = bytes([0, 1, 2, 3])
@@ -95,7 +95,7 @@ def _packing(docs: DataFrame) -> DataFrame:
 def _rows(batches: Iterator[pa.RecordBatch], pack) -> Iterator[tuple[int, str, bytes]]:
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-            yield doc_id.as_py(), *pack(doc_id.as_py(), text.as_py())
+            yield doc_id.as_py(), *pack(doc_id.as_py(), text.as_py() or "")
 
 
 def _packed(docs: DataFrame, pack) -> DataFrame:
@@ -148,17 +148,20 @@ def _pack_one(fmt: str, doc_id: int, text: str) -> tuple[str, bytes]:
         data = SQUEEZE[fmt[4:]](data) if fmt != "tar" else data
     elif fmt in FOREIGN:
         data = bytes.fromhex("377ABCAF271C" if fmt == "7z" else "526172211A0700") + body
+    elif format_of(body, "log")[0] != "plain":
+        # Text that begins like a container is taken for one, unless it is an entry, known by its name.
+        data = make_zip({f"doc-{doc_id}.log": body}, False)
     else:
         data = SQUEEZE[fmt[4:]](body) if fmt != "log" else body
     # Some containers carry a name that says nothing about them.
-    nameless = doc_id % 7 == 4 and not fmt.startswith("log")
+    nameless = not fmt.startswith("log") and doc_id % 7 == 4
     return f"/drop/download-{doc_id}.part" if nameless else f"/drop/doc-{doc_id}.{fmt}", data
 
 
 def packed_files(spark, sf: str, formats: list[str]) -> DataFrame:
     """``doc_id, path, place``: every document packed and stored, the formats in turn."""
     docs = views.table(spark, sf, "documents")
-    return _stored(docs, lambda doc_id, text: _pack_one(formats[doc_id % len(formats)], doc_id, text))
+    return _stored(docs, lambda doc_id, text: _pack_one(formats[(doc_id or 0) % len(formats)], doc_id, text))
 
 
 def wide_text_files(spark, sf: str, per_file: int) -> DataFrame:

@@ -212,9 +212,14 @@ def entries_per_archive(spark, sf):
 @query("ag_05_decoded_bytes_limit", """SELECT doc_id, CASE WHEN octet_length(encode(text)) > 5000 THEN 'decoded size limit exceeded' ELSE 'none' END AS error FROM documents""")
 def decoded_limit(spark, sf):
     files = P.packed_files(spark, sf, [*P.STREAMS, *P.PLAIN])
+    # Documents with one id are files of one name, told apart by the place.
+    files = files.withColumn("path", F.concat(F.substring_index("place", "/", -1), "path"))
     lines = A.entry_lines(A.start_level(files), ArchiveLimits(max_decoded_bytes=5000))
-    worst = lines.groupBy("source_path").agg(F.max("error").alias("error"))
-    return worst.select(doc_number().alias("doc_id"), F.coalesce("error", F.lit("none")).alias("error"))
+    # A file without lines has its row as well.
+    every = files.select(C("path").alias("source_path"), "doc_id", F.lit(None).cast("string").alias("error"))
+    every = every.unionByName(lines.select("source_path", F.lit(None).cast("bigint").alias("doc_id"), "error"))
+    worst = every.groupBy("source_path").agg(F.max("doc_id").alias("doc_id"), F.max("error").alias("error"))
+    return worst.select("doc_id", F.coalesce("error", F.lit("none")).alias("error"))
 
 
 @query("jn_14_entry_lookup", """SELECT doc_id, want AS entry_path, CASE WHEN want = 'absent.log' THEN 'missing' WHEN want = 'secret.log' THEN 'encrypted' WHEN want = 'assets/image.bin' THEN 'not a log' ELSE 'none' END AS error

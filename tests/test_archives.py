@@ -4,11 +4,15 @@ import io
 import lzma
 import zipfile
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from logquarry.constants import ArchiveLimits
+from logquarry.queries import ORACLES, QUERIES
 from logquarry.queries.derived import make_tar, make_zip
 from logquarry.sources import archives as A
 
@@ -209,3 +213,18 @@ def test_containers_read_from_files(spark, tmp_path):
     (tmp_path / "in" / "a.zip").write_bytes(make_zip(MEMBERS))
     rows = A.entries(A.start_level(A.read_containers(spark, str(tmp_path)))).where(~F.col("encrypted"))
     assert rows.count() == 3
+
+
+def test_every_document_has_its_decoded_size_judged(spark, tmp_path):
+    """Empty and null texts, ids that repeat, are negative or null, and text that begins like a container."""
+    begun = ["BZh9", "PK\x03\x04 a", "Rar!\x1a\x07\x00", "ustar".rjust(262) + "x" * 300]
+    rows = [(i, text) for i in range(5) for text in ["", "", None, "x" * 5000, "x" * 5001, *begun, *[b + "x" * 5000 for b in begun]]]
+    rows += [(-7, "one"), (None, ""), (None, "x" * 6000), (10**17, "")]
+    frame = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    pq.write_table(frame, tmp_path / "documents.parquet")
+    name = "ag_05_decoded_bytes_limit"
+    got = QUERIES[name](spark, str(tmp_path)).select("doc_id", "error").collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    expected = db.execute(f"SELECT doc_id, error FROM ({ORACLES[name]})").fetchall()
+    assert len(expected) == len(rows) and sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
